@@ -5,9 +5,10 @@ arithmetic: no window and no shuffle, however large one file is.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptloom.operators import ordered
 from promptloom.operators.prompts import CHAT_ENDPOINT, COMPLETION_WINDOW
 
 
@@ -62,13 +63,9 @@ def build_batch_job(manifest: DataFrame, size: int, file: str = "file") -> DataF
 def combine_batches(df: DataFrame, file: str = "file") -> DataFrame:
     """Answers of all batches of a file in one order: adds ``position`` inside the file.
 
-    Only the batch sizes are ordered per file; the rows themselves are never gathered.
+    The rows stay a table in file order; they are never gathered into one list per file.
     """
-    sizes = df.groupBy(file, "batch_no").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy(file).orderBy("batch_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(file, "batch_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
-    return df.join(starts, [file, "batch_no"]).withColumn(
-        "position", F.col("start") + F.col("idx_in_batch")).drop("start")
+    return ordered.number_rows(df, [file], ["batch_no", "idx_in_batch"], "position")
 
 
 def union_results(*parts: DataFrame) -> DataFrame:

@@ -45,19 +45,13 @@ def batch_manifest(df: DataFrame, size: int, file: str = "file") -> DataFrame:
         "batches": batches, "last_size": items - (batches - 1) * size})
 
 
-def build_batch_job(manifest: DataFrame, size: int, file: str = "file") -> DataFrame:
-    """One job record per batch of every file."""
-    jobs = manifest.withColumn("batch_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("batches") - 1)))
-    last = F.col("batch_no") == F.col("batches") - 1
-    batch_id = F.format_string("batch_%04d", "batch_no")
-    return jobs.select(
-        file,
-        batch_id.alias("batch_id"),
-        F.lit(CHAT_ENDPOINT).alias("endpoint"),
-        F.lit(COMPLETION_WINDOW).alias("completion_window"),
-        F.concat(F.lit("Batch processing for "), F.col(file), F.lit(" "), batch_id).alias("description"),
-        F.when(last, F.col("last_size")).otherwise(F.lit(size)).alias("requests"),
-    )
+def build_batch_job(batched: DataFrame, file: str = "file") -> DataFrame:
+    """One job record per batch of every file, from rows that know their batch."""
+    return batched.groupBy(file, "batch_id").agg(F.count("*").alias("requests")).withColumns({
+        "endpoint": F.lit(CHAT_ENDPOINT),
+        "completion_window": F.lit(COMPLETION_WINDOW),
+        "description": F.concat(F.lit("Batch processing for "), F.col(file), F.lit(" "), F.col("batch_id")),
+    })
 
 
 def combine_batches(df: DataFrame, file: str = "file") -> DataFrame:

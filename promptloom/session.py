@@ -29,5 +29,6 @@ def local_session(cpus: int | None = None, **extra: str) -> SparkSession:
     cpus = cpus or os.cpu_count() or 4
     extra.setdefault("spark__sql__shuffle__partitions", str(cpus))
     extra.setdefault("spark__ui__enabled", "false")
+    extra.setdefault("spark__ui__showConsoleProgress", "false")
     extra.setdefault("spark__driver__memory", "12g")
     return build_session(spark__master=f"local[{cpus}]", **extra)

@@ -35,7 +35,8 @@ def write_json_array(df: DataFrame, path: str, file: str, idx: str, line: str,
                      rows_per_document: int = ROWS_PER_DOCUMENT) -> None:
     """Folder per file and document; every document is a valid JSON array of at most the given rows."""
     lines = json_array_lines(df, file, idx, line, rows_per_document)
-    (lines.repartition(file, "document").sortWithinPartitions(file, "document", idx)
+    # The window has already put each document into one task.
+    (lines.sortWithinPartitions(file, "document", idx)
      .select(file, "document", "value").write.partitionBy(file, "document").text(path))
 
 

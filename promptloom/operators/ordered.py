@@ -120,15 +120,15 @@ def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """For ``{new: old}`` add the ``old`` value of the row just before, null for the first row of a key."""
     cut, several = cut_ranges(df, order)
     picked = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
-    local = cut.withColumn("__prev", F.lag(picked).over(_inside(keys)))
+    local = cut.withColumn("__previous_row", F.lag(picked).over(_inside(keys)))
     if several:
         lasts = cut.groupBy(*keys, _RANGE).agg(F.max_by(picked, F.col(_ORDER)).alias("__last"))
         carry = lasts.withColumn(
             "__carry", F.lag("__last").over(Window.partitionBy(*keys).orderBy(_RANGE)))
         local = _attach(local, carry.drop("__last"), keys).withColumn(
-            "__prev", F.coalesce("__prev", "__carry")).drop("__carry")
-    return local.withColumns({new: F.col("__prev")[new] for new in columns}).drop(
-        "__prev", _ORDER, _RANGE)
+            "__previous_row", F.coalesce("__previous_row", "__carry")).drop("__carry")
+    return local.withColumns({new: F.col("__previous_row")[new] for new in columns}).drop(
+        "__previous_row", _ORDER, _RANGE)
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],

@@ -19,11 +19,10 @@ def is_terminal(status: Column, terminal: Sequence[str] = TERMINAL) -> Column:
 
 def status_changes(df: DataFrame, job: str, order: Sequence[str], status: str) -> DataFrame:
     """Rows whose status differs from the one before in the same job; the first row always stays."""
-    prev = ordered.previous_values(df, [job], order, {"__prev": status, "__seen": "__one"}) \
-        if "__one" in df.columns else ordered.previous_values(
-            df.withColumn("__one", F.lit(1)), [job], order, {"__prev": status, "__seen": "__one"})
-    changed = F.col("__seen").isNull() | ~F.col(status).eqNullSafe(F.col("__prev"))
-    return prev.where(changed).withColumnRenamed("__prev", "previous_status").drop("__seen", "__one")
+    prev = ordered.previous_values(df.withColumn("__seen", F.lit(True)), [job], order,
+                                   {"previous_status": status, "__before": "__seen"})
+    changed = F.col("__before").isNull() | ~F.col(status).eqNullSafe(F.col("previous_status"))
+    return prev.where(changed).drop("__seen", "__before")
 
 
 def distinct_statuses(df: DataFrame, status: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Importing the query modules fills the registry."""
 from promptloom.plans import (  # noqa: F401
     match_queries,
+    name_queries,
+    order_queries,
     prompt_queries,
 )
 from promptloom.plans.registry import CHECKS, QUERIES  # noqa: F401

@@ -27,6 +27,11 @@ class Scorer:
     score: Callable[[Column, Column], Column]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
     """Distinct words of a text."""
     return F.array_distinct(F.array_remove(F.split(text, TOKEN_BREAK), ""))
@@ -34,9 +39,9 @@ def tokens(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two distinct-word arrays; two empty ones count as equal."""
-    shared = F.size(F.array_intersect(a, b))
     both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(shared / (both - shared))
+    return F.when(both == 0, F.lit(1.0)).otherwise(
+        _let(F.size(F.array_intersect(a, b)), lambda shared: shared / (both - shared)))
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
@@ -57,8 +62,8 @@ def signature(text: Column) -> Column:
         tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint"))
     steps = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
                       for a, b in signature_steps()])
-    return F.transform(steps, lambda s: F.array_min(
-        F.transform(hashed, lambda h: (h * s["a"] + s["b"]) % SIGNATURE_PRIME)))
+    return _let(hashed, lambda words: F.transform(steps, lambda s: F.array_min(
+        F.transform(words, lambda h: (h * s["a"] + s["b"]) % SIGNATURE_PRIME))))
 
 
 def signature_agreement(a: Column, b: Column) -> Column:
@@ -67,17 +72,24 @@ def signature_agreement(a: Column, b: Column) -> Column:
     return F.size(equal) / F.size(a)
 
 
+def _dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda total, v: total + v)
+
+
+def with_norm(vector: Column) -> Column:
+    """A numeric array in double precision together with its length."""
+    return _let(vector.cast("array<double>"), lambda v: F.struct(v.alias("v"), F.sqrt(_dot(v, v)).alias("norm")))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two numeric arrays; 0 when one has no length."""
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
+    """Cosine of two vectors made by ``with_norm``; 0 when one has no length."""
+    norms = a["norm"] * b["norm"]
+    return F.when(norms == 0, F.lit(0.0)).otherwise(_dot(a["v"], b["v"]) / norms)
 
 
 SCORERS = {
     "jaccard": Scorer(tokens, jaccard),
     "levenshtein": Scorer(lambda text: text, levenshtein_ratio),
     "minhash": Scorer(signature, signature_agreement),
-    "cosine": Scorer(lambda vector: vector.cast("array<double>"), cosine),
+    "cosine": Scorer(with_norm, cosine),
 }

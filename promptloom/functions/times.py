@@ -21,7 +21,7 @@ def elapsed_text(seconds: Column) -> Column:
     prefix = (F.when(days == 0, F.lit(""))
               .when(F.abs(days) == 1, F.format_string("%d day, ", days))
               .otherwise(F.format_string("%d days, ", days)))
-    return F.concat(prefix, clock)
+    return F.when(whole.isNotNull(), F.concat(prefix, clock))
 
 
 def parse_created_at(text: Column) -> Column:

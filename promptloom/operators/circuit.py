@@ -29,14 +29,25 @@ def step(failures: int, opened: int | None, us: int, ok: bool, max_failures: int
     return failures, (us if failures >= max_failures else None), "failure"
 
 
-def label_calls(calls: pd.DataFrame, failures: int, opened: int | None, max_failures: int, reset_us: int):
-    """Outcome and openness after each call of a sorted frame, and the final state."""
-    outcomes, is_open = [], []
-    for us, ok in zip(calls["us"].tolist(), calls["ok"].tolist()):
-        failures, opened, outcome = step(failures, opened, us, ok, max_failures, reset_us)
-        outcomes.append(outcome)
-        is_open.append(opened is not None)
-    return calls.assign(outcome=outcomes, is_open=is_open), failures, opened
+def label_sorted(frames: Iterator[pd.DataFrame], max_failures: int, reset_us: int) -> Iterator[pd.DataFrame]:
+    """Outcome of each call of a partition sorted by provider, part and time.
+
+    Only the current state is kept, so a group of any length passes through. At the first call of a group
+    the state is the one the row brings along.
+    """
+    group, failures, opened = None, 0, None
+    for frame in frames:
+        outcomes, is_open = [], []
+        starts_open = frame["opened"].astype("Int64").to_numpy(dtype=object, na_value=None)
+        for provider, part, us, ok, start, start_open in zip(
+                frame["provider"], frame["part"].tolist(), frame["us"].tolist(), frame["ok"].tolist(),
+                frame["failures"].tolist(), starts_open):
+            if group != (provider, part):
+                group, failures, opened = (provider, part), start, start_open
+            failures, opened, outcome = step(failures, opened, us, ok, max_failures, reset_us)
+            outcomes.append(outcome)
+            is_open.append(opened is not None)
+        yield frame[["provider", "call_id"]].assign(outcome=outcomes, is_open=is_open)
 
 
 def _summarize(us: np.ndarray, ok: np.ndarray, max_failures: int, reset_us: int) -> dict:
@@ -77,10 +88,6 @@ _SUMMARY = ("closed_failures array<bigint>, closed_opened array<bigint>, probe_u
             "probe_failures array<bigint>, probe_opened array<bigint>")
 
 
-def _sorted_calls(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(frames, ignore_index=True).sort_values(["us", "call_id"], ignore_index=True)
-
-
 def circuit_state(df: DataFrame, provider: str, call_id: str, micros: str, ok: str,
                   max_failures: int = MAX_FAILURES, reset_seconds: int = RESET_SECONDS) -> DataFrame:
     """``provider, call_id, outcome, is_open`` for every call."""
@@ -89,16 +96,21 @@ def circuit_state(df: DataFrame, provider: str, call_id: str, micros: str, ok: s
                      F.col(micros).alias("us"), F.col(ok).alias("ok"))
     cut, several = ordered.cut_ranges(slim, ["us", "call_id"])
     cut = cut.drop("__order").withColumnRenamed("__range", "part")
-    labelled = "provider string, call_id bigint, outcome string, is_open boolean"
-
-    if not several:
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            out, _, _ = label_calls(_sorted_calls(iter([pdf])), 0, None, max_failures, reset_us)
-            return out[["provider", "call_id", "outcome", "is_open"]]
-        return cut.groupBy("provider").applyInPandas(whole, labelled)
-
+    if several:
+        ready = cut.join(_starts(cut, max_failures, reset_us), ["provider", "part"])
+    else:
+        ready = cut.withColumns({"failures": F.lit(0).cast("bigint"), "opened": F.lit(None).cast("bigint")})
+    # A fixed number of tasks: the work per byte is high, so small partitions must not be merged.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = ready.repartition(tasks, "provider", "part").sortWithinPartitions("provider", "part", "us", "call_id")
+    return placed.mapInPandas(lambda frames: label_sorted(frames, max_failures, reset_us),
+                              "provider string, call_id bigint, outcome string, is_open boolean")
+
+
+def _starts(cut: DataFrame, max_failures: int, reset_us: int) -> DataFrame:
+    """State in which each ``(provider, part)`` is entered."""
     def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        calls = _sorted_calls(iter([pdf]))
+        calls = pdf.sort_values(["us", "call_id"], ignore_index=True)
         summary = _summarize(calls["us"].to_numpy(), calls["ok"].to_numpy(), max_failures, reset_us)
         return pd.DataFrame([{"provider": calls["provider"][0], "part": calls["part"][0], **summary}])
 
@@ -107,27 +119,16 @@ def circuit_state(df: DataFrame, provider: str, call_id: str, micros: str, ok: s
         for row in pdf.sort_values("part").itertuples():
             starts.append((row.provider, row.part, failures, opened))
             if opened is None:
-                exit_failures, exit_opened = row.closed_failures[failures], row.closed_opened[failures]
+                left = row.closed_failures[failures], row.closed_opened[failures]
             else:
                 place = int(np.searchsorted(np.asarray(row.probe_until), opened + reset_us, side="left"))
                 if place >= len(row.probe_until):
                     continue
-                exit_failures, exit_opened = row.probe_failures[place], row.probe_opened[place]
-            failures = int(exit_failures)
-            opened = None if exit_opened is None or pd.isna(exit_opened) else int(exit_opened)
-        frame = pd.DataFrame(starts, columns=["provider", "part", "failures", "opened"])
-        return frame.astype({"opened": "Int64"})
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        calls = _sorted_calls(iter([pdf]))
-        opened = calls["opened"][0]
-        out, _, _ = label_calls(calls, int(calls["failures"][0]), None if pd.isna(opened) else int(opened),
-                                max_failures, reset_us)
-        return out[["provider", "call_id", "outcome", "is_open"]]
-
-    summaries = cut.groupBy("provider", "part").applyInPandas(
-        summarize, f"provider string, part int, {_SUMMARY}")
-    starts = summaries.groupBy("provider").applyInPandas(
-        fold, "provider string, part int, failures bigint, opened bigint")
-    return cut.join(starts, ["provider", "part"]).groupBy("provider", "part").applyInPandas(label, labelled)
+                left = row.probe_failures[place], row.probe_opened[place]
+            failures = int(left[0])
+            opened = None if left[1] is None or pd.isna(left[1]) else int(left[1])
+        return pd.DataFrame(starts, columns=["provider", "part", "failures", "opened"]).astype({"opened": "Int64"})
 
+    summaries = cut.groupBy("provider", "part").applyInPandas(summarize, f"provider string, part int, {_SUMMARY}")
+    return summaries.groupBy("provider").applyInPandas(
+        fold, "provider string, part int, failures bigint, opened bigint")

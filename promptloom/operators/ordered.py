@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_SETTING = "promptloom.range.rows"
-ROWS_PER_RANGE = 4_000_000
+ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 4_096
 SAMPLES_PER_RANGE = 40
 

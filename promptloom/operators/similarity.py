@@ -26,6 +26,8 @@ def with_previous(df: DataFrame, task: str, seq: str, value: str, n: int, name:
     near_end = F.col(seq) % block_size >= block_size - n
     copies = df.withColumn("__block", F.explode(
         F.when(near_end, F.array(block, block + 1)).otherwise(F.array(block))))
+    # Spread by block even where the rows already lie together by task.
+    copies = copies.repartition(task, "__block")
     trailing = Window.partitionBy(task, "__block").orderBy(seq).rowsBetween(-n, -1)
     item = F.struct(F.col(seq).alias("seq"), F.col(value).alias("value"))
     own = F.col("__block") == F.floor(F.col(seq) / block_size)

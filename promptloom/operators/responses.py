@@ -107,14 +107,16 @@ def resolve_input_file(responses: DataFrame, inputs: DataFrame) -> DataFrame:
 def decode_batch_output(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
     """Downloaded output to one VARIANT per answer.
 
-    A text that is one JSON value gives its elements; otherwise every line is parsed by
-    itself, and a line that does not parse becomes the content of an answer.
+    A text that is one JSON value, on one line or on several, gives its elements; otherwise every
+    line is parsed by itself, and a line that does not parse becomes the content of an answer.
     """
     whole = V.parse(F.col(text))
     lines = F.filter(F.split(text, "\r?\n"), lambda line: F.trim(line) != "")
     per_line = F.transform(lines, lambda line: F.coalesce(
         V.parse(line), F.to_variant_object(_wrapped(line))))
-    items = F.when(whole.isNotNull(), F.coalesce(V.as_array(whole), F.array(whole))).otherwise(per_line)
+    # The parser stops after one value, so lines that stand alone are told from one value by the first.
+    one_value = whole.isNotNull() & ((F.size(lines) == 1) | V.parse(F.get(lines, F.lit(0))).isNull())
+    items = F.when(one_value, F.coalesce(V.as_array(whole), F.array(whole))).otherwise(per_line)
     return df.select(*keep, F.posexplode(items).alias("line_no", "answer"))
 
 

@@ -1,5 +1,6 @@
 """Importing the query modules fills the registry."""
 from promptloom.plans import (  # noqa: F401
+    file_queries,
     match_queries,
     name_queries,
     order_queries,

@@ -82,12 +82,16 @@ def scan_config(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return reader.json(path).select("*", F.col("_metadata.file_path").alias("file_path"))
 
 
-def scan_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """Task catalogue of a folder tree ``<user>/<task folder>/config/config.json``."""
-    folder = F.regexp_replace("file_path", "/config/[^/]*$", "")
-    tasks = scan_config(spark, path, "config.json").select(folder.alias("path"), F.col("task_name").alias("config_task_name"))
+def scan_tasks(spark: SparkSession, path: str, glob: str | None = "config.json") -> DataFrame:
+    """Task catalogue of a folder tree ``<user>/<task folder>/config/<config file>``.
+
+    ``name=`` in front of a folder, as partitioned tables have it, is ignored.
+    """
+    folder = F.regexp_replace(F.regexp_replace("file_path", "/[^/]*config/[^/]*$", ""), "/[^/=]+=", "/")
+    tasks = scan_config(spark, path, glob).select(folder.alias("path"), F.col("task_name").alias("config_task_name"))
     parsed = N.parse_task_path(F.col("path"))
     return tasks.select(
         "path", parsed["user_id"].alias("user_id"), parsed["api_name"].alias("api_name"),
-        F.coalesce(F.nullif(parsed["task_name"], F.lit("unknown")), "config_task_name", F.lit("unknown")).alias("task_name"),
+        F.coalesce(F.nullif(parsed["task_name"], F.lit("unknown")), "config_task_name",
+                   F.lit("unknown")).alias("task_name"),
         parsed["created_at"].alias("created_at"))

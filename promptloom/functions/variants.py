@@ -6,8 +6,15 @@ from pyspark.sql import functions as F
 
 
 def parse(text: Column) -> Column:
-    """JSON text as VARIANT, null when it does not parse."""
-    return F.try_parse_json(text)
+    """JSON text as VARIANT, null when it is not exactly one JSON value.
+
+    The built-in parser ignores what follows the first value. Inside brackets the rest of the text is
+    seen as well; a text that could close the brackets itself is also tried inside braces.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    braced = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    sound = ~F.contains(text, F.lit("],")) | braced.isNotNull()
+    return F.when((F.size(listed) == 1) & sound, listed[0])
 
 
 def get(value: Column, path: str, kind: str = "string") -> Column:

@@ -5,5 +5,6 @@ from promptloom.plans import (  # noqa: F401
     name_queries,
     order_queries,
     prompt_queries,
+    stream_queries,
 )
 from promptloom.plans.registry import CHECKS, QUERIES  # noqa: F401

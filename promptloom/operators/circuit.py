@@ -57,7 +57,7 @@ def _summarize(us: np.ndarray, ok: np.ndarray, max_failures: int, reset_us: int)
     opened by call ``i``, ``-1`` not changed at all. Worked out from the last call backwards.
     """
     n = len(us)
-    probe = np.searchsorted(us, us + reset_us, side="left")
+    probe = np.maximum(np.searchsorted(us, us + reset_us, side="left"), np.arange(1, n + 1))
     closed = list(range(max_failures))
     closed_from = np.empty(n + 1, dtype=np.int64)
     closed_from[n] = 0

@@ -68,13 +68,13 @@ def sim_minhash(spark, sf):
 
 @query("sim_cosine", """WITH e AS (SELECT label AS task, embedding::DOUBLE[] AS v,
     row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq FROM embeddings)
-  SELECT a.task, a.seq, b.seq AS prev_seq, round(list_cosine_similarity(a.v, b.v), 4) AS score
+  SELECT a.task, a.seq, b.seq AS prev_seq, round(list_cosine_similarity(a.v, b.v), 4) + 0::DOUBLE AS score
   FROM e a JOIN e b ON a.task = b.task AND b.seq BETWEEN a.seq - 5 AND a.seq - 1""")
 def sim_cosine(spark, sf):
     from promptloom.operators import ordered
     rows = X.table(spark, sf, "embeddings").select(F.col("label").alias("task"), "vec_id", "embedding")
     numbered = ordered.number_rows(rows, ["task"], ["vec_id"], "seq").drop("vec_id")
-    return M.similar_recent(numbered, "task", "seq", "embedding", 5, "cosine").withColumn("score", F.round("score", 4))
+    return M.similar_recent(numbered, "task", "seq", "embedding", 5, "cosine").withColumn("score", F.round("score", 4) + 0.0)
 
 
 @query("trim_history", f"WITH {X.HISTORY} SELECT task, seq, doc_id FROM history h WHERE seq >= (SELECT max(seq) FROM history g WHERE g.task = h.task) - 24")

@@ -1,6 +1,7 @@
 """Where intermediate tables go: the shared folder the cluster names, nothing machine-local."""
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -9,6 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="promptloom-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder from ``spark.checkpoint.dir``; a temporary one only for a local master without it."""
     folder = spark.conf.get(_SETTING, None)
@@ -16,9 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="promptloom-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

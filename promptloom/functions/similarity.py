@@ -25,6 +25,8 @@ SIGNATURE_B_STEP = 69621
 class Scorer:
     feature: Callable[[Column], Column]
     score: Callable[[Column, Column], Column]
+    # A cheap value no score can exceed, where there is one.
+    bound: Callable[[Column, Column], Column] | None = None
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -87,9 +89,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(_dot(a["v"], b["v"]) / norms)
 
 
+def _size_ratio(a: Column, b: Column) -> Column:
+    return F.when(F.greatest(a, b) == 0, F.lit(1.0)).otherwise(F.least(a, b) / F.greatest(a, b))
+
+
 SCORERS = {
-    "jaccard": Scorer(tokens, jaccard),
-    "levenshtein": Scorer(lambda text: text, levenshtein_ratio),
+    "jaccard": Scorer(tokens, jaccard, lambda a, b: _size_ratio(F.size(a), F.size(b))),
+    "levenshtein": Scorer(lambda text: text, levenshtein_ratio, lambda a, b: _size_ratio(F.length(a), F.length(b))),
     "minhash": Scorer(signature, signature_agreement),
     "cosine": Scorer(with_norm, cosine),
 }

@@ -34,22 +34,30 @@ def with_previous(df: DataFrame, task: str, seq: str, value: str, n: int, name:
     return copies.withColumn(name, F.collect_list(item).over(trailing)).where(own).drop("__block")
 
 
-def _scored(df: DataFrame, task: str, seq: str, value: str, n: int, score: str | Scorer) -> DataFrame:
+def _scored(df: DataFrame, task: str, seq: str, value: str, n: int, score: str | Scorer,
+            at_least: float | None = None) -> DataFrame:
+    """Add ``__scores``: previous ``seq`` and score, null where the bound already rules ``at_least`` out."""
     scorer = _scorer(score)
     ready = df.withColumn("__feature", scorer.feature(F.col(value))).drop(value)
     near = with_previous(ready, task, seq, "__feature", n, "__previous")
+
+    def scored(own: Column, other: Column) -> Column:
+        exact = scorer.score(own, other)
+        if at_least is None or scorer.bound is None:
+            return exact
+        return F.when(scorer.bound(own, other) >= at_least, exact)
+
     scores = F.transform("__previous", lambda p: F.struct(
-        p["seq"].alias("prev_seq"), scorer.score(F.col("__feature"), p["value"]).alias("score")))
+        p["seq"].alias("prev_seq"), scored(F.col("__feature"), p["value"]).alias("score")))
     return near.withColumn("__scores", scores).drop("__previous", "__feature")
 
 
 def similar_recent(df: DataFrame, task: str, seq: str, value: str, n: int,
                    score: str | Scorer = "jaccard", at_least: float | None = None) -> DataFrame:
     """One row per response and previous response with their score; at most ``n`` per response."""
-    scored = _scored(df, task, seq, value, n, score)
-    pairs = scored.select(*[c for c in scored.columns if c != "__scores"],
-                          F.explode("__scores").alias("__pair")).select("*", "__pair.*").drop("__pair")
-    return pairs if at_least is None else pairs.where(F.col("score") >= at_least)
+    scored = _scored(df, task, seq, value, n, score, at_least)
+    wanted = F.col("__scores") if at_least is None else F.filter("__scores", lambda s: s["score"] >= at_least)
+    return scored.select(*[c for c in scored.columns if c != "__scores"], F.inline(wanted))
 
 
 def similarity_flag(df: DataFrame, task: str, seq: str, value: str, n: int, threshold: float,

@@ -37,28 +37,26 @@ def stream_inputs(spark: SparkSession, path: str, max_files: int | None = None)
         V.parse(F.col("value")).alias("item"))
 
 
-def _in_order(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(frames, ignore_index=True).sort_values(order, ignore_index=True)
+def _in_order(frames: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    """Rows of one key as tuples sorted by their first fields; cheaper than frames for the usual few rows."""
+    return sorted(row for frame in frames for row in zip(*(frame[c].tolist() for c in columns)))
 
 
-def _stateful(df: DataFrame, keys: list[str], run: Callable, output: str, state: str,
-              timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    return df.groupBy(*keys).applyInPandasWithState(run, output, state, "append", timeout)
+def _stateful(df: DataFrame, keys: list[str], run: Callable, output: str, state: str) -> DataFrame:
+    return df.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_status_changes(df: DataFrame) -> DataFrame:
     """From ``job_id, event_id, us, status`` the rows whose status is new for their job."""
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(frames, ["us", "event_id"])
-        last = state.get[0] if state.exists else None
-        before = rows["status"].shift()
-        before.iloc[0] = last
-        changed = rows["status"] != before
-        if not state.exists:
-            changed.iloc[0] = True
-        state.update((rows["status"].iloc[-1],))
-        yield rows.assign(previous_status=before)[changed][
-            ["event_id", "job_id", "us", "status", "previous_status"]]
+        seen, last, changed = state.exists, state.get[0] if state.exists else None, []
+        for us, event_id, status in _in_order(frames, ["us", "event_id", "status"]):
+            if not seen or status != last:
+                changed.append((event_id, key[0], us, status, last))
+            seen, last = True, status
+        state.update((last,))
+        if changed:
+            yield pd.DataFrame(changed, columns=["event_id", "job_id", "us", "status", "previous_status"])
 
     return _stateful(df.select("job_id", "event_id", "us", "status"), ["job_id"], run,
                      "event_id bigint, job_id bigint, us bigint, status string, previous_status string",
@@ -68,12 +66,8 @@ def stream_status_changes(df: DataFrame) -> DataFrame:
 def stream_latest_status(df: DataFrame) -> DataFrame:
     """Snapshots per job, one whenever something newer came; the newest snapshot is the current one."""
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        newest = None
-        for frame in frames:
-            row = frame.sort_values(["us", "event_id"]).iloc[-1]
-            found = (int(row["us"]), int(row["event_id"]), row["status"])
-            newest = found if newest is None or found[:2] > newest[:2] else newest
-        if not state.exists or newest[:2] > tuple(state.get[:2]):
+        newest = max(max(zip(*(frame[c].tolist() for c in ("us", "event_id", "status")))) for frame in frames)
+        if not state.exists or newest > tuple(state.get):
             state.update(newest)
             yield pd.DataFrame([(key[0], *newest)], columns=["job_id", "us", "event_id", "status"])
 
@@ -94,16 +88,16 @@ def stream_terminal_jobs(df: DataFrame, terminal: tuple[str, ...] = TERMINAL) ->
 def stream_similarity(df: DataFrame, n: int, threshold: float) -> DataFrame:
     """From ``task, seq, text`` the best word-set score among the previous ``n`` of the task."""
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(frames, ["seq"])
         recent = [set(words) for words in json.loads(state.get[0])] if state.exists else []
-        best = []
-        for words in rows["words"]:
+        scored = []
+        for seq, words in _in_order(frames, ["seq", "words"]):
             own = set(words)
             scores = [len(own & old) / len(own | old) if own or old else 1.0 for old in recent]
-            best.append(max(scores, default=0.0))
+            best = max(scores, default=0.0)
+            scored.append((key[0], seq, best, best >= threshold))
             recent = [*recent, own][-n:]
         state.update((json.dumps([sorted(words) for words in recent], ensure_ascii=False),))
-        yield rows[["task", "seq"]].assign(max_score=best, is_similar=[s >= threshold for s in best])
+        yield pd.DataFrame(scored, columns=["task", "seq", "max_score", "is_similar"])
 
     words = df.select("task", "seq", tokens(F.col("text")).alias("words"))
     return _stateful(words, ["task"], run, "task string, seq bigint, max_score double, is_similar boolean",
@@ -113,15 +107,13 @@ def stream_similarity(df: DataFrame, n: int, threshold: float) -> DataFrame:
 def stream_cooldown(df: DataFrame, cooldown: int) -> DataFrame:
     """From ``job_id, event_id, us`` the whole seconds to wait before each row."""
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(frames, ["us", "event_id"])
-        before = rows["us"].shift().astype("Int64")
-        before.iloc[0] = state.get[0] if state.exists else pd.NA
-        left = cooldown * 1_000_000 - (rows["us"].astype("Int64") - before)
-        state.update((int(rows["us"].iloc[-1]),))
-        yield pd.DataFrame({
-            "event_id": rows["event_id"], "job_id": rows["job_id"], "us": rows["us"],
-            "remaining": (left.clip(lower=0) // 1_000_000).fillna(0).astype("int64"),
-            "should_wait": (left > 0).fillna(False).astype(bool)})
+        last, waits = state.get[0] if state.exists else None, []
+        for us, event_id in _in_order(frames, ["us", "event_id"]):
+            left = 0 if last is None else max(0, cooldown * 1_000_000 - (us - last))
+            waits.append((event_id, key[0], us, left // 1_000_000, left > 0))
+            last = us
+        state.update((last,))
+        yield pd.DataFrame(waits, columns=["event_id", "job_id", "us", "remaining", "should_wait"])
 
     return _stateful(df.select("job_id", "event_id", "us"), ["job_id"], run,
                      "event_id bigint, job_id bigint, us bigint, remaining bigint, should_wait boolean", "us bigint")
@@ -132,45 +124,42 @@ def stream_circuit(df: DataFrame, max_failures: int = MAX_FAILURES, reset_second
     reset_us = reset_seconds * 1_000_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = _in_order(frames, ["us", "call_id"])
         failures, opened = state.get if state.exists else (0, None)
-        outcomes, is_open = [], []
-        for us, ok in zip(rows["us"].tolist(), rows["ok"].tolist()):
+        labelled = []
+        for us, call_id, ok in _in_order(frames, ["us", "call_id", "ok"]):
             failures, opened, outcome = step(failures, opened, us, ok, max_failures, reset_us)
-            outcomes.append(outcome)
-            is_open.append(opened is not None)
+            labelled.append((key[0], call_id, outcome, opened is not None))
         state.update((failures, opened))
-        yield rows[["provider", "call_id"]].assign(outcome=outcomes, is_open=is_open)
+        yield pd.DataFrame(labelled, columns=["provider", "call_id", "outcome", "is_open"])
 
     return _stateful(df.select("provider", "call_id", "us", "ok"), ["provider"], run,
                      "provider string, call_id bigint, outcome string, is_open boolean", "failures bigint, opened bigint")
 
 
-def stream_cache_dedup(df: DataFrame, ttl_seconds: int) -> DataFrame:
+def stream_cache_dedup(df: DataFrame, ttl_seconds: int, slices: int = 256) -> DataFrame:
     """From ``cache_key, event_id, us`` the rows that are not repeats within the time to live.
 
-    Rows later than the time to live behind the newest row seen may be dropped, and the state of a
-    key ends when the watermark passes its last use plus the time to live.
+    Keys are many and have few rows each, so the state is kept per hash slice of keys: last use of
+    every key that can still be repeated. Choose ``slices`` so that one holds some hundreds of live keys. A
+    row further behind the newest one than the time to live may find its key forgotten.
     """
     ttl_us = ttl_seconds * 1_000_000
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _in_order(frames, ["us", "event_id"])
-        before = rows["us"].shift().astype("Int64")
-        before.iloc[0] = state.get[0] if state.exists else pd.NA
-        age = rows["us"].astype("Int64") - before
-        last = int(rows["us"].iloc[-1])
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows[(age > ttl_us).fillna(True).astype(bool)][["cache_key", "event_id", "us"]]
-
-    timed = df.select("cache_key", "event_id", "us", F.timestamp_micros("us").alias("event_time")).withWatermark(
-        "event_time", f"{ttl_seconds} seconds")
-    return _stateful(timed, ["cache_key"], run, "cache_key string, event_id bigint, us bigint", "us bigint",
-                     GroupStateTimeout.EventTimeTimeout)
+        last, fresh = json.loads(state.get[0]) if state.exists else {}, []
+        for us, event_id, name in _in_order(frames, ["us", "event_id", "cache_key"]):
+            if name not in last or us - last[name] > ttl_us:
+                fresh.append((name, event_id, us))
+            last[name] = max(us, last.get(name, us))
+        oldest = state.getCurrentWatermarkMs() * 1000 - ttl_us
+        state.update((json.dumps({name: us for name, us in last.items() if us >= oldest}),))
+        if fresh:
+            yield pd.DataFrame(fresh, columns=["cache_key", "event_id", "us"])
+
+    timed = df.select("cache_key", "event_id", "us", F.timestamp_micros("us").alias("event_time"),
+                      F.pmod(F.xxhash64("cache_key"), F.lit(slices)).alias("slice"))
+    return _stateful(timed.withWatermark("event_time", "0 seconds"), ["slice"], run,
+                     "cache_key string, event_id bigint, us bigint", "last string")
 
 
 def stream_run_log(df: DataFrame, level: str, message: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """Row numbers, previous values and running totals that hold when one key owns a third of all rows.
 
 A plain window puts a whole key into one task. Here the total order of the table is cut into ranges
-of about equal size, so ``(key, range)`` never exceeds one range. Windows run inside those groups and a
-small per-range summary carries counts, last rows or sums across range borders. The split points
-are read once from a bounded sample and become constants of the plan: a recomputed task
-finds the same ranges, whatever happened to the first attempt.
+of about equal size, so ``(key, range)`` never exceeds one range, and windows run inside those groups.
+What a group must know of earlier ranges (a count, a last row, a sum) comes from a small summary and
+is put in front of the group as one more row, so the rows themselves are shuffled once and not joined. The
+split points are read once from a bounded sample and become constants of the plan: a recomputed
+task finds the same ranges, whatever happened to the first attempt.
 """
 from __future__ import annotations
 
@@ -20,6 +21,7 @@ SAMPLES_PER_RANGE = 40
 
 _RANGE = "__range"
 _ORDER = "__order"
+_CARRY = "__carry"
 
 
 def range_rows(df: DataFrame) -> int:
@@ -83,7 +85,7 @@ def cut_ranges(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool]:
 
 
 def _inside(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys, _RANGE).orderBy(_ORDER)
+    return Window.partitionBy(*keys, _RANGE).orderBy(F.col(_CARRY).desc(), _ORDER)
 
 
 def _before(keys: Sequence[str]) -> Window:
@@ -91,63 +93,56 @@ def _before(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _attach(rows: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    on = [*keys, _RANGE]
-    renamed = summary.select(*[F.col(c).alias(f"__s_{c}") for c in on],
-                             *[c for c in summary.columns if c not in on])
-    matches = [rows[c].eqNullSafe(renamed[f"__s_{c}"]) for c in on]
-    condition = matches[0]
-    for m in matches[1:]:
-        condition = condition & m
-    return rows.join(renamed, condition, "left").drop(*[f"__s_{c}" for c in on])
+def _scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Mapping[str, Column],
+          carry: Mapping[str, Column], carried: Mapping[str, Column], outputs: Mapping[str, Column]) -> DataFrame:
+    """Ordered computation over keys of any size.
+
+    ``inputs`` are columns added to each row, ``carry`` aggregates them per range, ``carried`` names the
+    input values of the row in front of a range (windows over earlier summaries of the key), and ``outputs``
+    are window functions over all rows of a range including that one.
+    """
+    cut, several = cut_ranges(df, order)
+    rows = cut.withColumns({**inputs, _CARRY: F.lit(False)})
+    if several:
+        summary = rows.groupBy(*keys, _RANGE).agg(*[c.alias(name) for name, c in carry.items()])
+        first = summary.select(*keys, _RANGE, *[c.alias(name) for name, c in carried.items()], F.lit(True).alias(_CARRY))
+        rows = rows.unionByName(first, allowMissingColumns=True)
+    done = rows.withColumns(dict(outputs))
+    return (done.where(~F.col(_CARRY)) if several else done).drop(_ORDER, _RANGE, _CARRY, *inputs)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx",
                 start: int = 0) -> DataFrame:
     """Dense position of each row inside its key, counted from ``start``."""
-    cut, several = cut_ranges(df, order)
-    local = cut.withColumn(name, F.row_number().over(_inside(keys)).cast("long") - 1 + start)
-    if several:
-        counts = cut.groupBy(*keys, _RANGE).agg(F.count("*").alias("__n"))
-        offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(_before(keys)), F.lit(0)))
-        local = _attach(local, offsets.drop("__n"), keys).withColumn(
-            name, F.col(name) + F.coalesce("__offset", F.lit(0))).drop("__offset")
-    return local.drop(_ORDER, _RANGE)
+    upto = _inside(keys).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = F.coalesce(F.sum("__n").over(_before(keys)), F.lit(0))
+    return _scan(df, keys, order, {"__n": F.lit(1).cast("long")}, {"__n": F.sum("__n")}, {"__n": earlier},
+                 {name: F.sum("__n").over(upto) - 1 + start})
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                     columns: Mapping[str, str]) -> DataFrame:
     """For ``{new: old}`` add the ``old`` value of the row just before, null for the first row of a key."""
-    cut, several = cut_ranges(df, order)
     picked = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
-    local = cut.withColumn("__previous_row", F.lag(picked).over(_inside(keys)))
-    if several:
-        lasts = cut.groupBy(*keys, _RANGE).agg(F.max_by(picked, F.col(_ORDER)).alias("__last"))
-        carry = lasts.withColumn(
-            "__carry", F.lag("__last").over(Window.partitionBy(*keys).orderBy(_RANGE)))
-        local = _attach(local, carry.drop("__last"), keys).withColumn(
-            "__previous_row", F.coalesce("__previous_row", "__carry")).drop("__carry")
-    return local.withColumns({new: F.col("__previous_row")[new] for new in columns}).drop(
-        "__previous_row", _ORDER, _RANGE)
+    last = F.max_by("__values", F.col(_ORDER))
+    earlier = F.lag("__values").over(Window.partitionBy(*keys).orderBy(_RANGE))
+    before = F.lag("__values").over(_inside(keys))
+    scanned = _scan(df, keys, order, {"__values": picked}, {"__values": last}, {"__values": earlier},
+                    {"__previous_row": before})
+    return scanned.withColumns({new: F.col("__previous_row")[new] for new in columns}).drop("__previous_row")
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  columns: Mapping[str, str]) -> DataFrame:
     """For ``{new: old}`` add the sum of ``old`` up to and including each row (null counts as 0)."""
-    cut, several = cut_ranges(df, order)
     upto = _inside(keys).rowsBetween(Window.unboundedPreceding, 0)
-    local = cut.withColumns(
-        {new: F.sum(F.coalesce(F.col(old), F.lit(0))).over(upto) for new, old in columns.items()})
-    if several:
-        sums = cut.groupBy(*keys, _RANGE).agg(
-            *[F.sum(F.coalesce(F.col(old), F.lit(0))).alias(f"__t_{new}") for new, old in columns.items()])
-        carry = sums.withColumns(
-            {f"__c_{new}": F.coalesce(F.sum(f"__t_{new}").over(_before(keys)), F.lit(0)) for new in columns})
-        local = _attach(local, carry.drop(*[f"__t_{new}" for new in columns]), keys)
-        local = local.withColumns(
-            {new: F.col(new) + F.coalesce(f"__c_{new}", F.lit(0)) for new in columns})
-        local = local.drop(*[f"__c_{new}" for new in columns])
-    return local.drop(_ORDER, _RANGE)
+    parts = {new: f"__part_{new}" for new in columns}
+    return _scan(
+        df, keys, order,
+        {parts[new]: F.coalesce(F.col(old), F.lit(0)) for new, old in columns.items()},
+        {part: F.sum(part) for part in parts.values()},
+        {part: F.coalesce(F.sum(part).over(_before(keys)), F.lit(0)) for part in parts.values()},
+        {new: F.sum(part).over(upto) for new, part in parts.items()})
 
 
 def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,

@@ -62,10 +62,10 @@ def task_by_path(wanted: DataFrame, tasks: DataFrame, path: str = "path") -> Dat
     return tasks.join(wanted.select(path).distinct(), path, "left_semi")
 
 
-def task_status(wanted: DataFrame, tasks: DataFrame, path: str = "path") -> DataFrame:
-    """Status of each wanted path, ``unknown`` when there is no such task."""
+def task_status(wanted: DataFrame, tasks: DataFrame, spread: Sequence[str], path: str = "path") -> DataFrame:
+    """Status of each wanted path, ``unknown`` when there is no such task. ``tasks`` has one row per path."""
     known = tasks.select(path, "status")
-    return wanted.join(known, path, "left").withColumn("status", F.coalesce("status", F.lit(UNKNOWN)))
+    return joins.salted_join(wanted, known, [path], "left", spread).withColumn("status", F.coalesce("status", F.lit(UNKNOWN)))
 
 
 def resolve_provider(df: DataFrame, registry: DataFrame, name: str, value: str, default: Column,

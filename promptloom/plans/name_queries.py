@@ -137,7 +137,7 @@ def task_status(spark, sf):
     rows = X.tasks(spark, sf)
     status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "running").otherwise("pending")
     known = rows.where("o_orderkey % 3 <> 0").select("path", status.alias("status"))
-    return C.task_status(rows.select("o_orderkey", "path"), known)
+    return C.task_status(rows.select("o_orderkey", "path"), known, ["o_orderkey"])
 
 
 # --- config --------------------------------------------------------------------------------------

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from promptloom.functions.variants import let
+
 # The two folder stamps in use.
 FOLDER_STAMP = "dd_MM_yyyy_HHmmss"
 COMPACT_STAMP = "yyyyMMdd_HHmmss"
@@ -61,28 +63,23 @@ def task_path(root: Column, user: Column, folder: Column) -> Column:
     return F.concat_ws("/", root, user, folder)
 
 
-def _stamp(text: Column, pattern: str) -> Column:
-    return F.try_to_timestamp(text, F.lit(pattern)).cast("timestamp_ntz")
+def _stamp_time(stamp: Column) -> Column:
+    """Time of either stamp; the length tells which one it is."""
+    def read(pattern: str) -> Column:
+        return F.try_to_timestamp(stamp, F.lit(pattern)).cast("timestamp_ntz")
+    return F.when(F.length(stamp) == 17, read(FOLDER_STAMP)).when(F.length(stamp) == 15, read(COMPACT_STAMP))
 
 
 def parse_task_path(path: Column) -> Column:
     """Struct ``user_id, api_name, task_name, created_at`` from ``.../<user>/<api>_<task>_<stamp>``."""
-    parts = F.split(F.regexp_replace(path, "/+$", ""), "/")
-    folder = F.element_at(parts, -1)
-    user = F.try_element_at(parts, F.lit(-2))
-    long_form = r"^([^_]+)_(.+)_(\d{2}_\d{2}_\d{4}_\d{6})$"
-    short_form = r"^([^_]+)_(.+)_(\d{8}_\d{6})$"
-
-    def part(i: int) -> Column:
-        return (F.when(folder.rlike(long_form), F.regexp_extract(folder, long_form, i))
-                .when(folder.rlike(short_form), F.regexp_extract(folder, short_form, i)))
-
-    return F.struct(
-        F.coalesce(user, F.lit("unknown")).alias("user_id"),
-        F.coalesce(part(1), folder).alias("api_name"),
-        F.coalesce(part(2), F.lit("unknown")).alias("task_name"),
-        F.coalesce(_stamp(part(3), FOLDER_STAMP), _stamp(part(3), COMPACT_STAMP)).alias("created_at"),
-    )
+    folders = F.split(F.rtrim(path, F.lit("/")), "/")
+    cut = F.regexp_replace(F.element_at(folders, -1),
+                           r"^([^_]+)_(.+)_(\d{2}_\d{2}_\d{4}_\d{6}|\d{8}_\d{6})$", "$1/$2/$3")
+    return let(F.split(cut, "/"), lambda parts: F.struct(
+        F.coalesce(F.try_element_at(folders, F.lit(-2)), F.lit("unknown")).alias("user_id"),
+        parts[0].alias("api_name"),
+        F.coalesce(F.get(parts, F.lit(1)), F.lit("unknown")).alias("task_name"),
+        _stamp_time(F.get(parts, F.lit(2))).alias("created_at")))
 
 
 def resolve_task_name(config_name: Column, nested_name: Column, folder: Column) -> Column:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from promptloom.functions.variants import let
+
 TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 
 # Fixed values for the signature: a prime modulus and the two multiplicative steps that give
@@ -29,11 +31,6 @@ class Scorer:
     bound: Callable[[Column, Column], Column] | None = None
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def tokens(text: Column) -> Column:
     """Distinct words of a text."""
     return F.array_distinct(F.array_remove(F.split(text, TOKEN_BREAK), ""))
@@ -43,7 +40,7 @@ def jaccard(a: Column, b: Column) -> Column:
     """Shared share of two distinct-word arrays; two empty ones count as equal."""
     both = F.size(a) + F.size(b)
     return F.when(both == 0, F.lit(1.0)).otherwise(
-        _let(F.size(F.array_intersect(a, b)), lambda shared: shared / (both - shared)))
+        let(F.size(F.array_intersect(a, b)), lambda shared: shared / (both - shared)))
 
 
 def levenshtein_ratio(a: Column, b: Column) -> Column:
@@ -64,7 +61,7 @@ def signature(text: Column) -> Column:
         tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint"))
     steps = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
                       for a, b in signature_steps()])
-    return _let(hashed, lambda words: F.transform(steps, lambda s: F.array_min(
+    return let(hashed, lambda words: F.transform(steps, lambda s: F.array_min(
         F.transform(words, lambda h: (h * s["a"] + s["b"]) % SIGNATURE_PRIME))))
 
 
@@ -80,7 +77,7 @@ def _dot(x: Column, y: Column) -> Column:
 
 def with_norm(vector: Column) -> Column:
     """A numeric array in double precision together with its length."""
-    return _let(vector.cast("array<double>"), lambda v: F.struct(v.alias("v"), F.sqrt(_dot(v, v)).alias("norm")))
+    return let(vector.cast("array<double>"), lambda v: F.struct(v.alias("v"), F.sqrt(_dot(v, v)).alias("norm")))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,10 +1,17 @@
 """Column helpers for VARIANT values (parsed JSON of unknown shape)."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``, also inside conditions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parse(text: Column) -> Column:
     """JSON text as VARIANT, null when it is not exactly one JSON value.
 
@@ -14,7 +21,7 @@ def parse(text: Column) -> Column:
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     braced = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
     sound = ~F.contains(text, F.lit("],")) | braced.isNotNull()
-    return F.when((F.size(listed) == 1) & sound, listed[0])
+    return let(listed, lambda values: F.when((F.size(values) == 1) & sound, values[0]))
 
 
 def get(value: Column, path: str, kind: str = "string") -> Column:

@@ -1,6 +1,8 @@
 """Prompt records of any shape: finding the user text and system text, building request bodies."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,44 +18,44 @@ EMPTY_PROMPTS = "Empty prompts list"
 
 def normalize_prompt(value: Column, prompt_key: str) -> Column:
     """Lenient user text: a string, the prompt field, the only field, or the whole item as JSON."""
-    fields = V.as_object(value)
-    return (
+    return V.let(V.as_object(value), lambda fields: (
         F.when(F.map_contains_key(fields, prompt_key), V.text_of(fields[prompt_key]))
         .when(F.size(fields) == 1, V.text_of(F.map_values(fields)[0]))
-        .otherwise(V.whole_text(value))
-    )
+        .otherwise(V.whole_text(value))))
 
 
-def _prompt_field(value: Column, key: str) -> Column:
-    """A field of the first entry of ``prompts`` when that is a list, else of the item itself."""
-    nested = V.as_array(V.get(value, "$.prompts", "variant"))
-    first = F.get(nested, F.lit(0))
-    return F.when(nested.isNotNull(), V.get(first, f"$.{key}", "variant")).otherwise(
-        V.get(value, f"$.{key}", "variant"))
+def _holder(value: Column) -> Column:
+    """Where the fields are: the first entry of ``prompts`` when that is a list, else the item itself.
 
+    A struct, so that an empty list (``empty``) and a list whose first entry is no object can be told apart.
+    """
+    return V.let(V.as_array(V.get(value, "$.prompts", "variant")), lambda nested: F.struct(
+        F.when(nested.isNotNull(), F.get(nested, F.lit(0))).otherwise(value).alias("at"),
+        F.coalesce(F.size(nested) == 0, F.lit(False)).alias("empty")))
 
-def _missing(value: Column, field: Column, message: str) -> Column:
-    nested = V.as_array(V.get(value, "$.prompts", "variant"))
-    return F.when(F.size(nested) == 0, F.lit(EMPTY_PROMPTS)).when(V.is_falsy(field), F.lit(message))
+
+def _strict(value: Column, key: str, message: str, found: Callable[[Column, Column, Column], Column]) -> Column:
+    """Call ``found`` with the holder, the field's text and the error of a required field."""
+    def check(holder: Column, field: Column) -> Column:
+        error = F.when(holder["empty"], F.lit(EMPTY_PROMPTS)).when(V.is_falsy(field), F.lit(message))
+        return V.let(F.struct(V.text_of(field).alias("text"), error.alias("error")),
+                     lambda r: found(holder["at"], F.when(r["error"].isNull(), r["text"]), r["error"]))
+    return V.let(_holder(value), lambda holder: V.let(
+        V.get(holder["at"], f"$.{key}", "variant"), lambda field: check(holder, field)))
 
 
 def find_prompt(value: Column, prompt_key: str, system_key: str, is_dynamic: bool) -> Column:
     """Strict lookup: struct of ``user``, ``system`` and ``error`` (null when the prompt is there)."""
-    user = _prompt_field(value, prompt_key)
-    error = _missing(value, user, f"Required prompt field '{prompt_key}' not found in input")
-    system = select_system(V.text_of(_prompt_field(value, system_key)), is_dynamic)
-    return F.struct(
-        F.when(error.isNull(), V.text_of(user)).alias("user"),
-        F.when(error.isNull(), system).alias("system"),
-        error.alias("error"),
-    )
+    def found(at: Column, user: Column, error: Column) -> Column:
+        system = select_system(V.get(at, f"$.{system_key}"), is_dynamic)
+        return F.struct(user.alias("user"), F.when(error.isNull(), system).alias("system"), error.alias("error"))
+    return _strict(value, prompt_key, f"Required prompt field '{prompt_key}' not found in input", found)
 
 
 def find_text(value: Column) -> Column:
     """Strict text for translation: struct of ``text`` and ``error``."""
-    text = _prompt_field(value, "text")
-    error = _missing(value, text, "Required 'text' field not found in input")
-    return F.struct(F.when(error.isNull(), V.text_of(text)).alias("text"), error.alias("error"))
+    return _strict(value, "text", "Required 'text' field not found in input",
+                   lambda _, text, error: F.struct(text.alias("text"), error.alias("error")))
 
 
 def select_system(system: Column, is_dynamic: bool | Column, default: str = DEFAULT_SYSTEM) -> Column:

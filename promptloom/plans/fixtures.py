@@ -144,8 +144,8 @@ def configs(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('"user_id":"user'), k.cast("string"), F.lit('","'), api, F.lit('":'), section,
         F.when(k % 17 == 0, F.lit("")).otherwise(F.lit(',"general":{"verbose":true,"num_processes":10}')),
         F.lit("}"))
-    return rows.select("c_custkey", "c_name", "c_nationkey", api.alias("api"), text.alias("config_text"),
-                       V.parse(text).alias("config"))
+    built = rows.select("c_custkey", "c_name", "c_nationkey", api.alias("api"), text.alias("config_text"))
+    return built.withColumn("config", V.parse(F.col("config_text")))
 
 
 CONFIGS = """raw AS (SELECT c_custkey AS k, c_name, c_nationkey,

@@ -17,6 +17,7 @@ def parse(text: Column) -> Column:
 
     The built-in parser ignores what follows the first value. Inside brackets the rest of the text is
     seen as well; a text that could close the brackets itself is also tried inside braces.
+    Give the result of a Python function a column of its own before parsing it.
     """
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     braced = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))

@@ -155,7 +155,8 @@ def leaf_paths(spark, sf):
     (j->>'$.general.num_processes')::BIGINT AS num_processes, (j->>'$.extra.n')::BIGINT AS n FROM m""")
 def deep_merge(spark, sf):
     update = F.concat(F.lit('{"user_id":"u2","general":{"verbose":false},"extra":{"n":'), F.col("c_custkey").cast("string"), F.lit("}}"))
-    merged = X.configs(spark, sf).select("c_custkey", V.parse(G.deep_merge("config_text", update)).alias("m"))
+    text = X.configs(spark, sf).select("c_custkey", G.deep_merge("config_text", update).alias("text"))
+    merged = text.select("c_custkey", V.parse(F.col("text")).alias("m"))
     return merged.select("c_custkey", V.get(F.col("m"), "$.user_id").alias("user_id"), V.get(F.col("m"), "$.task_name").alias("task_name"),
                          V.get(F.col("m"), "$.general.verbose").alias("verbose"),
                          V.get(F.col("m"), "$.general.num_processes", "bigint").alias("num_processes"), V.get(F.col("m"), "$.extra.n", "bigint").alias("n"))

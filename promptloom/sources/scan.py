@@ -8,6 +8,7 @@ from promptloom.functions import names as N
 from promptloom.functions import variants as V
 from promptloom.operators import joins
 from promptloom.operators.config import CONFIG_SCHEMA
+from promptloom.sources import workspace
 
 RAW_RESPONSES = "*_raw_response.json"
 
@@ -54,21 +55,25 @@ def scan_inputs(spark: SparkSession, path: str) -> DataFrame:
     return scan_json(spark, path, "*.json").unionByName(scan_jsonl(spark, path, "*.jsonl"))
 
 
+SPLITS_CHANGED = "file splits differ from those counted; fix spark.sql.files.maxPartitionBytes and minPartitionNum"
+
+
 def with_position(df: DataFrame, file: str = "file_path") -> DataFrame:
     """Add ``idx``, the 0-based place of each row in its file.
 
     Row ids grow by one inside a split, so only the row count and first id of each split are
-    needed: the rows are not shuffled or sorted, even when one file holds most of them.
+    needed: the rows are not shuffled or sorted, even when one file holds most of them. The split table is
+    stored, so the files are read once for it and once for the rows.
     """
-    splits = df.groupBy(file, "block_start").agg(
-        F.count("*").alias("__n"), F.min("row_id").alias("__first"))
+    splits = workspace.materialize(df.groupBy(file, "block_start").agg(
+        F.count("*").alias("__n"), F.min("row_id").alias("__first")), "splits")
     earlier = Window.partitionBy(file).orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select(file, "block_start", "__first",
                            F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    placed = df.join(F.broadcast(starts), [file, "block_start"], "left") if joins.is_small(starts) \
-        else df.join(starts, [file, "block_start"], "left")
-    return placed.withColumn("idx", F.col("row_id") - F.col("__first") + F.col("__start")).drop(
-        "__first", "__start")
+    placed = df.join(F.broadcast(starts) if joins.is_small(splits) else starts, [file, "block_start"], "left")
+    idx = F.col("row_id") - F.col("__first") + F.col("__start")
+    return placed.withColumn("idx", F.when(idx.isNull(), F.raise_error(F.lit(SPLITS_CHANGED)).cast("bigint"))
+                             .otherwise(idx)).drop("__first", "__start")
 
 
 def scan_raw_responses(spark: SparkSession, path: str) -> DataFrame:

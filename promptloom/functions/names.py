@@ -64,10 +64,10 @@ def task_path(root: Column, user: Column, folder: Column) -> Column:
 
 
 def _stamp_time(stamp: Column) -> Column:
-    """Time of either stamp; the length tells which one it is."""
-    def read(pattern: str) -> Column:
-        return F.try_to_timestamp(stamp, F.lit(pattern)).cast("timestamp_ntz")
-    return F.when(F.length(stamp) == 17, read(FOLDER_STAMP)).when(F.length(stamp) == 15, read(COMPACT_STAMP))
+    """Zone-free time of either stamp, null for anything that is no date."""
+    day_first = F.regexp_replace(stamp, r"^(\d{2})_(\d{2})_(\d{4})_(\d{2})(\d{2})(\d{2})$", "$3-$2-$1 $4:$5:$6")
+    iso = F.regexp_replace(day_first, r"^(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6")
+    return iso.try_cast("timestamp_ntz")
 
 
 def parse_task_path(path: Column) -> Column:

@@ -9,7 +9,13 @@ _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
 def epoch_micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zone-free timestamp, whatever the session time zone is."""
-    return F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), ts.cast("timestamp_ntz"))
+    since = ts.cast("timestamp_ntz") - F.expr(_EPOCH)
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), since)
+
+    whole = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return whole * 60_000_000 + (part("SECOND") * 1_000_000).cast("bigint")
 
 
 def elapsed_text(seconds: Column) -> Column:
@@ -28,7 +34,7 @@ def parse_created_at(text: Column) -> Column:
     """ISO text (``Z`` or an offset allowed) or epoch seconds, as a UTC zone-free timestamp."""
     iso = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?"
     zone = F.regexp_extract(text, r"([+-])(\d{2}):?(\d{2})$", 0)
-    local = F.try_to_timestamp(F.regexp_extract(text, iso, 0)).cast("timestamp_ntz")
+    local = F.regexp_extract(text, iso, 0).try_cast("timestamp_ntz")
     sign = F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)
     minutes = F.when(
         text.rlike(r"T.*[+-]\d{2}:?\d{2}$"),

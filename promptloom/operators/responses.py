@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import names as N
 from promptloom.functions import variants as V
+from promptloom.functions.times import epoch_micros
 from promptloom.operators import joins
 
 # Fixed values of the response format.
@@ -66,7 +67,7 @@ def mark_errors(df: DataFrame, content: str, error: str = "error") -> DataFrame:
 
 
 def result_envelope(input_: Column, response: Column, started: Column, finished: Column) -> Column:
-    seconds = F.timestamp_diff("MICROSECOND", started, finished) / F.lit(1e6)
+    seconds = (epoch_micros(finished) - epoch_micros(started)) / F.lit(1e6)
     return F.struct(input_.alias("input"), response.alias("response"), finished.alias("timestamp"),
                     seconds.alias("duration"))
 

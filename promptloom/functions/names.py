@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.variants import let
 
-# The two folder stamps in use.
-FOLDER_STAMP = "dd_MM_yyyy_HHmmss"
+# The compact folder stamp (the other one is day_month_year_time) and the fallback names.
 COMPACT_STAMP = "yyyyMMdd_HHmmss"
 DEFAULT_LANGUAGE = "en"
 DEFAULT_TASK = "task"
@@ -56,7 +55,9 @@ def input_stem(response_name: Column) -> Column:
 
 
 def task_folder_name(api: Column, task: Column, created_at: Column) -> Column:
-    return F.concat_ws("_", api, task, F.date_format(created_at, FOLDER_STAMP))
+    stamp = F.regexp_replace(created_at.cast("timestamp_ntz").cast("string"),
+                             r"^(\d{4})-(\d{2})-(\d{2}) (\d{2}):(\d{2}):(\d{2}).*$", "$3_$2_$1_$4$5$6")
+    return F.concat_ws("_", api, task, stamp)
 
 
 def task_path(root: Column, user: Column, folder: Column) -> Column:

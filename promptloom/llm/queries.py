@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import quality, tokens
+from promptloom.llm import lines, mixing, quality, secrets, tokens
 from promptloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -13,7 +13,22 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
 
 
+@query("op4_secret_scans")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
     return tokens.count_tokens(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_mixing", mixing.SQL)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents", "doc_id", "text", "source"))
+
+
+@query("op9_line_dedup", lines.SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import lines, mixing, quality, secrets, tokens
+from promptloom.llm import lines, mixing, near, quality, secrets, tokens
 from promptloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -13,6 +13,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
 
 
+@query("op3_minhash_near_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents", "doc_id", "text"), shingle_words=4)
+
+
 @query("op4_secret_scans")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents", "doc_id", "text"))

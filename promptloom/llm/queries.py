@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import lines, mixing, near, quality, secrets, tokens
+from promptloom.llm import leaks, lines, mixing, near, quality, secrets, tokens
 from promptloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -37,3 +37,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_line_dedup", lines.SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return lines.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op10_decontamination")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark"))

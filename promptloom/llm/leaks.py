@@ -28,7 +28,7 @@ PERCENT = 20
 LEAST_WORDS = 6
 WALKS, TABLES = 2, 6
 #: Window words, places sampled for one key.
-CLASSES = ((12, 4), (6, 3))
+CLASSES = ((12, 6), (6, 4))
 BLOCK_WORDS = 200_000
 _CHUNK = 1 << 15
 _MAP_BITS = 21
@@ -127,6 +127,20 @@ def edit_distances(item: np.ndarray, words: np.ndarray, low: np.ndarray, high: n
     return best >> 32, low + (best & (unit - 1)), low + end
 
 
+def _possible(item: np.ndarray, words: np.ndarray, spans: np.ndarray, least: int) -> np.ndarray:
+    """The distinct (row, low, high) with ``least`` words that occur in the item; with fewer, too many edits are certain."""
+    spans = np.unique(spans, axis=0)
+    known = np.zeros(1 << 12, bool)
+    known[item >> np.uint64(52)] = True
+    good = []
+    for k in range(0, len(spans), 4096):
+        block = spans[k:k + 4096]
+        place = block[:, 1:2] + np.arange(int((block[:, 2] - block[:, 1]).max()))
+        held = known[words[np.minimum(place, len(words) - 1)] >> np.uint64(52)] & (place < block[:, 2:])
+        good.append(block[held.sum(1) >= least])
+    return np.concatenate(good)
+
+
 def find_leaks(texts: Texts, items: list[np.ndarray], index: list[dict], percent: int) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, first word, end word) of every leak of a row, the best one for each item."""
     texts.find_words()
@@ -146,7 +160,7 @@ def find_leaks(texts: Texts, items: list[np.ndarray], index: list[dict], percent
             fits = high - low >= len(item) - slack
             if not fits.any():
                 continue
-            spans = np.unique(np.column_stack([row[fits], low[fits], high[fits]]), axis=0)
+            spans = _possible(item, words, np.column_stack([row[fits], low[fits], high[fits]]), len(item) - slack)
             for k0 in range(0, len(spans), 4096):
                 block = spans[k0:k0 + 4096]
                 edits, a, b = edit_distances(item, words, block[:, 1], block[:, 2])

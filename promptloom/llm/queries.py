@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import leaks, lines, mixing, near, quality, secrets, tokens
+from promptloom.llm import leaks, lines, mixing, near, quality, secrets, tokens, toxicity
 from promptloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -34,6 +34,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents", "doc_id", "text", "source"))
 
 
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
 @query("op9_line_dedup", lines.SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return lines.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))

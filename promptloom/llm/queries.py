@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import leaks, lines, mixing, near, quality, secrets, tokens, toxicity
+from promptloom.llm import leaks, lines, mixing, near, quality, repeats, secrets, tokens, toxicity
 from promptloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -13,6 +13,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, folder, "labels")))
 
 
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @query("op3_minhash_near_dedup")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents", "doc_id", "text"), shingle_words=4)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import leaks, lines, mixing, near, quality, repeats, secrets, tokens, toxicity
+from promptloom.llm import leaks, lines, mixing, near, pages, quality, repeats, secrets, tokens, toxicity
 from promptloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -28,6 +28,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@query("op5_html_extraction")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
+
+
 @query("op6_token_counts")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers

@@ -84,10 +84,14 @@ def _runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row long, key long, whole long, first int, last int, own long")
 
 
-def _judge(runs: DataFrame) -> DataFrame:
-    """Adds ``copies``, ``kinds`` (differing runs of the key) and ``asked``: whether the run must be compared byte by byte."""
+def judge(runs: DataFrame, across: bool = False) -> DataFrame:
+    """Adds ``copies``, ``kinds`` (differing runs of the key) and ``asked``: whether the run must be compared byte by byte.
+
+    With ``across``, only repeats in different rows count.
+    """
     place = F.xxhash64("row", "first")
-    classes = runs.groupBy("key", "whole").agg(F.count("*").alias("copies"), F.min(place).alias("chosen"))
+    count = F.when(F.min("row") == F.max("row"), 1).otherwise(F.count("*")) if across else F.count("*")
+    classes = runs.groupBy("key", "whole").agg(count.alias("copies"), F.min(place).alias("chosen"))
     groups = (classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum((F.col("copies") == 1).cast("int")).alias("singles")))
     mixed = classes.join(groups, "key")
     asked = F.when(F.col("copies") == 1, (F.col("kinds") > 1) | (F.col("own") > 1)).otherwise(
@@ -96,7 +100,8 @@ def _judge(runs: DataFrame) -> DataFrame:
             .withColumn("asked", asked).drop("chosen", "singles", "own"))
 
 
-def _shard_repeats(stretches: list[bytes], row: np.ndarray, first: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+def _shard_repeats(stretches: list[bytes], row: np.ndarray, first: np.ndarray, starts: np.ndarray, length: int,
+                   across: bool = False) -> list[tuple[int, int, int]]:
     """(stretch, from, to) of the starts whose string occurs at another place of the shard."""
     # 0xFF is in no UTF-8 text: a suffix that runs out of its stretch shares no whole string with one that does not.
     lengths = np.array([len(s) + 1 for s in stretches])
@@ -117,7 +122,9 @@ def _shard_repeats(stretches: list[bytes], row: np.ndarray, first: np.ndarray, s
     block = np.cumsum(common[:-1] < length)[valid]
     suffix = order[valid]
     # The same place of a text may be in two stretches; it is no repeat of itself.
-    place_id = mix(row[owner[suffix]].view(np.uint64) + mix((first[owner[suffix]] + offset[suffix]).astype(np.uint64)))
+    place_id = row[owner[suffix]].view(np.uint64)
+    if not across:
+        place_id = mix(place_id + mix((first[owner[suffix]] + offset[suffix]).astype(np.uint64)))
     if not len(block):
         return []
     heads = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
@@ -132,12 +139,12 @@ def _shard_repeats(stretches: list[bytes], row: np.ndarray, first: np.ndarray, s
     return found
 
 
-def _compare(stretches: DataFrame, length: int) -> DataFrame:
+def _compare(stretches: DataFrame, length: int, across: bool) -> DataFrame:
     """Byte intervals that repeat, from the shards' suffix arrays; a key's stretches are all in one shard."""
     def flush(held):
         row, first = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.int64)
         starts = np.array([h[3] for h in held], np.int64) - first + 1
-        found = _shard_repeats([h[4] for h in held], row, first, starts, length)
+        found = _shard_repeats([h[4] for h in held], row, first, starts, length, across)
         low = np.array([first[k] + a for k, a, _ in found], np.int64)
         high = np.array([first[k] + b - 1 + length for k, _, b in found], np.int64)
         return pa.RecordBatch.from_arrays([pa.array([held[k][0] for k, _, _ in found], pa.int64()), pa.array(row[[k for k, _, _ in found]] if found else [], pa.int64()),
@@ -179,17 +186,17 @@ def _narrow(stretches: DataFrame, length: int, anchor: int) -> DataFrame:
     return stretches.mapInArrow(run, "doc_id long, row long, key long, whole long, first int, last int, own long, stretch binary")
 
 
-def _intervals(stretches: DataFrame, length: int, anchor: int, shard_runs: int) -> DataFrame:
+def intervals(stretches: DataFrame, length: int, anchor: int, shard_runs: int = SHARD_RUNS, across: bool = False) -> DataFrame:
     """Repeated byte intervals of the stretches that must be compared."""
-    found = _compare(stretches.where(F.col("kinds") <= shard_runs), length)
+    found = _compare(stretches.where(F.col("kinds") <= shard_runs), length, across)
     crowded = stretches.where(F.col("kinds") > shard_runs)
     while anchor < length and not crowded.isEmpty():
         anchor = length - (length - anchor) // 2 if length - anchor > 20 else length
-        judged = materialize(_judge(materialize(_narrow(crowded, length, anchor), "repeats-narrow")), "repeats-judged")
+        judged = materialize(judge(materialize(_narrow(crowded, length, anchor), "repeats-narrow"), across), "repeats-judged")
         found = found.union(judged.where("copies > 1").select(
             "doc_id", "row", F.col("first").cast("long").alias("low"), (F.col("last") + length).cast("long").alias("high")))
         asked = judged.where("asked")
-        found = found.union(_compare(asked.where(F.col("kinds") <= shard_runs), length))
+        found = found.union(_compare(asked.where(F.col("kinds") <= shard_runs), length, across))
         crowded = asked.where(F.col("kinds") > shard_runs)
     return found
 
@@ -221,7 +228,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, length: int =
     texts = docs.select("doc_id", "row", "text")
     runs = _runs(texts, length, anchor)
     again = runs.groupBy("key").agg(F.sum("own").alias("n")).where("n > 1").select("key")
-    judged = materialize(_judge(materialize(runs.join(again, "key"), "repeats-runs")), "repeats-judged")
+    judged = materialize(judge(materialize(runs.join(again, "key"), "repeats-runs")), "repeats-judged")
     lists = (judged.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("of"))
              .agg(F.collect_list(F.struct("key", "first", "last", "copies", "kinds", "asked")).alias("runs")))
     same = (F.col("row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
@@ -230,7 +237,7 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, length: int =
     asked = held.select("doc_id", "row", F.explode(F.transform(F.filter("runs", lambda r: r["asked"]), lambda r: F.struct(
         r["key"].alias("key"), r["first"].alias("first"), r["last"].alias("last"), r["kinds"].alias("kinds"),
         F.substring(body, r["first"] + 1, r["last"] - r["first"] + length).alias("stretch")))).alias("r")).select("doc_id", "row", "r.*")
-    found = _intervals(asked, length, anchor, shard_runs)
+    found = intervals(asked, length, anchor, shard_runs)
     more = (found.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("of"))
             .agg(F.collect_list("low").alias("found_lows"), F.collect_list("high").alias("found_highs")))
     copied = F.filter("runs", lambda r: r["copies"] > 1)

@@ -8,7 +8,8 @@ Windows are shuffled as hashes; each repeated window keeps one first place by pa
 its own covered places, which is never longer than the text.
 
 Defined cases: a null text has no lines and stays null; an empty text is one line; texts of under three lines are left alone; rows that repeat both id and
-text count as one occurrence and are treated alike; rows without an id come before all others; an empty table gives no rows; further columns stay as they are.
+text count as one occurrence and are treated alike; rows without an id come before all others; an empty table gives no rows; further columns stay as they are,
+but for earlier ``n_lines`` and ``n_removed`` where these are asked for.
 """
 from __future__ import annotations
 
@@ -22,17 +23,22 @@ def _lines() -> Column:
 
 
 def _windows(lines: Column) -> Column:
-    def one(i: Column) -> Column:
-        a, b, c = lines[i], lines[i + 1], lines[i + 2]
-        return F.struct(i.alias("place"), F.xxhash64(a, b, c).alias("k1"), F.xxhash64(c, F.lit(1), b, F.lit(2), a).alias("k2"),
+    """The windows of three lines as (place, k1, k2); the lines are cut once, not again for each window."""
+    count = F.greatest(F.size(lines) - 2, F.lit(0))
+    threes = F.arrays_zip(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), F.slice(lines, F.lit(1), count), F.slice(lines, F.lit(2), count),
+                          F.slice(lines, F.lit(3), count))
+
+    def one(w: Column) -> Column:
+        place, a, b, c = (w[k] for k in ("0", "1", "2", "3"))
+        return F.struct(place.alias("place"), F.xxhash64(a, b, c).alias("k1"), F.xxhash64(c, F.lit(1), b, F.lit(2), a).alias("k2"),
                         F.concat(a, b, c).rlike(r"[^\x20\x09-\x0D]").alias("full"))
-    return F.when(F.size(lines) >= 3, F.filter(F.transform(F.sequence(F.lit(0), F.size(lines) - 3), one), lambda w: w["full"]))
+    return F.when(count > 0, F.filter(F.transform(threes, one), lambda w: w["full"]))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, ``text`` without the later occurrences, and ``n_lines`` and ``n_removed``."""
+def remove_repeats(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """All columns of ``docs``, ``text`` without the later occurrences, and with ``counts`` also ``n_lines`` and ``n_removed``."""
     mark = uuid.uuid4().hex[:8]
-    row, covered = f"row_{mark}", f"covered_{mark}"
+    row, covered, cut = f"row_{mark}", f"covered_{mark}", f"cut_{mark}"
     keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
     windows = (keyed.select("doc_id", row, F.explode(_windows(_lines())).alias("w"))
                .select("doc_id", row, "w.place", "w.k1", "w.k2"))
@@ -43,14 +49,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
              .agg(F.collect_set("place").alias("places")))
     merged = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + 2))))
     later = later.select(f"id_{mark}", f"of_{mark}", merged.alias(covered))
-    lines = _lines()
+    # Cut before the join, so that the lines cross it as a column and are not cut again for each line that stays.
+    keyed = keyed.withColumn(cut, _lines())
+    lines = F.col(cut)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered))
-    text = F.when(F.col(covered).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: lines[i]), "\n"))
+    text = F.array_join(F.when(F.col(covered).isNull(), lines).otherwise(F.transform(kept, lambda i: lines[i])), "\n")
     joined = keyed.join(later, (F.col(row) == F.col(f"of_{mark}")) & F.col("doc_id").eqNullSafe(F.col(f"id_{mark}")), "left")
-    taken = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in taken],
-                         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-                         F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_removed"))
+    told = {"n_lines": F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.coalesce(F.size(covered), F.lit(0)).cast("long")} if counts else {}
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in told],
+                         *[value.alias(name) for name, value in told.items()])
 
 
 SQL = r"""

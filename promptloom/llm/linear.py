@@ -8,16 +8,16 @@ def fit_logistic(index: list[np.ndarray], value: list[np.ndarray], y: np.ndarray
                  steps: int = 200, rate: float = 0.02, decay: float = 1e-3, least: int = 3) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights and bias by Adam over the rows ``learn``, classes weighted evenly, and the raw scores of all rows."""
     lengths = np.array([len(i) for i in index])
-    row = np.repeat(np.arange(len(index)), lengths)
+    row = np.repeat(np.arange(len(index), dtype=np.int32), lengths)
     columns, code = np.unique(np.concatenate(index), return_inverse=True)
-    share = np.concatenate(value).astype(np.float64)
+    code, share = code.astype(np.int32), np.concatenate(value)
     # Common features would drown the others: scale each by its root mean square where present, and drop those of under ``least`` rows.
     seen = np.bincount(code, minlength=len(columns))
     scale = np.where(seen >= least, 1 / np.sqrt(np.bincount(code, share * share, len(columns)) / np.maximum(seen, 1) + 1e-12), 0)
-    share = share * scale[code]
+    share = (share * scale[code]).astype(np.float32)
     # Rows of many features would outweigh others; all are taken as of the same length on average.
     scale = scale / np.sqrt(lengths.mean())
-    share = share / np.sqrt(lengths.mean())
+    share = share / np.float32(np.sqrt(lengths.mean()))
     weight = np.zeros(len(index))
     weight[learn] = np.where(y[learn] == 1, 0.5 / max(1, y[learn].sum()), 0.5 / max(1, (1 - y[learn]).sum()))
     w, bias = np.zeros(len(columns)), 0.0

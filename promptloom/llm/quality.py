@@ -129,6 +129,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
     return {"weights": weights.astype(np.float32), "bias": bias, "platt": fit_platt(raw[check], y[check])}
 
 
+def keep_good(docs: DataFrame, model: dict | None, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
+              min_probability: float = MIN_PROBABILITY) -> DataFrame:
+    """The rows of ``docs``, all columns, that the rules and the classifier keep."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch, texts in slices(batches):
+            *_, good = _verdicts(texts, shared.value, min_words, max_repeat_percent, min_probability)
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _verdicts(texts: Texts, fitted: dict | None, min_words: int, max_repeat_percent: int, min_probability: float):
+    """Counts, base failure, probability (None without a classifier) and verdict of every row."""
+    texts.find_words()
+    counts = base_counts(texts)
+    n, repeated = counts["n_words"], counts["n_repeat_words"]
+    failed = (n < min_words) | (100 * repeated > max_repeat_percent * n)
+    if fitted is None:
+        return counts, failed, None, ~failed
+    a, b = fitted["platt"]
+    raw = row_sums(features(texts), fitted["weights"], texts.rows) + fitted["bias"]
+    chance = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
+    return counts, failed, chance, ~failed & (chance >= min_probability)
+
+
 def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None, min_words: int = MIN_WORDS,
           max_repeat_percent: int = MAX_REPEAT_PERCENT, min_probability: float = MIN_PROBABILITY) -> DataFrame:
     """Counts, base verdict, probability and verdict of every row, beside the columns ``keep`` (``doc_id`` by default)."""
@@ -137,19 +164,9 @@ def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None, mi
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        fitted = shared.value
         for batch, texts in slices(batches):
-            texts.find_words()
-            counts = base_counts(texts)
-            n, repeated = counts["n_words"], counts["n_repeat_words"]
-            failed = (n < min_words) | (100 * repeated > max_repeat_percent * n)
-            if fitted is None:
-                quality, good = pa.nulls(texts.rows, pa.float64()), ~failed
-            else:
-                a, b = fitted["platt"]
-                raw = row_sums(features(texts), fitted["weights"], texts.rows) + fitted["bias"]
-                chance = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
-                quality, good = pa.array(chance), ~failed & (chance >= min_probability)
+            counts, failed, chance, good = _verdicts(texts, shared.value, min_words, max_repeat_percent, min_probability)
+            quality = pa.nulls(texts.rows, pa.float64()) if chance is None else pa.array(chance)
             yield emit(batch, keep, **counts, base_failed=failed, kept=good, quality=quality)
 
     columns = list(dict.fromkeys([*keep, "text"]))

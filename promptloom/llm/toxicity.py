@@ -59,7 +59,11 @@ class Words:
         joined = np.zeros(len(starts), bool)
         if len(starts) > 1:
             joined[1:] = single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1) & (row[1:] == row[:-1])
-            self.codes[starts[joined] - 1] = 0
+        if joined.any():
+            held = np.ones(len(self.codes), bool)
+            held[starts[joined] - 1] = False
+            dropped = np.concatenate([[0], np.cumsum(~held)])
+            self.codes, starts, ends = self.codes[held], starts - dropped[starts], ends - dropped[ends]
         first = np.flatnonzero(~joined)
         self.starts, self.row = starts[first], row[first]
         self.ends = ends[np.append(first[1:], len(starts)) - 1] if len(first) else ends

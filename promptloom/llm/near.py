@@ -5,11 +5,11 @@ found by a 128-bit sum over the set, so copies are never compared with each othe
 ``BANDS * ROWS`` universal hash minima. Classes that agree in all rows of a band are candidates: at a similarity of 0.8 a pair is missed with probability
 (1 - 0.8 ** ROWS) ** BANDS, about 5e-8.
 
-Candidates of a band bucket are not paired with each other. In each round some members of a bucket, those in most buckets first, are compared with the members that are not yet in
-their component; what has been compared with the whole bucket leaves it, and a bucket is done when it has one component left. The number compared at once grows fourfold, so
-the rounds grow with the logarithm of the largest unlinked bucket, and every candidate pair is either compared or already connected. A comparison looks at the signatures
-first (a pair whose signatures agree in under half of the places is no link: at similarity 0.8 that has a chance under 1e-15), then
-at the full sets.
+Candidates of a band bucket are not paired with each other. Its hub, the member that meets most others over all its buckets, is compared with every member; that links most of a group of
+copies at once. What is left are members that no hub links. They are compared with all others of the same hub in blocks of ``BLOCK`` documents: a block pair
+counts common bits of hashed sets by one matrix product, which bounds every intersection from above, and looks at full sets only where the bound and the components leave a link open. Blocks hand out
+links, never pairs, so every candidate pair is either compared or already connected. Comparisons with a hub look at the signatures first (a pair whose signatures agree in under half of the places is no link: at similarity
+0.8 that has a chance under 1e-15), then at the full sets.
 
 Defined cases: null or empty texts and texts without words have no shingles, are linked with nothing and form a component each; rows that repeat an id are one node
 with the links of all its texts; rows without an id are never linked, have no component and are kept; an empty table gives no rows; further columns are ignored
@@ -26,6 +26,8 @@ from promptloom.llm.spans import emit, grams, mix, slices
 from promptloom.sources.workspace import materialize
 
 BANDS, ROWS = 32, 4
+BLOCK = 256
+_BITS = 13
 SHINGLE_WORDS = 5
 PERCENT = 80
 
@@ -119,21 +121,96 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("u", "v", "u_sign", "v_sign", "u_items", "v_items").mapInArrow(run, "u long, v long")
 
 
-def _pairs(members: DataFrame, round_: int) -> tuple[DataFrame, DataFrame]:
-    """Chosen members of each bucket with every other member outside of their component, and the chosen (bucket, doc_id)."""
-    slots = 4 ** max(0, round_ - 2)
-    slot = F.pmod(F.xxhash64("doc_id", F.lit(round_)), F.lit(slots))
-    best = (members.groupBy("bucket", slot.alias("slot"))
-            .agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("chosen"),
-                 F.max_by("component", F.struct("degree", -F.col("doc_id"))).alias("chosen_component"))
-            .select("bucket", "chosen", "chosen_component"))
-    pairs = (members.join(best, "bucket").where("doc_id <> chosen AND component <> chosen_component")
-             .select(F.least("doc_id", "chosen").alias("u"), F.greatest("doc_id", "chosen").alias("v")).distinct())
-    return pairs, best.select("bucket", F.col("chosen").alias("doc_id"))
+def _hubs(members: DataFrame) -> DataFrame:
+    """``hub, doc_id``: every member of every bucket with the bucket's hub, each pair once."""
+    best = members.groupBy("bucket").agg(F.max_by("doc_id", F.struct("degree", -F.col("doc_id"))).alias("hub"))
+    return members.join(best, "bucket").select("hub", "doc_id").distinct()
+
+
+def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between documents of different components; rows are (left side?, right side?, doc_id, component, set)."""
+    left = [k for k, r in enumerate(rows) if r[0]]
+    right = [k for k, r in enumerate(rows) if r[1]]
+    if not left or not right:
+        return []
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    size = np.array([len(s) for s in sets])
+    bits = np.zeros((len(rows), 1 << _BITS), np.float32)
+    for k, s in enumerate(sets):
+        bits[k, s >> np.uint64(64 - _BITS)] = 1
+    lost = size - bits.sum(1)
+    # Elements of one document that share a bit are counted once, so what a document lost bounds what the product misses.
+    bound = bits[left] @ bits[right].T + np.minimum(lost[left][:, None], lost[right][None, :])
+    n = size[left][:, None] + size[right][None, :]
+    open_ = np.argwhere(bound * (100 + percent) >= percent * n)
+    root = {r[3]: r[3] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    links = []
+    for i, j in open_.tolist():
+        i, j = left[i], right[j]
+        a, b = find(rows[i][3]), find(rows[j][3])
+        if a == b:
+            continue
+        common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * common >= percent * (size[i] + size[j] - common):
+            root[a] = b
+            links.append((rows[i][2], rows[j][2]))
+    return links
+
+
+def _rest(hubs: DataFrame, sets: DataFrame, found: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links among documents of one hub that are not connected yet."""
+    named = found.select(F.col("node").alias("doc_id"), "component")
+    known = (hubs.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+             .join(named.select(F.col("doc_id").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
+             .withColumn("joined", F.col("component") == F.coalesce("hub_component", "hub")))
+    # A hub with fewer than two documents outside its component and none inside besides itself has nothing left to compare.
+    sizes = (known.groupBy("hub").agg(F.sum((~F.col("joined")).cast("int")).alias("loose"), F.sum(F.col("joined").cast("int")).alias("tied"))
+             .where("loose > 0 AND loose + tied > 2"))
+    loose_blocks, tied_blocks = F.ceil(F.col("loose") / block).cast("int"), F.ceil(F.col("tied") / block).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", "hub"), F.when(F.col("joined"), tied_blocks).otherwise(loose_blocks)).cast("int")
+    # Keys are (loose block, other block, whether the other block is loose too).
+    with_loose = F.transform(F.sequence(F.lit(0), F.col("loose_blocks") - 1), lambda j: F.struct(
+        F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), F.lit(True).alias("both"),
+        (F.col("own") <= j).alias("is_left"), (F.col("own") >= j).alias("is_right")))
+    with_tied = F.when(F.col("tied_blocks") > 0, F.transform(F.sequence(F.lit(0), F.greatest("tied_blocks", F.lit(1)) - 1), lambda j: F.struct(
+        F.col("own").alias("i"), j.alias("j"), F.lit(False).alias("both"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))))
+    none = F.array().cast("array<struct<i:int,j:int,both:boolean,is_left:boolean,is_right:boolean>>")
+    to_loose = F.transform(F.sequence(F.lit(0), F.col("loose_blocks") - 1), lambda j: F.struct(
+        j.alias("i"), F.col("own").alias("j"), F.lit(False).alias("both"), F.lit(False).alias("is_left"), F.lit(True).alias("is_right")))
+    keyed = (known.join(sizes, "hub").withColumns({"own": own, "loose_blocks": loose_blocks, "tied_blocks": tied_blocks})
+             .join(sets.select("doc_id", "items"), "doc_id")
+             .select("hub", "doc_id", "component", "items",
+                     F.explode(F.when(F.col("joined"), to_loose).otherwise(F.concat(with_loose, F.coalesce(with_tied, none)))).alias("k"))
+             .select("hub", "k.*", "doc_id", "component", "items"))
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("hub", "i", "j", "both", "is_left", "is_right", "doc_id", "component", "items")]
+            for row in zip(*columns):
+                if row[:4] != key:
+                    yield from _link_batch(_block_links(held, percent))
+                    held, key = [], row[:4]
+                held.append(row[4:])
+        yield from _link_batch(_block_links(held, percent))
+
+    return keyed.repartition("hub", "i", "j", "both").sortWithinPartitions("hub", "i", "j", "both").mapInArrow(run, "u long, v long")
+
+
+def _link_batch(links: list[tuple[int, int]]):
+    if links:
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], names=["u", "v"])
 
 
 def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Every row with its set size, its component and whether it is the one that stays."""
     keep = keep or ["doc_id"]
     if "doc_id" not in keep:
@@ -150,14 +227,20 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle_word
 
     heads = (whole.join(classes.select("h1", "h2", "n_shingles", F.col("class_id").alias("doc_id")), ["h1", "h2", "n_shingles", "doc_id"])
              .select("doc_id", F.explode("bands").alias("bucket")))
-    crowded = heads.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("bucket")
-    members = materialize(heads.join(crowded, "bucket").select("bucket", "doc_id").distinct(), "near-members")
+    crowded = (heads.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("size"))
+               .where("a <> z").select("bucket", "size"))
+    members = materialize(heads.join(crowded, "bucket").select("bucket", "doc_id", "size").distinct(), "near-members")
     links = materialize(same_id.distinct(), "near-links")
     if not members.isEmpty():
-        wanted = members.groupBy("doc_id").agg(F.count("*").alias("degree"))
+        # The member that meets most others is the likeliest to be linked to them all.
+        wanted = members.groupBy("doc_id").agg(F.sum("size").alias("degree"))
         sets = materialize(_full_sets(docs.join(wanted.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi"), shingle_words, bands, rows), "near-sets")
-        members = materialize(members.join(wanted, "doc_id").withColumn("component", F.col("doc_id")), "near-members")
-        links = _rounds(members, sets, links, percent)
+        hubs = materialize(_hubs(members.drop("size").join(wanted, "doc_id")), "near-hubs")
+        u = sets.select(F.col("doc_id").alias("u"), F.col("sign").alias("u_sign"), F.col("items").alias("u_items"))
+        v = sets.select(F.col("doc_id").alias("v"), F.col("sign").alias("v_sign"), F.col("items").alias("v_items"))
+        pairs = hubs.where("hub <> doc_id").select(F.least("hub", "doc_id").alias("u"), F.greatest("hub", "doc_id").alias("v")).distinct()
+        links = materialize(links.union(_confirm(pairs.join(u, "u").join(v, "v"), percent)), "near-links")
+        links = materialize(links.union(_rest(hubs, sets, components(links), percent, block)), "near-links")
     found = components(links)
     labelled = (classes.join(found, F.col("class_id") == F.col("node"), "left")
                 .select("h1", "h2", F.col("n_shingles").alias("size"), F.coalesce("component", "class_id").alias("component_id")))
@@ -166,21 +249,3 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle_word
             .select(*[F.col(f"s.{c}") for c in keep], "s.n_shingles",
                     F.when(F.col("s.doc_id").isNotNull(), F.coalesce("l.component_id", "s.doc_id")).alias("component_id"))
             .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
-
-
-def _rounds(members: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    round_ = 1
-    while True:
-        pairs, chosen = _pairs(members, round_)
-        u = sets.select(F.col("doc_id").alias("u"), F.col("sign").alias("u_sign"), F.col("items").alias("u_items"))
-        v = sets.select(F.col("doc_id").alias("v"), F.col("sign").alias("v_sign"), F.col("items").alias("v_items"))
-        links = materialize(links.union(_confirm(pairs.join(u, "u").join(v, "v"), percent)).distinct(), "near-links")
-        found = components(links)
-        rest = (members.drop("component").join(chosen, ["bucket", "doc_id"], "left_anti")
-                .join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                .withColumn("component", F.coalesce("component", "doc_id")))
-        open_ = rest.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("z")).where("a <> z").select("bucket")
-        members = materialize(rest.join(open_, "bucket"), "near-members")
-        if members.isEmpty():
-            return links
-        round_ += 1

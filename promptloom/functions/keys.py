@@ -14,8 +14,11 @@ def cache_key_service(service: Column, key: Column) -> Column:
 
 
 def sorted_json(**fields: Column) -> Column:
-    """Compact JSON of the fields with keys in sorted order."""
-    return F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]))
+    """Compact JSON of the fields, keys in sorted order at every level and nulls kept.
+
+    The fields of a VARIANT object are ordered by name, whatever order they came in.
+    """
+    return F.to_json(F.to_variant_object(F.struct(*[fields[name].alias(name) for name in sorted(fields)])))
 
 
 def cache_key_sha256(canonical: Column) -> Column:

@@ -16,13 +16,12 @@ def parse(text: Column) -> Column:
     """JSON text as VARIANT, null when it is not exactly one JSON value.
 
     The built-in parser ignores what follows the first value. Inside brackets the rest of the text is
-    seen as well; a text that could close the brackets itself is also tried inside braces.
+    seen as well; a text that could close the brackets itself cannot close braces too, so it is tried in both.
     Give the result of a Python function a column of its own before parsing it.
     """
     listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
     braced = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    sound = ~F.contains(text, F.lit("],")) | braced.isNotNull()
-    return let(listed, lambda values: F.when((F.size(values) == 1) & sound, values[0]))
+    return let(listed, lambda values: F.when((F.size(values) == 1) & braced.isNotNull(), values[0]))
 
 
 def get(value: Column, path: str, kind: str = "string") -> Column:
@@ -34,6 +33,11 @@ def as_object(value: Column) -> Column:
     return get(value, "$", "map<string,variant>")
 
 
+def field(value: Column, name: str | Column) -> Column:
+    """The field of an object with exactly this name, dots and all."""
+    return as_object(value)[name if isinstance(name, Column) else F.lit(name)]
+
+
 def as_array(value: Column) -> Column:
     """Elements of a JSON array, null for every other kind of value."""
     return get(value, "$", "array<variant>")

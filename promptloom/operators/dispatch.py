@@ -14,7 +14,6 @@ from promptloom.operators.circuit import MAX_FAILURES, RESET_SECONDS
 
 MAX_TRIES = 5
 BASE_DELAY = 1.0
-OPEN_MESSAGE = "Circuit open"
 
 
 class Retryable(Exception):
@@ -22,15 +21,19 @@ class Retryable(Exception):
 
 
 class Breaker:
-    """Refuses calls for a while after several failures in a row; one per task, shared by its threads."""
+    """Holds calls back for a while after several failures of the provider in a row; one per task, shared by its threads."""
 
     def __init__(self, max_failures: int, reset_seconds: float, clock: Callable[[], float] = time.monotonic):
         self._max, self._reset, self._clock = max_failures, reset_seconds, clock
         self._failures, self._opened, self._lock = 0, None, threading.Lock()
 
-    def refuses(self) -> bool:
+    def remaining(self) -> float:
+        """Seconds until a call may be tried again, 0 while the breaker is closed."""
         with self._lock:
-            return self._opened is not None and self._clock() - self._opened < self._reset
+            return 0.0 if self._opened is None else max(0.0, self._opened + self._reset - self._clock())
+
+    def refuses(self) -> bool:
+        return self.remaining() > 0
 
     def record(self, ok: bool) -> None:
         with self._lock:
@@ -46,17 +49,22 @@ def back_off(attempt: int, base: float, jitter: Callable[[float, float], float]
 
 def send(call: Callable[[str], str], body: str, breaker: Breaker, tries: int, base: float,
          sleep: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None, int]:
-    """Answer, error and number of attempts for one body."""
-    if breaker.refuses():
-        return None, OPEN_MESSAGE, 0
+    """Answer, error and number of attempts for one body.
+
+    While the breaker is open the body waits and then serves as a probe; it is never given up unsent. A body that the provider turns
+    down says nothing about the provider, so only bodies given up after failures worth retrying count against it.
+    """
     for attempt in range(1, tries + 1):
+        while (wait := breaker.remaining()) > 0:
+            sleep(wait)
         try:
             answer = call(body)
         except Exception as failure:
-            if isinstance(failure, Retryable) and attempt < tries:
-                sleep(back_off(attempt, base))
-                continue
-            breaker.record(False)
+            if isinstance(failure, Retryable):
+                if attempt < tries:
+                    sleep(back_off(attempt, base))
+                    continue
+                breaker.record(False)
             return None, str(failure) or type(failure).__name__, attempt
         breaker.record(True)
         return answer, None, attempt

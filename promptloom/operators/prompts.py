@@ -34,22 +34,27 @@ def _holder(value: Column) -> Column:
         F.coalesce(F.size(nested) == 0, F.lit(False)).alias("empty")))
 
 
-def _strict(value: Column, key: str, message: str, found: Callable[[Column, Column, Column], Column]) -> Column:
+def _strict(value: Column, key: str | Column, message: str | Column, found: Callable[[Column, Column, Column], Column]) -> Column:
     """Call ``found`` with the holder, the field's text and the error of a required field."""
     def check(holder: Column, field: Column) -> Column:
-        error = F.when(holder["empty"], F.lit(EMPTY_PROMPTS)).when(V.is_falsy(field), F.lit(message))
+        error = F.when(holder["empty"], F.lit(EMPTY_PROMPTS)).when(V.is_falsy(field), message if isinstance(message, Column) else F.lit(message))
         return V.let(F.struct(V.text_of(field).alias("text"), error.alias("error")),
                      lambda r: found(holder["at"], F.when(r["error"].isNull(), r["text"]), r["error"]))
     return V.let(_holder(value), lambda holder: V.let(
-        V.get(holder["at"], f"$.{key}", "variant"), lambda field: check(holder, field)))
+        V.field(holder["at"], key), lambda field: check(holder, field)))
 
 
-def find_prompt(value: Column, prompt_key: str, system_key: str, is_dynamic: bool) -> Column:
-    """Strict lookup: struct of ``user``, ``system`` and ``error`` (null when the prompt is there)."""
+def find_prompt(value: Column, prompt_key: str | Column, system_key: str | Column, is_dynamic: bool | Column) -> Column:
+    """Strict lookup: struct of ``user``, ``system`` and ``error`` (null when the prompt is there).
+
+    Field names are names, not paths, and may differ from row to row, as settings joined by ``join_config`` do.
+    """
     def found(at: Column, user: Column, error: Column) -> Column:
-        system = select_system(V.get(at, f"$.{system_key}"), is_dynamic)
+        system = select_system(V.text_of(V.field(at, system_key)), is_dynamic)
         return F.struct(user.alias("user"), F.when(error.isNull(), system).alias("system"), error.alias("error"))
-    return _strict(value, prompt_key, f"Required prompt field '{prompt_key}' not found in input", found)
+    name = prompt_key if isinstance(prompt_key, Column) else F.lit(prompt_key)
+    message = F.concat(F.lit("Required prompt field '"), name, F.lit("' not found in input"))
+    return _strict(value, name, message, found)
 
 
 def find_text(value: Column) -> Column:

@@ -83,9 +83,12 @@ def align_left(responses: DataFrame, inputs: DataFrame, on: Sequence[str], user:
         user, F.coalesce(F.col(user), F.lit(INPUT_NOT_FOUND)))
 
 
-def align_by_custom_id(requests: DataFrame, responses: DataFrame, how: str = "left") -> DataFrame:
-    """Match by batch and request id, which is safe when answers come back in any order."""
-    return requests.join(responses, ["batch_id", "custom_id"], how)
+def align_by_custom_id(requests: DataFrame, responses: DataFrame, how: str = "left", file: str = "file") -> DataFrame:
+    """Match by file, batch and request id, which is safe when answers come back in any order.
+
+    Batch and request ids start again in every file, so they only name a request together with it.
+    """
+    return requests.join(responses, [file, "batch_id", "custom_id"], how)
 
 
 def resolve_input_file(responses: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -112,7 +115,7 @@ def decode_batch_output(df: DataFrame, text: str, keep: Sequence[str]) -> DataFr
     line is parsed by itself, and a line that does not parse becomes the content of an answer.
     """
     whole = V.parse(F.col(text))
-    lines = F.filter(F.split(text, "\r?\n"), lambda line: F.trim(line) != "")
+    lines = F.filter(F.split(text, "\r?\n"), lambda line: line.rlike(r"\S"))
     per_line = F.transform(lines, lambda line: F.coalesce(
         V.parse(line), F.to_variant_object(_wrapped(line))))
     items = F.when(whole.isNotNull(), F.coalesce(V.as_array(whole), F.array(whole))).otherwise(per_line)

@@ -79,19 +79,25 @@ def _mixed(spark, sf):
     return path
 
 
+def _mixed_rows(spark, path):
+    # Spark names its own parts .txt and .json, not .json and .jsonl, so the names to look for are given.
+    return scan.scan_inputs(spark, path, "*.txt", "*.json")
+
+
 @query("scan_inputs", DOCS)
 def scan_inputs(spark, sf):
     path = _mixed(spark, sf)
-    # Spark names its own parts .txt and .json, so the two layouts are told apart by folder here.
-    both = scan.scan_json(spark, f"{path}/a").unionByName(scan.scan_jsonl(spark, f"{path}/l"))
-    return _fields(both)
+    return _fields(_mixed_rows(spark, path))
 
 
-@query("union_inputs", "SELECT source AS file, count(*) AS records FROM documents GROUP BY source")
+@query("union_inputs", """SELECT source AS file, count(*) AS records, sum(doc_id)::BIGINT AS ids, sum(length(text))::BIGINT AS chars
+  FROM documents GROUP BY source""")
 def union_inputs(spark, sf):
     path = _mixed(spark, sf)
-    both = scan.scan_json(spark, f"{path}/a").unionByName(scan.scan_jsonl(spark, f"{path}/l"))
-    return both.groupBy(_file_of("file_path").alias("file")).agg(F.count("*").alias("records"))
+    both = _mixed_rows(spark, path)
+    return both.groupBy(_file_of("file_path").alias("file")).agg(
+        F.count("*").alias("records"), F.sum(V.get(F.col("item"), "$.doc_id", "bigint")).alias("ids"),
+        F.sum(F.length(V.get(F.col("item"), "$.input_text")).cast("bigint")).alias("chars"))
 
 
 @query("write_jsonl", DOCS)
@@ -158,7 +164,7 @@ def scan_raw_responses(spark, sf):
                        F.lit(',"answer":'), F.col("line"), F.lit("}"))
     numbered = rows.withColumn("idx", F.col("conv_id") * 1000 + F.col("turn")).withColumn("wrapped", wrapped)
     sinks.write_json_array(numbered, path, "file", "idx", "wrapped", 50_000)
-    answers = scan.scan_json(spark, path)
+    answers = scan.scan_raw_responses(spark, path, "*.txt")
     return answers.select(V.get(F.col("item"), "$.conv_id", "bigint").alias("conv_id"), V.get(F.col("item"), "$.turn", "bigint").alias("turn"),
                           R.extract_content(V.get(F.col("item"), "$.answer", "variant")).alias("content"))
 
@@ -200,28 +206,24 @@ def append_run_log(spark, sf):
         F.count("*").alias("records"), F.sum(V.get(V.parse(F.col("extra_data")), "$.k", "bigint")).alias("extra"))
 
 
-CONFIG_FILES = """firsts AS (SELECT c_nationkey, min(c_custkey) AS k, arg_min(c_name, c_custkey) AS name FROM customer GROUP BY c_nationkey)"""
-
-
-@query("scan_config", f"""WITH {CONFIG_FILES} SELECT 'user' || k AS user_id, CASE WHEN k % 11 <> 0 THEN name END AS task_name,
-    CASE WHEN k % 4 = 0 AND k % 13 <> 0 THEN (k % 50 + 1)::INT END AS batch_size, CASE WHEN k % 17 <> 0 THEN 10 END AS num_processes FROM firsts""")
+@query("scan_config", """SELECT 'user' || c_custkey AS user_id, CASE WHEN c_custkey % 11 <> 0 THEN c_name END AS task_name,
+    CASE WHEN c_custkey % 4 = 0 AND c_custkey % 13 <> 0 THEN (c_custkey % 50 + 1)::INT END AS batch_size,
+    CASE WHEN c_custkey % 17 <> 0 THEN 10 END AS num_processes FROM customer""")
 def scan_config(spark, sf):
     path = workspace.new_path(spark, "configs")
-    rows = X.configs(spark, sf)
-    first = rows.groupBy("c_nationkey").agg(F.min_by("config_text", "c_custkey").alias("value"))
-    first.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    rows = X.configs(spark, sf).select("c_custkey", F.col("config_text").alias("value"))
+    rows.repartition("c_custkey").write.partitionBy("c_custkey").text(path)
     return scan.scan_config(spark, path).select("user_id", "task_name", F.col("openai.batch.batch_size").alias("batch_size"),
                                                 F.col("general.num_processes").alias("num_processes"))
 
 
-@query("scan_tasks", """SELECT 'user' || c_nationkey AS user_id, 'openai' AS api_name, 'job-' || c_nationkey AS task_name,
-    epoch_us(TIMESTAMP '2024-02-01 03:04:05') AS created_us FROM (SELECT DISTINCT c_nationkey FROM customer)""")
+@query("scan_tasks", """SELECT 'user' || c_nationkey AS user_id, 'openai' AS api_name, 'job-' || c_custkey AS task_name,
+    epoch_us(TIMESTAMP '2024-02-01 03:04:05') AS created_us FROM customer""")
 def scan_tasks(spark, sf):
     """Folders made by ``partitionBy`` have ``name=`` in front, which is taken off again."""
     path = workspace.new_path(spark, "tree")
-    first = X.configs(spark, sf).groupBy("c_nationkey").agg(F.min_by("config_text", "c_custkey").alias("value"))
-    folder = F.concat(F.lit("openai_job-"), F.col("c_nationkey").cast("string"), F.lit("_01_02_2024_030405"))
-    (first.select(F.concat(F.lit("user"), F.col("c_nationkey").cast("string")).alias("user"), folder.alias("task"),
+    folder = F.concat(F.lit("openai_job-"), F.col("c_custkey").cast("string"), F.lit("_01_02_2024_030405"))
+    (X.configs(spark, sf).withColumn("value", F.col("config_text")).select(F.concat(F.lit("user"), F.col("c_nationkey").cast("string")).alias("user"), folder.alias("task"),
                   F.lit("config").alias("leaf"), "value").repartition("user", "task")
      .write.partitionBy("user", "task", "leaf").text(path))
     tasks = scan.scan_tasks(spark, path, glob=None)

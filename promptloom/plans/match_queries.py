@@ -29,19 +29,16 @@ def align_left(spark, sf):
 
 
 def _requests(spark, sf):
-    rows = B.number_in_batch(B.split_batches(X.prompts(spark, sf), 20), 20)
-    batch = F.concat_ws("/", "file", "batch_id")
-    return rows.select("doc_id", "input_text", "target_lang", "file", "idx", "batch_no", "idx_in_batch",
-                       batch.alias("batch_id"), "custom_id")
+    return B.number_in_batch(B.split_batches(X.prompts(spark, sf), 20), 20)
 
 
-@query("align_by_custom_id", f"""WITH {X.PROMPTS} SELECT doc_id, 'request_' || (idx % 20) AS custom_id,
-    file || '/batch_' || lpad((idx // 20)::VARCHAR, 4, '0') AS batch_id, input_text,
-    CASE WHEN doc_id % 10 = 3 THEN NULL ELSE upper(target_lang) END AS answer FROM prompts""")
+@query("align_by_custom_id", f"""WITH {X.PROMPTS} SELECT doc_id, file, 'request_' || (idx % 20) AS custom_id,
+    'batch_' || lpad((idx // 20)::VARCHAR, 4, '0') AS batch_id, input_text,
+    CASE WHEN doc_id % 10 = 3 THEN NULL ELSE 're: ' || input_text END AS answer FROM prompts""")
 def align_by_custom_id(spark, sf):
     requests = _requests(spark, sf)
-    answers = requests.where(F.col("doc_id") % 10 != 3).select("batch_id", "custom_id", F.upper("target_lang").alias("answer"))
-    return R.align_by_custom_id(requests.select("batch_id", "custom_id", "doc_id", "input_text"), answers)
+    answers = requests.where(F.col("doc_id") % 10 != 3).select("file", "batch_id", "custom_id", F.concat(F.lit("re: "), "input_text").alias("answer"))
+    return R.align_by_custom_id(requests.select("file", "batch_id", "custom_id", "doc_id", "input_text"), answers)
 
 
 @query("resolve_input_file", """WITH inputs AS (SELECT DISTINCT lang AS task, source || '.jsonl' AS input_name FROM documents),
@@ -108,7 +105,7 @@ def dispatch(spark, sf):
     rows = _bodies(spark, sf)
     rows = rows.withColumn("sent", F.when(F.startswith("body", F.lit("de")), F.concat(F.lit("fail"), "body")).otherwise(F.col("body")))
     unique = C.dedup_requests(rows, "request_key", ["doc_id"])
-    return D.dispatch(unique, Echo, body="sent", max_failures=1 << 30)
+    return D.dispatch(unique, Echo, body="sent")
 
 
 @query("get_or_set", f"""WITH {BODIES}, c AS (SELECT body, 'cached' AS value FROM bodies b JOIN

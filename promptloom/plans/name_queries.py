@@ -200,11 +200,12 @@ def validate_config(spark, sf):
     return X.configs(spark, sf).select("c_custkey", F.array_join(G.validate_config(F.col("config"), F.col("api")), "; ").alias("reasons"))
 
 
-@query("batch_mode", f"""WITH {X.CONFIGS} SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN 'single'
+@query("batch_mode", f"""WITH {X.CONFIGS} SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 OR c_custkey % 13 = 0 THEN 'single'
     WHEN c_custkey % 2 = 0 AND api <> 'deepl' THEN 'file_batch' ELSE 'batch' END AS mode FROM configs""")
 def batch_mode(spark, sf):
     section = F.coalesce(*[F.when(F.col("api") == p, V.get(F.col("config"), f"$.{p}.batch", "variant")) for p in ("openai", "deepseek", "deepl", "other")])
-    mode = G.batch_mode(V.get(section, "$.is_batch_active", "boolean"), V.get(section, "$.file_batch", "boolean"), F.col("api"))
+    mode = G.batch_mode(V.get(section, "$.is_batch_active", "boolean"), V.get(section, "$.file_batch", "boolean"), F.col("api"),
+                        V.get(section, "$.batch_size", "int"))
     return X.configs(spark, sf).select("c_custkey", mode.alias("mode"))
 
 

@@ -1,6 +1,11 @@
 """Reading prompt, response, config and task files as tables."""
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,56 +34,109 @@ def scan_jsonl(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
     Files are split, so a large file is read by many tasks.
     """
-    lines = _with_source(_reader(spark, glob).text(path)).where(F.trim("value") != "")
+    lines = _with_source(_reader(spark, glob).text(path)).where(F.col("value").rlike(r"\S"))
     return lines.select("file_path", "file_name", "block_start",
                         F.monotonically_increasing_id().alias("row_id"),
                         F.col("value").alias("line"), V.parse(F.col("value")).alias("item"))
 
 
 def scan_json(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """One row per element of a JSON array file, one row for an object file.
+    """One row per element of a JSON array file, one row for an object file, none for a blank file.
 
-    An array in one document has no place to be split, so each file is one task; arrays of any
-    size should be written with ``sinks.write_json_array``, whose parts are documents of bounded size.
+    Elements are cut from the text one by one, so only a single element has to fit into a VARIANT, not the array. A
+    document that is not JSON stops the job. An array in one document has no place to be split, so each file is
+    one task; arrays of any size should be written with ``sinks.write_json_array``, whose parts are documents of bounded size.
     """
-    reader = _reader(spark, glob).schema("item VARIANT").option("singleVariantColumn", "item")
-    docs = _with_source(reader.option("multiLine", "true").json(path))
-    whole = F.col("item")
-    items = F.coalesce(V.as_array(whole), F.array(whole))
-    return docs.select("file_path", "file_name", "block_start",
-                       F.posexplode(items).alias("row_id", "item")).withColumn(
-        "row_id", F.col("row_id").cast("long")).withColumn("line", F.to_json("item"))
-
-
-def scan_inputs(spark: SparkSession, path: str) -> DataFrame:
-    """Every ``*.json`` and ``*.jsonl`` below a folder as one table."""
-    return scan_json(spark, path, "*.json").unionByName(scan_jsonl(spark, path, "*.jsonl"))
+    docs = _with_source(_reader(spark, glob).text(path, wholetext=True))
+    cut = docs.select("file_path", "file_name", "block_start", "value").mapInArrow(
+        _cut_documents, "file_path string, file_name string, block_start long, row_id long, line string")
+    return cut.select("file_path", "file_name", "block_start", "row_id", V.parse(F.col("line")).alias("item"), "line")
+
+
+def _elements(text: str, name: str) -> Iterator[str]:
+    """The text of each element of an array, or the one value that a document holds."""
+    decode, space = json.JSONDecoder().raw_decode, re.compile(r"\s*").match
+    at = space(text).end()
+    if at == len(text):
+        return
+    try:
+        if text[at] != "[":
+            end = decode(text, at)[1]
+            yield text[at:end]
+        else:
+            at = space(text, at + 1).end()
+            while text[at:at + 1] != "]":
+                end = decode(text, at)[1]
+                yield text[at:end]
+                at = space(text, end).end()
+                if text[at:at + 1] == ",":
+                    at = space(text, at + 1).end()
+                    if text[at:at + 1] == "]":
+                        raise ValueError("comma before the end of an array")
+                elif text[at:at + 1] != "]":
+                    raise ValueError(f"no comma at character {at}")
+            end = at + 1
+        if space(text, end).end() != len(text):
+            raise ValueError(f"text after the document at character {end}")
+    except ValueError as failure:
+        raise ValueError(f"{name} is not one JSON document: {failure}") from failure
+
+
+def _cut_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a few thousand elements at a time, whatever the size of their document."""
+    def rows(path: str, name: str, start: int, first: int, lines: list[str]) -> pa.RecordBatch:
+        n = len(lines)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([path] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array([start] * n, pa.int64()),
+             pa.array(range(first, first + n), pa.int64()), pa.array(lines, pa.string())],
+            names=["file_path", "file_name", "block_start", "row_id", "line"])
+
+    for batch in batches:
+        for path, name, start, text in zip(*(column.to_pylist() for column in batch.columns)):
+            first, held, size = 0, [], 0
+            for line in _elements(text, path):
+                held.append(line)
+                size += len(line)
+                if len(held) >= 4096 or size >= 16 << 20:
+                    yield rows(path, name, start, first, held)
+                    first, held, size = first + len(held), [], 0
+            if held:
+                yield rows(path, name, start, first, held)
+
+
+def scan_inputs(spark: SparkSession, path: str, documents: str = "*.json", lines: str = "*.jsonl") -> DataFrame:
+    """Every JSON document and JSON Lines file below a folder as one table, told apart by their names."""
+    return scan_json(spark, path, documents).unionByName(scan_jsonl(spark, path, lines))
 
 
 SPLITS_CHANGED = "file splits differ from those counted; fix spark.sql.files.maxPartitionBytes and minPartitionNum"
 
 
-def with_position(df: DataFrame, file: str = "file_path") -> DataFrame:
+def with_position(df: DataFrame, file: str = "file_path", parts: Sequence[str] = ()) -> DataFrame:
     """Add ``idx``, the 0-based place of each row in its file.
 
+    ``file`` may be a column that names a logical file written as several documents; ``parts`` are then the columns that
+    order its documents, such as the ``document`` folder of ``sinks.write_json_array``.
+
     Row ids grow by one inside a split, so only the row count and first id of each split are
     needed: the rows are not shuffled or sorted, even when one file holds most of them. The split table is
     stored, so the files are read once for it and once for the rows.
     """
-    splits = workspace.materialize(df.groupBy(file, "block_start").agg(
+    of = list(dict.fromkeys([file, *parts, "file_path", "block_start"]))
+    splits = workspace.materialize(df.groupBy(*of).agg(
         F.count("*").alias("__n"), F.min("row_id").alias("__first")), "splits")
-    earlier = Window.partitionBy(file).orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
-    starts = splits.select(file, "block_start", "__first",
+    earlier = Window.partitionBy(file).orderBy(*of[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file_path", "block_start", "__first",
                            F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    placed = df.join(F.broadcast(starts) if joins.is_small(splits) else starts, [file, "block_start"], "left")
+    placed = df.join(F.broadcast(starts) if joins.is_small(splits) else starts, ["file_path", "block_start"], "left")
     idx = F.col("row_id") - F.col("__first") + F.col("__start")
     return placed.withColumn("idx", F.when(idx.isNull(), F.raise_error(F.lit(SPLITS_CHANGED)).cast("bigint"))
                              .otherwise(idx)).drop("__first", "__start")
 
 
-def scan_raw_responses(spark: SparkSession, path: str) -> DataFrame:
+def scan_raw_responses(spark: SparkSession, path: str, glob: str = RAW_RESPONSES) -> DataFrame:
     """Elements of all ``*_raw_response.json`` files."""
-    return scan_json(spark, path, RAW_RESPONSES)
+    return scan_json(spark, path, glob)
 
 
 def scan_config(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -7,13 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions import names as N
+from promptloom.operators.responses import NO_CONTENT
 
 ROWS_PER_DOCUMENT = 100_000
 
 
 def write_jsonl(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """One JSON object per line, optionally a folder per value of ``by``."""
-    df.write.partitionBy(*by).json(path) if by else df.write.json(path)
+    writer = df.write.option("ignoreNullFields", "false")
+    writer.partitionBy(*by).json(path) if by else writer.json(path)
 
 
 def json_array_lines(df: DataFrame, file: str, idx: str, line: str,
@@ -46,11 +48,19 @@ def content_rows(df: DataFrame, content: Column, keep: Sequence[str] = ()) -> Da
 
 
 def write_outputs(answers: DataFrame, path: str, raw: str, triple: Sequence[str], keep: Sequence[str]) -> None:
-    """Raw, formatted and parsed outputs of one answer table, which is evaluated only once."""
+    """Raw, formatted and parsed outputs of one answer table, which is evaluated only once.
+
+    A row without an answer is written as well: its triple says ``error`` and carries the reason as its answer.
+    """
     answers.write.parquet(f"{path}/raw")
     stored = answers.sparkSession.read.parquet(f"{path}/raw")
-    stored.where(F.col(raw).isNotNull()).select(*keep, *triple).write.json(f"{path}/formatted")
-    content_rows(stored, F.col(triple[-1]), keep).write.json(f"{path}/parsed")
+    *asked, answer = triple
+    failed = F.col(raw).isNull() | F.col(answer).isNull()
+    told = stored.withColumns({
+        **{name: F.when(failed, F.lit("error")).otherwise(F.col(name)) for name in asked},
+        answer: F.when(failed, F.lit(NO_CONTENT)).otherwise(F.col(answer))})
+    told.select(*keep, *triple).write.json(f"{path}/formatted")
+    content_rows(told, F.col(answer), keep).write.json(f"{path}/parsed")
 
 
 def per_item_names(df: DataFrame, file: str, task: Column) -> DataFrame:

@@ -32,7 +32,7 @@ def stream_inputs(spark: SparkSession, path: str, max_files: int | None = None)
     """New prompt files (one JSON value per line) as rows: file, line and VARIANT."""
     reader = spark.readStream.option("recursiveFileLookup", "true")
     lines = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).text(path)
-    return lines.where(F.trim("value") != "").select(
+    return lines.where(F.col("value").rlike(r"\S")).select(
         F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("line"),
         V.parse(F.col("value")).alias("item"))
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptloom.functions import variants as V
+from promptloom.operators import responses as R
 from promptloom.sources import scan, sinks, workspace
 
 
@@ -87,3 +88,56 @@ def test_shared_folder_is_taken_from_the_session():
     assert workspace.shared_folder(Session(None, "local[2]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         workspace.shared_folder(Session(None, "yarn"))
+
+
+def test_arrays_larger_than_a_variant(spark, tmp_path):
+    """An array of more than 128 MiB: every element comes back, in order."""
+    text = "x" * 1400
+    with open(tmp_path / "big.json", "w") as out:
+        out.write("[")
+        for k in range(100_000):
+            out.write(("," if k else "") + '{"k":%d,"t":"%s"}' % (k, text))
+        out.write("]\n")
+    rows = scan.scan_json(spark, str(tmp_path), "*.json")
+    got = rows.select("row_id", V.get(F.col("item"), "$.k", "bigint").alias("k"), F.length(V.get(F.col("item"), "$.t")).alias("n")).agg(
+        F.count("*").alias("rows"), F.sum((F.col("row_id") == F.col("k")).cast("int")).alias("placed"), F.min("n").alias("n")).first()
+    assert tuple(got) == (100_000, 100_000, 1400)
+
+
+def test_documents_that_are_not_json(spark, tmp_path):
+    for name, text in (("a", "[1,]"), ("b", "[1] x"), ("c", '{"a":1}]')):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.json").write_text(text)
+        with pytest.raises(Exception, match="is not one JSON document"):
+            scan.scan_json(spark, str(tmp_path / name)).collect()
+    (tmp_path / "blank.json").write_text(" \n")
+    assert scan.scan_json(spark, str(tmp_path), "blank.json").count() == 0
+
+
+def test_positions_over_documents(spark, tmp_path):
+    df = spark.range(25).selectExpr("'f' AS file", "id AS idx", "cast(id AS string) AS line")
+    sinks.write_json_array(df, f"{tmp_path}/a", "file", "idx", "line", 10)
+    rows = scan.scan_json(spark, f"{tmp_path}/a").withColumn("file", F.lit("f")).withColumn(
+        "document", F.regexp_extract("file_path", "document=(\\d+)", 1).cast("int"))
+    placed = scan.with_position(rows, "file", ["document"])
+    assert sorted(tuple(r) for r in placed.select("idx", "line").collect()) == [(k, str(k)) for k in range(25)]
+
+
+def test_white_lines_are_no_rows(spark, tmp_path):
+    (tmp_path / "x.txt").write_text("1\n\t\n \u00a0\n  \n2\n")
+    lines = {r.line for r in scan.scan_jsonl(spark, str(tmp_path)).collect()}
+    assert {"1", "2"} <= lines and not lines & {"", "  ", "\t"}
+
+
+def test_failed_rows_are_written(spark, tmp_path):
+    df = spark.createDataFrame([(1, "r", "s", "u", "a"), (2, None, "s", "u", None), (3, "r", "s", "u", None)],
+                               "id long, raw string, system string, user string, assistant string")
+    sinks.write_outputs(df, f"{tmp_path}/o", "raw", ["system", "user", "assistant"], ["id"])
+    formatted = {r.id: (r.system, r.user, r.assistant) for r in spark.read.json(f"{tmp_path}/o/formatted").collect()}
+    assert formatted == {1: ("s", "u", "a"), 2: ("error", "error", R.NO_CONTENT), 3: ("error", "error", R.NO_CONTENT)}
+    assert {r.id: r.content for r in spark.read.json(f"{tmp_path}/o/parsed").collect()} == {1: "a", 2: R.NO_CONTENT, 3: R.NO_CONTENT}
+
+
+def test_null_fields_are_written(spark, tmp_path):
+    sinks.write_jsonl(spark.sql("SELECT 1 AS a, cast(NULL AS string) AS b"), f"{tmp_path}/n")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/n").collect()] == ['{"a":1,"b":null}']

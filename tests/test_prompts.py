@@ -122,3 +122,25 @@ def test_names_and_times(spark):
     assert (row["h"]["api_name"], row["h"]["task_name"], str(row["h"]["created_at"])) == ("openai", "a_b", "2024-02-01 03:04:05")
     assert (row["i"]["task_name"], str(row["i"]["created_at"])) == ("t", "2024-02-01 03:04:05")
     assert tuple(row["j"]) == ("unknown", "odd", "unknown", None)
+
+
+def test_what_is_one_json_value(spark):
+    bad = ["5] garbage", '{"a":1}] x', '"a"] tail', "5]", "5}", '{"a":1}} x', "1,2", '1,"x":2', "", "x", "5]}"]
+    good = ["5", '{"a":[1,{"b":"],"}]}', '"],"', "[]", " null ", "[1,2]"]
+    rows = spark.createDataFrame([(t,) for t in bad + good], "t string").select("t", V.parse(F.col("t")).isNull().alias("broken")).collect()
+    assert [r.t for r in rows if r.broken] == bad
+
+
+def test_field_names_are_not_paths(spark):
+    row = spark.createDataFrame([('{"input.text":"hi","who":{"x":1}}', "input.text")], "t string, name string").select(
+        P.find_prompt(V.parse(F.col("t")), "input.text", "who.x", True).alias("a"), P.find_prompt(V.parse(F.col("t")), F.col("name"), F.lit("s"), F.lit(True)).alias("b"),
+        P.find_prompt(V.parse(F.col("t")), "who.x", "s", True).alias("c")).first()
+    assert row.a.user == row.b.user == "hi" and row.a.system == P.DEFAULT_SYSTEM and "'who.x'" in row.c.error
+
+
+def test_keys_keep_nulls_and_sort_deep(spark):
+    from promptloom.functions import keys as K
+    df = spark.sql("SELECT named_struct('z', 1, 'b', cast(NULL AS string)) AS s, named_struct('b', cast(NULL AS string), 'z', 1) AS same")
+    row = df.select(K.sorted_json(q=F.col("s"), a=F.lit(None).cast("string")).alias("x"), K.sorted_json(q=F.col("same"), a=F.lit(None).cast("string")).alias("y"),
+                    K.sorted_json(q=F.col("s")).alias("other")).first()
+    assert row.x == row.y == '{"a":null,"q":{"b":null,"z":1}}' and row.other != row.x

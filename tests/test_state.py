@@ -113,6 +113,39 @@ def test_dispatch(spark, make):
     assert all(r["answer"] == f"body{r['request_key'][1:]}"[::-1] and r["attempts"] == 2 and r["error"] is None for r in out)
 
 
+def picky():
+    """A provider that turns down some bodies for good."""
+    def call(body):
+        if body.endswith("7"):
+            raise ValueError("refused")
+        return body
+    return call
+
+
+def test_bad_bodies_do_not_stop_others(spark, make):
+    """Default breaker: bodies that are turned down in a row leave all others answered."""
+    df = spark.createDataFrame([(f"k{i}", f"body{i}" if i > 20 else "bad7") for i in range(60)], "request_key string, body string").coalesce(1)
+    out = {r.request_key: r for r in D.dispatch(df, picky, threads=1).collect()}
+    assert len(out) == 60
+    for i in range(60):
+        bad = i <= 20 or i % 10 == 7
+        assert (out[f"k{i}"].error == "refused") == bad and (out[f"k{i}"].answer is None) == bad
+
+
+def test_open_breaker_waits_and_probes():
+    now, waits = [0.0], []
+
+    def sleep(seconds):
+        waits.append(seconds)
+        now[0] += seconds
+
+    breaker = D.Breaker(2, 10, lambda: now[0])
+    breaker.record(False)
+    breaker.record(False)
+    assert D.send(lambda body: body, "x", breaker, 3, 1.0, sleep) == ("x", None, 1) and waits == [10.0]
+    assert breaker.remaining() == 0
+
+
 def test_dispatch_of_nothing(spark, make):
     df = spark.createDataFrame([], "request_key string, body string")
     assert D.dispatch(df, make).count() == 0

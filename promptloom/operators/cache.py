@@ -34,12 +34,14 @@ def get_or_set(requests: DataFrame, cache: DataFrame, key: str, value: str, payl
                order: Sequence[str], answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Give every request its value, asking ``answer`` once per distinct key not in the cache.
 
-    ``answer`` takes ``key, *payload`` and returns ``key, value``. Its result is used once here.
+    ``answer`` takes ``key, *payload`` and returns ``key, value`` and any further columns, such as the ``error`` and ``attempts``
+    of a failed call; these reach the requests and are null where the cache had the value. Its result is used once
+    here. A key that the cache holds more than once counts once.
     """
-    known = cache.select(key, value)
+    known = cache.groupBy(key).agg(F.max(value).alias(value))
     unknown = dedup_requests(requests.select(key, *payload, *[o for o in order if o not in payload]), key, order)
     fresh = answer(unknown.join(known.select(key), [key], "left_anti").select(key, *payload))
-    answers = known.unionByName(fresh.select(key, value))
+    answers = known.unionByName(fresh, allowMissingColumns=True)
     return joins.salted_join(requests, answers, [key], "left", order)
 
 

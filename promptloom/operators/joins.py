@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ HOT_ROWS = 2_000_000
 SMALL_ROWS_SETTING = "promptloom.join.small.rows"
 SMALL_ROWS = 20_000
 
+LONE_SALTS = 1 << 20
+SMALL_BYTES = 8 << 20
+
 _SALT = "__salt"
 
 
@@ -19,9 +24,11 @@ def _setting(df: DataFrame, name: str, default: int) -> int:
 
 
 def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` is shown to hold at most ``max_rows`` rows; counts no further than that."""
+    """True when ``df`` is shown to hold at most ``max_rows`` rows and ``SMALL_BYTES`` bytes of JSON; reads no further than that."""
     limit = max_rows if max_rows is not None else _setting(df, SMALL_ROWS_SETTING, SMALL_ROWS)
-    return df.limit(limit + 1).count() <= limit
+    size = F.octet_length(F.to_json(F.struct("*")))
+    seen = df.limit(limit + 1).select(size.alias("size")).agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
+    return seen.n <= limit and (seen.size or 0) <= SMALL_BYTES
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
@@ -34,13 +41,15 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     """
     on = list(on)
     limit = _setting(left, HOT_SETTING, HOT_ROWS)
+    # A key with a null has no partner: its rows need no common place and are spread as they come.
+    lone = reduce(or_, [F.col(c).isNull() for c in on])
     hot = (
-        left.groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+        left.where(~lone).groupBy(*on).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
         .select(*on, F.ceil(F.col("__n") / limit).cast("int").alias("__salts"))
     )
     salts = F.coalesce("__salts", F.lit(1))
     spread_left = left.join(F.broadcast(hot), on, "left").withColumn(
-        _SALT, F.pmod(F.xxhash64(*spread), salts).cast("int")).drop("__salts")
+        _SALT, F.pmod(F.xxhash64(*spread), F.when(lone, LONE_SALTS).otherwise(salts)).cast("int")).drop("__salts")
     spread_right = right.join(F.broadcast(hot), on, "left").withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
     return spread_left.join(spread_right, [*on, _SALT], how).drop(_SALT)

@@ -82,19 +82,19 @@ def trim_history(spark, sf):
     return M.trim_history(X.history(spark, sf).select("task", "seq", "doc_id"), "task", "seq", 25)
 
 
-@query("load_history", "SELECT lang AS task, count(*) AS responses, max(doc_id) AS last_doc FROM documents GROUP BY lang")
+@query("load_history", "SELECT lang AS task, count(*) AS responses, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
 def load_history(spark, sf):
-    return _stored_history(spark, sf).groupBy("task").agg(F.count("*").alias("responses"), F.max("text").cast("bigint").alias("last_doc"))
+    return _stored_history(spark, sf).groupBy("task").agg(F.count("*").alias("responses"), F.sum(F.length("text")).alias("chars"))
 
 
-@query("save_history", f"WITH {X.HISTORY} SELECT task, seq, lpad(doc_id::VARCHAR, 12, '0') AS text FROM history")
+@query("save_history", f"WITH {X.HISTORY} SELECT task, seq, d.text FROM history JOIN documents d USING (doc_id)")
 def save_history(spark, sf):
     return _stored_history(spark, sf).select("task", "seq", "text")
 
 
 def _stored_history(spark, sf):
     path = workspace.new_path(spark, "history")
-    rows = X.history(spark, sf).select("task", "seq", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("text"),
+    rows = X.history(spark, sf).select("task", "seq", "text",
                                        F.timestamp_add("SECOND", F.col("doc_id"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")).alias("ts"))
     M.save_history(rows, path)
     return M.load_history(spark, path)

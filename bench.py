@@ -20,7 +20,8 @@ HEADLINE = [
     "cache_upsert", "ttl_hits", "running_hits", "split_batches", "combine_batches", "batch_progress", "rollup_status",
     "status_changes", "cooldown_remaining", "circuit_state", "similar_recent", "similarity_flag", "sim_cosine",
     "trim_history", "sample_records", "number_tasks", "parse_task_path", "leaf_paths", "validate_config",
-    "scan_jsonl", "with_position", "write_json_array", "stream_status_changes", "stream_cache_dedup",
+    "scan_jsonl", "with_position", "write_json_array", "stream_status_changes", "stream_cache_dedup", "sim_minhash",
+    "stream_similarity", "scan_inputs",
 ]
 
 

@@ -15,14 +15,18 @@ DIRECT = """'{"input_text":' || to_json(text)::VARCHAR || ',"instructions":"Repl
 
 
 @query("conversation_triples", f"""WITH {X.PAIRS}
-  SELECT r.conv_id, r.turn, 'You are a helpful assistant' AS system,
+, systems AS (SELECT conv_id, arg_min(text, turn) AS system FROM conversations WHERE role = 'system' GROUP BY conv_id)
+  SELECT r.conv_id, r.turn, coalesce(nullif(s.system, ''), 'You are a helpful assistant') AS system,
     coalesce(u."user", 'Error: Input data not found') AS "user", r.assistant
-  FROM replies r LEFT JOIN users u USING (conv_id, turn)""")
+  FROM replies r LEFT JOIN users u USING (conv_id, turn) LEFT JOIN systems s USING (conv_id)""")
 def conversation_triples(spark, sf):
+    """A conversation's own system turn, each user turn and the content taken out of the provider's answer."""
     users, replies = X.pairs(spark, sf)
-    aligned = R.align_left(replies, users, ["conv_id", "turn"], "user")
-    return R.triples(aligned, P.select_system(F.lit(None).cast("string"), False), F.col("user"),
-                     F.col("assistant"), ["conv_id", "turn"])
+    answer = F.to_variant_object(F.struct(F.array(F.struct(F.struct(F.col("assistant").alias("content")).alias("message"))).alias("choices")))
+    systems = X.table(spark, sf, "conversations").where(F.col("role") == "system").groupBy("conv_id").agg(F.min_by("text", "turn").alias("own_system"))
+    aligned = R.align_left(replies.withColumn("answer", answer), users, ["conv_id", "turn"], "user").join(systems, "conv_id", "left")
+    return R.triples(aligned, P.select_system(F.col("own_system"), True), F.col("user"),
+                     R.extract_content(F.col("answer")), ["conv_id", "turn"])
 
 
 @query("normalize_prompt", f"""SELECT doc_id, CASE doc_id % 7

@@ -20,6 +20,7 @@ def in_slices(rows: DataFrame, late: Column, make: Callable[[DataFrame], DataFra
     spark = rows.sparkSession
     base = workspace.new_path(spark, "stream")
     stream = None
+    late = F.coalesce(late, F.lit(False))  # a row without a time comes with the first
     for part in (~late, late):
         rows.where(part).write.mode("append").parquet(f"{base}/in")
         stream = stream if stream is not None else make(S.stream_table(spark, f"{base}/in", rows.schema))

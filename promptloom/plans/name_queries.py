@@ -195,7 +195,9 @@ def apply_defaults(spark, sf):
 @query("validate_config", f"""WITH {X.CONFIGS} SELECT c_custkey, array_to_string(list_filter([
     CASE WHEN c_custkey % 11 = 0 THEN 'task_name is required' END, CASE WHEN c_custkey % 17 = 0 THEN 'general is required' END,
     CASE WHEN api = 'other' THEN 'section other not found' END,
-    CASE WHEN api <> 'other' AND c_custkey % 13 = 0 THEN 'batch_size is not a number' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM configs""")
+    CASE WHEN api <> 'other' AND c_custkey % 13 = 0 THEN 'batch_size is not a number' END,
+    CASE WHEN c_custkey % 17 <> 0 THEN 'general.multiprocessing_enabled is required; general.sampling is required; general.logs is required; general.db is required' END,
+    CASE WHEN api IN ('openai', 'deepseek') THEN 'api_information.setting is required' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM configs""")
 def validate_config(spark, sf):
     return X.configs(spark, sf).select("c_custkey", F.array_join(G.validate_config(F.col("config"), F.col("api")), "; ").alias("reasons"))
 

@@ -176,11 +176,11 @@ def _machine(words: list[str], y: np.ndarray, landmarks: list[str]) -> tuple[np.
 
 
 def _bags(batches):
-    """The distinct lower-case words of each text."""
+    """The distinct lower-case words of each text, one a line."""
     for batch, texts in slices(batches):
-        bags = [sorted({w.decode("utf-8", "replace") for w in LOWER[np.frombuffer(texts.bytes_of(k), np.uint8)].tobytes().split()})
+        bags = ["\n".join(sorted({w.decode("utf-8", "replace") for w in LOWER[np.frombuffer(texts.bytes_of(k), np.uint8)].tobytes().split()}))
                 for k in range(texts.rows)]
-        yield emit(batch, ["doc_id", "label"], words=pa.array(bags, pa.list_(pa.string())))
+        yield emit(batch, ["doc_id", "label"], words=pa.array(bags, pa.string()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sample_clean: int = SAMPLE_CLEAN) -> dict | None:
@@ -190,10 +190,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC, sa
     chosen = [usable.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in ((1, sample_toxic), (0, sample_clean))]
     # At most sample_toxic + sample_clean ids of 12 bytes.
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
-            .mapInArrow(_bags, "doc_id long, label int, words array<string>")
+            .mapInArrow(_bags, "doc_id long, label int, words string")
             .withColumn("place", F.xxhash64("doc_id")).orderBy("place", "doc_id").limit(sample_toxic + sample_clean).collect())
     y = np.array([r["label"] for r in rows])
-    return fit_bags([r["words"] for r in rows], y)
+    # Texts share most of their words: each word is held once.
+    held: dict[str, str] = {}
+    bags = [[held.setdefault(w, w) for w in r["words"].split("\n") if w] for r in rows]
+    del rows
+    return fit_bags(bags, y)
 
 
 def fit_bags(bags: list[list[str]], y: np.ndarray) -> dict | None:

@@ -3,38 +3,53 @@ from __future__ import annotations
 
 import numpy as np
 
+BLOCK_ROWS = 250
 
-def fit_logistic(index: list[np.ndarray], value: list[np.ndarray], y: np.ndarray, learn: np.ndarray, size: int,
+
+def fit_logistic(index: np.ndarray, value: np.ndarray, lengths: np.ndarray, y: np.ndarray, learn: np.ndarray, size: int,
                  steps: int = 200, rate: float = 0.02, decay: float = 1e-3, least: int = 3) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights and bias by Adam over the rows ``learn``, classes weighted evenly, and the raw scores of all rows."""
-    lengths = np.array([len(i) for i in index])
-    row = np.repeat(np.arange(len(index), dtype=np.int32), lengths)
-    columns, code = np.unique(np.concatenate(index), return_inverse=True)
-    code, share = code.astype(np.int32), np.concatenate(value)
+    """Weights and bias by Adam over the rows ``learn``, classes weighted evenly, and the raw scores of all rows.
+
+    ``index`` and ``value`` hold the features of all rows one after the other, ``lengths`` of them a row. They are gone through in
+    blocks, so besides them only a few blocks and vectors of ``size`` are in memory.
+    """
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
     # Common features would drown the others: scale each by its root mean square where present, and drop those of under ``least`` rows.
-    seen = np.bincount(code, minlength=len(columns))
-    scale = np.where(seen >= least, 1 / np.sqrt(np.bincount(code, share * share, len(columns)) / np.maximum(seen, 1) + 1e-12), 0)
-    share = (share * scale[code]).astype(np.float32)
+    seen, square = np.zeros(size), np.zeros(size)
+    blocks = []
+    for low in range(0, len(lengths), BLOCK_ROWS):
+        high = min(low + BLOCK_ROWS, len(lengths))
+        part = slice(bounds[low], bounds[high])
+        blocks.append((low, high, part))
+        seen += np.bincount(index[part], minlength=size)
+        square += np.bincount(index[part], value[part].astype(np.float64) ** 2, size)
     # Rows of many features would outweigh others; all are taken as of the same length on average.
-    scale = scale / np.sqrt(lengths.mean())
-    share = share / np.float32(np.sqrt(lengths.mean()))
-    weight = np.zeros(len(index))
+    scale = np.where(seen >= least, 1 / np.sqrt(square / np.maximum(seen, 1) + 1e-12), 0) / np.sqrt(max(lengths.mean(), 1))
+    weight = np.zeros(len(lengths))
     weight[learn] = np.where(y[learn] == 1, 0.5 / max(1, y[learn].sum()), 0.5 / max(1, (1 - y[learn]).sum()))
-    w, bias = np.zeros(len(columns)), 0.0
-    first, second, fb, sb = np.zeros(len(columns)), np.zeros(len(columns)), 0.0, 0.0
+    w, bias = np.zeros(size), 0.0
+    first, second, fb, sb = np.zeros(size), np.zeros(size), 0.0, 0.0
+
+    def scores() -> np.ndarray:
+        scaled, raw = (w * scale).astype(np.float32), np.empty(len(lengths))
+        for low, high, part in blocks:
+            terms = np.concatenate([[0.0], np.cumsum(value[part] * scaled[index[part]], dtype=np.float64)])
+            edge = bounds[low:high + 1] - bounds[low]
+            raw[low:high] = terms[edge[1:]] - terms[edge[:-1]]
+        return raw + bias
+
     for step in range(1, steps + 1):
-        raw = np.bincount(row, share * w[code], len(index)) + bias
-        slope = weight * (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y)
-        gradient, gb = np.bincount(code, share * slope[row], len(columns)) + decay * w, slope.sum()
+        slope = weight * (1 / (1 + np.exp(-np.clip(scores(), -30, 30))) - y)
+        gradient, gb = np.zeros(size), slope.sum()
+        for low, high, part in blocks:
+            gradient += np.bincount(index[part], value[part] * np.repeat(slope[low:high], lengths[low:high]), size)
+        gradient = gradient * scale + decay * w
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient ** 2
         fb, sb = 0.9 * fb + 0.1 * gb, 0.999 * sb + 0.001 * gb ** 2
         a, b = 1 - 0.9 ** step, 1 - 0.999 ** step
         w -= rate * (first / a) / (np.sqrt(second / b) + 1e-8)
         bias -= rate * (fb / a) / (np.sqrt(sb / b) + 1e-8)
-    raw = np.bincount(row, share * w[code], len(index)) + bias
-    weights = np.zeros(size)
-    weights[columns] = w * scale
-    return weights, float(bias), raw
+    return w * scale, float(bias), scores()
 
 
 def fit_platt(raw: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:

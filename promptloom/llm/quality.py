@@ -118,13 +118,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> d
     y = np.array([r["label"] for r in rows], float)
     if len(set(y.tolist())) < 2:
         return None
-    index = [np.frombuffer(r["index"], np.int32) for r in rows]
-    value = [np.frombuffer(r["value"], np.float32) for r in rows]
-    held = np.arange(len(rows)) % 3 == 2
+    lengths = np.array([len(r["index"]) // 4 for r in rows])
+    index = np.frombuffer(b"".join(r["index"] for r in rows), np.int32)
+    value = np.frombuffer(b"".join(r["value"] for r in rows), np.float32)
+    del rows
+    held = np.arange(len(y)) % 3 == 2
     if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 1:
-        held = np.zeros(len(rows), bool)
+        held = np.zeros(len(y), bool)
     learn = np.flatnonzero(~held)
-    weights, bias, raw = fit_logistic(index, value, y, learn, 1 << BITS)
+    weights, bias, raw = fit_logistic(index, value, lengths, y, learn, 1 << BITS)
     check = np.flatnonzero(held) if held.any() else learn
     return {"weights": weights.astype(np.float32), "bias": bias, "platt": fit_platt(raw[check], y[check])}
 

@@ -8,9 +8,10 @@ What is left are runs that share a key but not their whole stretch. Only their b
 
 Shards. Each shard's suffix array comes from Larsson-Sadakane refinement, its common prefixes from Kasai's method; neighbours with ``LENGTH`` bytes in common that are not the same
 place repeat. Keys with more than ``SHARD_RUNS`` differing runs do not fit a shard. They are merged across shards by narrowing the anchor: ``LENGTH - ANCHOR`` is halved again and again until it is
-nothing, a binary search for how far strings agree; runs that have no partner or have equal ones drop out at each step, and at the last step a key is a whole string.
+nothing, a binary search for how far strings agree; runs that have no partner or have equal ones drop out at each step. At the last step a key is a whole string: all runs that share one,
+or hold it twice, repeat as a whole, and nothing is left to compare.
 
-Keys are shuffled with partial counts, texts once. Equality of whole runs and keys is that of two independent 64-bit hashes; inside shards bytes are compared.
+Keys are shuffled with partial counts, texts once. Equality of whole runs and keys is that of two independent 64-bit hashes, at the last step of keys alone; inside shards bytes are compared.
 
 Defined cases: null texts are empty; empty and short texts have nothing removed; rows that repeat an id and a text repeat each other and are removed whole if long enough; rows without an id are
 texts like others; an empty table gives no rows; further columns are ignored unless named in ``keep``.
@@ -186,15 +187,23 @@ def _narrow(stretches: DataFrame, length: int, anchor: int) -> DataFrame:
     return stretches.mapInArrow(run, "doc_id long, row long, key long, whole long, first int, last int, own long, stretch binary")
 
 
+def _intervals_of(runs: DataFrame, length: int) -> DataFrame:
+    return runs.select("doc_id", "row", F.col("first").cast("long").alias("low"), (F.col("last") + length).cast("long").alias("high"))
+
+
 def intervals(stretches: DataFrame, length: int, anchor: int, shard_runs: int = SHARD_RUNS, across: bool = False) -> DataFrame:
     """Repeated byte intervals of the stretches that must be compared."""
     found = _compare(stretches.where(F.col("kinds") <= shard_runs), length, across)
     crowded = stretches.where(F.col("kinds") > shard_runs)
-    while anchor < length and not crowded.isEmpty():
+    while not crowded.isEmpty():
         anchor = length - (length - anchor) // 2 if length - anchor > 20 else length
         judged = materialize(judge(materialize(_narrow(crowded, length, anchor), "repeats-narrow"), across), "repeats-judged")
-        found = found.union(judged.where("copies > 1").select(
-            "doc_id", "row", F.col("first").cast("long").alias("low"), (F.col("last") + length).cast("long").alias("high")))
+        if anchor == length:
+            # Equal keys are equal strings, so whole runs repeat, however many a key has: those of different lengths too, as runs of one byte are.
+            if across:
+                judged = judged.join(judged.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("z")).where("a <> z").select("key"), "key", "left_semi")
+            return found.union(_intervals_of(judged, length))
+        found = found.union(_intervals_of(judged.where("copies > 1"), length))
         asked = judged.where("asked")
         found = found.union(_compare(asked.where(F.col("kinds") <= shard_runs), length, across))
         crowded = asked.where(F.col("kinds") > shard_runs)

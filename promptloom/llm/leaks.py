@@ -1,9 +1,9 @@
 """Benchmark decontamination: random-walk embedding, bit sampling, exact edit distance.
 
-Texts and items are word sequences (A-Z lower-cased). A window of as many words as an item has room for (12, or 6 for items of under 12 words) is
+Texts and items are word sequences (A-Z lower-cased). A window of 12 words, or 6 for items of under 20 words, is
 embedded by the CGK walk: a pointer reads a word, writes its hash and moves on or stays by a random bit of that hash, so two windows at a small edit distance fall
 into step again and agree in most places of the embedding. ``WALKS`` walks with ``TABLES`` samples of a few places each give one key a sample. Every window
-of every text is looked up among the keys of all windows of the items; an item of n words offers n - 11 windows, and one hit at any of them makes a candidate. Candidates are
+of every text is looked up among the keys of all windows of the items; an item of n words offers n - 11 (n - 5) windows, and one hit at any of them makes a candidate. Candidates are
 checked by the exact word edit distance between the whole item and the text around the hit (both ends in the text free): an item is leaked if
 ``100 * edits <= percent * words``.
 
@@ -27,8 +27,8 @@ from promptloom.llm.spans import Texts, mix, slices, texts_of
 PERCENT = 20
 LEAST_WORDS = 6
 WALKS, TABLES = 2, 6
-#: Window words, places sampled for one key.
-CLASSES = ((12, 6), (6, 4))
+#: Least words of an item, window words, places sampled for one key. Items of 12 to 19 words have too few windows of 12 words to be found under a fifth of edits.
+CLASSES = ((20, 12, 6), (6, 6, 4))
 BLOCK_WORDS = 200_000
 _CHUNK = 1 << 15
 _MAP_BITS = 21
@@ -59,9 +59,9 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, size: int, samples: list[li
 def build_index(items: list[np.ndarray]) -> list[dict]:
     """For each window class the sorted keys of each table with the item and place they come from."""
     index = []
-    for k, (size, taken) in enumerate(CLASSES):
+    for k, (least, size, taken) in enumerate(CLASSES):
         top = CLASSES[k - 1][0] if k else 1 << 62
-        chosen = [i for i, w in enumerate(items) if size <= len(w) < top]
+        chosen = [i for i, w in enumerate(items) if least <= len(w) < top]
         if not chosen:
             continue
         words = np.concatenate([items[i] for i in chosen])

@@ -7,6 +7,7 @@ import re
 import string
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -373,6 +374,25 @@ def edit_distance_within(item, text):
     return min(row)
 
 
+def test_leaks_of_every_length_at_most_edits():
+    """Items with a fifth of their words replaced, dropped or added to, the most that counts as leaked."""
+    rng, lengths, each = random.Random(12), range(6, 31), 200
+    items = [words(rng, n, 10**6) for n in lengths for _ in range(each)]
+    bodies = []
+    for item in items:
+        w = item.split()
+        for at in sorted(rng.sample(range(len(w)), len(w) // 5), reverse=True):
+            w[at:at + 1] = rng.choice([["zzz"], [], [w[at], "qqq"]])
+        bodies.append(" ".join([words(rng, 20, 10**6), *w, words(rng, 20, 10**6)]))
+    held = leaks.texts_of(pa.array(items))
+    held.find_words()
+    hashes = held.word_hashes(lower=True)
+    held = [hashes[a:b] for a, b in zip(held.words[:-1], held.words[1:])]
+    found = {f[:2] for f in leaks.find_leaks(leaks.texts_of(pa.array(bodies)), held, leaks.build_index(held), 20)}
+    recall = {n: sum((k, k) in found for k in range(j * each, (j + 1) * each)) / each for j, n in enumerate(lengths)}
+    assert min(recall.values()) >= 0.9, recall
+
+
 def test_leaks(spark, docs, empty):
     rng = random.Random(6)
     items = {k: words(rng, rng.choice([6, 9, 14, 25, 40]), 60) for k in range(12)} | {90: None, 91: "", 92: "too short"}

@@ -1,9 +1,9 @@
 """The dealt operators over their whole tables, with production parameters."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from promptloom.llm import leaks, lines, mixing, near, pages, quality, repeats, secrets, tokens, toxicity
+from promptloom.llm import bpe, leaks, lexical, lines, mixing, near, pages, quality, repeats, secrets, tokens, toxicity
 from promptloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -58,3 +58,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_decontamination")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+@query("op11_bpe_round_trip")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = bpe.encode(table(spark, folder, "documents", "doc_id", "text"), path)
+    return bpe.decode(encoded, path, keep=["doc_id", "ids"]).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op12_lexical_search", lexical.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(lexical.index(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "benchmark"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from promptloom.llm import bpe, leaks, lexical, lines, mixing, near, pages, quality, repeats, secrets, tokens, toxicity
+from promptloom.llm import bpe, leaks, lexical, lines, mixing, near, pages, quality, repeats, secrets, tokens, toxicity, trie
 from promptloom.llm.registry import CHECKS, QUERIES, query, table  # noqa: F401
 
 
@@ -73,3 +73,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_lexical_search", lexical.SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return lexical.search(lexical.index(table(spark, folder, "documents", "doc_id", "text")), table(spark, folder, "benchmark"))
+
+
+@query("op13_conversation_trie", trie.SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.build(table(spark, folder, "conversations"))

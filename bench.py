@@ -9,6 +9,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from promptloom.plans import catalog
@@ -36,12 +37,17 @@ def measure(spark, name: str, folder: str, runs: int) -> float:
 
 
 def main() -> None:
+    with tempfile.TemporaryDirectory(prefix="bench-") as shared:
+        run(f"file:{shared}")
+
+
+def run(shared: str) -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", os.cpu_count() or 8))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     chosen = os.environ.get("BENCH_QUERIES", "")
     names = sorted(catalog.QUERIES) if chosen == "all" else chosen.split(",") if chosen else HEADLINE
-    spark = local_session(cpus)
+    spark = local_session(cpus, spark__checkpoint__dir=shared)
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name in names:

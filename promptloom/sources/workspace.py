@@ -1,33 +1,37 @@
 """Where intermediate tables go: the shared folder the cluster names, nothing machine-local."""
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_WAREHOUSE = "spark.sql.warehouse.dir"
 
 
-@functools.cache
-def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="promptloom-")
+_made: set[str] = set()
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared one, removed when the application ends."""
+    folder = f"{shared_folder(spark)}/promptloom-{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _made.add(folder)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder from ``spark.checkpoint.dir``; a temporary one only for a local master without it."""
-    folder = spark.conf.get(_SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder every executor can reach")
-    return _own_folder(spark.sparkContext.applicationId)
+    """Folder from ``spark.checkpoint.dir``; the warehouse, which executors share too, where it is not set."""
+    return (spark.conf.get(_SETTING, None) or spark.conf.get(_WAREHOUSE)).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """An unused path below the shared folder, in a folder that goes when the application ends."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

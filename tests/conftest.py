@@ -12,8 +12,9 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, spark__driver__memory="6g")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    session = local_session(8, spark__driver__memory="6g", spark__checkpoint__dir=f"file:{shared}")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

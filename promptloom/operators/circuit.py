@@ -94,12 +94,11 @@ def circuit_state(df: DataFrame, provider: str, call_id: str, micros: str, ok: s
     reset_us = reset_seconds * 1_000_000
     slim = df.select(F.col(provider).cast("string").alias("provider"), F.col(call_id).cast("bigint").alias("call_id"),
                      F.col(micros).alias("us"), F.col(ok).alias("ok"))
-    cut, several = ordered.cut_ranges(slim, ["us", "call_id"])
-    cut = cut.drop("__order").withColumnRenamed("__range", "part")
-    if several:
-        ready = cut.join(_starts(cut, max_failures, reset_us), ["provider", "part"])
-    else:
-        ready = cut.withColumns({"failures": F.lit(0).cast("bigint"), "opened": F.lit(None).cast("bigint")})
+    cold, hot = ordered.split_hot(slim, ["provider"], ["us", "call_id"])
+    ready = cold.withColumns({"part": F.lit(0), "failures": F.lit(0).cast("bigint"), "opened": F.lit(None).cast("bigint")})
+    if hot is not None:
+        cut = hot.withColumnRenamed("__range", "part")
+        ready = ready.unionByName(cut.join(_starts(cut, max_failures, reset_us), ["provider", "part"]))
     # A fixed number of tasks: the work per byte is high, so small partitions must not be merged.
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = ready.repartition(tasks, "provider", "part").sortWithinPartitions("provider", "part", "us", "call_id")

@@ -1,161 +1,147 @@
-"""Row numbers, previous values and running totals that hold when one key owns a third of all rows.
-
-A plain window puts a whole key into one task. Here the total order of the table is cut into ranges
-of about equal size, so ``(key, range)`` never exceeds one range, and windows run inside those groups.
-What a group must know of earlier ranges (a count, a last row, a sum) comes from a small summary and
-is put in front of the group as one more row, so the rows themselves are shuffled once and not joined. The
-split points are read once from a bounded sample and become constants of the plan: a recomputed
-task finds the same ranges, whatever happened to the first attempt.
+"""Row numbers, previous values, running totals and last rows that hold when one key owns a third of all rows.
+
+Keys that fit into one task take a plain window: one shuffle by key. Keys with more rows than that are few by arithmetic (rows / limit). Their rows alone are
+range-partitioned by ``(keys, order)`` and stored, so a range holds a bounded stretch of a key and a lost executor's work finds the same ranges. Windows run per
+``(key, range)``, and what a range must know of earlier ones (a count, a last row, a sum) comes from one summary row per hot key and range, which is put in front of the
+range as one more row. Summaries are scanned per key; there are about as many as ranges, whatever the number of keys.
 """
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from promptloom.sources import workspace
+
 ROWS_SETTING = "promptloom.range.rows"
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 4_096
-SAMPLES_PER_RANGE = 40
 
 _RANGE = "__range"
-_ORDER = "__order"
 _CARRY = "__carry"
 
 
 def range_rows(df: DataFrame) -> int:
-    """Wanted rows per range; the session setting lets tests use tiny ranges."""
+    """Rows that one task may hold of a key; the session setting lets tests use tiny ranges."""
     return int(df.sparkSession.conf.get(ROWS_SETTING, str(ROWS_PER_RANGE)))
 
 
-def _split_points(df: DataFrame, ranges: int, total: int) -> list:
-    """At most ``ranges - 1`` ascending order values, from a sample bounded by the number of ranges."""
-    wanted = ranges * SAMPLES_PER_RANGE
-    slots = 1 << 40
-    limit = min(slots, int(slots * (wanted / total)) + 1)
-    sample = (
-        df.select(_ORDER)
-        .where(F.pmod(F.xxhash64(_ORDER), F.lit(slots)) < limit)
-        .orderBy(_ORDER)
-        .collect()
-    )
-    values = [row[0] for row in sample]
-    picks = [values[len(values) * i // ranges] for i in range(1, ranges)] if values else []
-    return [v for i, v in enumerate(picks) if i == 0 or v != picks[i - 1]]
-
-
-def _literal(value, kind) -> Column:
-    if isinstance(value, tuple):
-        return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(value, kind.fields)])
-    return F.lit(value).cast(kind)
-
-
-def _range_number(points: list, kind) -> Column:
-    """How many split points are <= the row's order value: coarse list first, then one fine list."""
-    def at_most(values: Column) -> Column:
-        return F.size(F.filter(values, lambda p: p <= F.col(_ORDER)))
-
-    literals = [_literal(p, kind) for p in points]
-    if len(literals) <= 32:
-        return at_most(F.array(*literals))
-    width = int(len(literals) ** 0.5) + 1
-    blocks = [literals[i:i + width] for i in range(0, len(literals), width)]
-    coarse = at_most(F.array(*[b[0] for b in blocks]))
-    fine = F.array(*[F.array(*b) for b in blocks])
-    return F.when(coarse == 0, F.lit(0)).otherwise(
-        (coarse - 1) * width + at_most(F.get(fine, coarse - 1))
-    )
-
-
-def cut_ranges(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, bool]:
-    """Add ``__order`` and ``__range``; the flag tells whether there is more than one range.
-
-    ``order`` must be a total order inside each key, of numbers, strings or dates.
-    """
-    ordered = df.withColumn(_ORDER, F.col(order[0]) if len(order) == 1 else F.struct(*order))
-    per_range = range_rows(df)
-    total = ordered.select(_ORDER).count()
-    ranges = min(MAX_RANGES, -(-total // per_range))
-    points = _split_points(ordered, ranges, total) if ranges > 1 else []
-    if not points:
-        return ordered.withColumn(_RANGE, F.lit(0)), False
-    number = _range_number(points, ordered.schema[_ORDER].dataType)
-    return ordered.withColumn(_RANGE, number), True
-
+def _order_value(order: Sequence[str]) -> Column:
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
-def _inside(keys: Sequence[str]) -> Window:
-    return Window.partitionBy(*keys, _RANGE).orderBy(F.col(_CARRY).desc(), _ORDER)
 
+def split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+              descending: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys that fit into one task, and the stored rows of the other keys with their ``__range`` (None without such keys).
 
-def _before(keys: Sequence[str]) -> Window:
-    """Summaries of earlier ranges of the same key; at most ``MAX_RANGES`` rows per key."""
+    Ranges follow ``order``, which must be total inside a key, so a later range of a key has only later rows.
+    """
+    limit = range_rows(df)
+    crowded = df.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") > limit)
+    total = crowded.agg(F.sum("__rows")).first()[0]
+    if not total:
+        return df, None
+    names = {k: f"__hot_{i}" for i, k in enumerate(keys)}
+    hot = workspace.materialize(crowded.select(*[F.col(k).alias(n) for k, n in names.items()]), "hot-keys")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.lit(True))
+    rows = df.join(hot, same, "left_semi")
+    ends = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    ranged = rows.repartitionByRange(-(-total // limit), *keys, *ends).withColumn(_RANGE, F.spark_partition_id())
+    return df.join(hot, same, "left_anti"), workspace.materialize(ranged, "ranges")
+
+
+def _before(keys: Sequence[str]) -> WindowSpec:
+    """Summaries of earlier ranges of the same key; about one for each ``range_rows`` rows of the key."""
     return Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Mapping[str, Column],
-          carry: Mapping[str, Column], carried: Mapping[str, Column], outputs: Mapping[str, Column]) -> DataFrame:
+          carry: Mapping[str, Column], carried: Mapping[str, Column],
+          outputs: Callable[[WindowSpec], Mapping[str, Column]], descending: bool = False) -> DataFrame:
     """Ordered computation over keys of any size.
 
     ``inputs`` are columns added to each row, ``carry`` aggregates them per range, ``carried`` names the
     input values of the row in front of a range (windows over earlier summaries of the key), and ``outputs``
-    are window functions over all rows of a range including that one.
+    are window functions over all rows of a key, or of a range including that one.
     """
-    cut, several = cut_ranges(df, order)
-    rows = cut.withColumns({**inputs, _CARRY: F.lit(False)})
-    if several:
-        summary = rows.groupBy(*keys, _RANGE).agg(*[c.alias(name) for name, c in carry.items()])
-        first = summary.select(*keys, _RANGE, *[c.alias(name) for name, c in carried.items()], F.lit(True).alias(_CARRY))
-        rows = rows.unionByName(first, allowMissingColumns=True)
-    done = rows.withColumns(dict(outputs))
-    return (done.where(~F.col(_CARRY)) if several else done).drop(_ORDER, _RANGE, _CARRY, *inputs)
+    ends = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    cold, hot = split_hot(df.withColumns(dict(inputs)), keys, order, descending)
+    done = cold.withColumns(dict(outputs(Window.partitionBy(*keys).orderBy(*ends)))).drop(*inputs)
+    if hot is None:
+        return done
+    summary = hot.groupBy(*keys, _RANGE).agg(*[c.alias(name) for name, c in carry.items()])
+    first = summary.select(*keys, _RANGE, *[c.alias(name) for name, c in carried.items()], F.lit(True).alias(_CARRY))
+    rows = hot.withColumn(_CARRY, F.lit(False)).unionByName(first, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, _RANGE).orderBy(F.col(_CARRY).desc(), *ends)
+    spread = rows.withColumns(dict(outputs(inside))).where(~F.col(_CARRY)).drop(_RANGE, _CARRY, *inputs)
+    return done.unionByName(spread)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx",
-                start: int = 0) -> DataFrame:
+                start: int = 0, descending: bool = False) -> DataFrame:
     """Dense position of each row inside its key, counted from ``start``."""
-    upto = _inside(keys).rowsBetween(Window.unboundedPreceding, 0)
     earlier = F.coalesce(F.sum("__n").over(_before(keys)), F.lit(0))
     return _scan(df, keys, order, {"__n": F.lit(1).cast("long")}, {"__n": F.sum("__n")}, {"__n": earlier},
-                 {name: F.sum("__n").over(upto) - 1 + start})
+                 lambda w: {name: F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1 + start}, descending)
 
 
 def previous_values(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                     columns: Mapping[str, str]) -> DataFrame:
     """For ``{new: old}`` add the ``old`` value of the row just before, null for the first row of a key."""
     picked = F.struct(*[F.col(old).alias(new) for new, old in columns.items()])
-    last = F.max_by("__values", F.col(_ORDER))
+    last = F.max_by("__values", _order_value(order))
     earlier = F.lag("__values").over(Window.partitionBy(*keys).orderBy(_RANGE))
-    before = F.lag("__values").over(_inside(keys))
     scanned = _scan(df, keys, order, {"__values": picked}, {"__values": last}, {"__values": earlier},
-                    {"__previous_row": before})
+                    lambda w: {"__previous_row": F.lag("__values").over(w)})
     return scanned.withColumns({new: F.col("__previous_row")[new] for new in columns}).drop("__previous_row")
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  columns: Mapping[str, str]) -> DataFrame:
     """For ``{new: old}`` add the sum of ``old`` up to and including each row (null counts as 0)."""
-    upto = _inside(keys).rowsBetween(Window.unboundedPreceding, 0)
     parts = {new: f"__part_{new}" for new in columns}
     return _scan(
         df, keys, order,
         {parts[new]: F.coalesce(F.col(old), F.lit(0)) for new, old in columns.items()},
         {part: F.sum(part) for part in parts.values()},
         {part: F.coalesce(F.sum(part).over(_before(keys)), F.lit(0)) for part in parts.values()},
-        {new: F.sum(part).over(upto) for new, part in parts.items()})
+        lambda w: {new: F.sum(part).over(w.rowsBetween(Window.unboundedPreceding, 0)) for new, part in parts.items()})
+
+
+def last_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, Column]) -> DataFrame:
+    """For ``{new: value}`` add the last ``value`` that is not null in the rows before each row of its key, null where there is none."""
+    own = {new: f"__own_{i}" for i, new in enumerate(columns)}
+    at = _order_value(order)
+    return _scan(
+        df, keys, order, {own[new]: value for new, value in columns.items()},
+        {c: F.max_by(c, F.when(F.col(c).isNotNull(), at)) for c in own.values()},
+        {c: F.last(c, ignorenulls=True).over(_before(keys)) for c in own.values()},
+        lambda w: {new: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)) for new, c in own.items()})
 
 
-def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
-              slices: int = 64) -> DataFrame:
-    """The last ``n`` rows of each key.
+def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int | Column) -> DataFrame:
+    """The last ``n`` rows of each key; ``n`` may be a column that is the same in all rows of a key.
 
-    Each key is first cut into hash slices that keep their own last ``n``, so the final ranking sees
-    at most ``slices * n`` rows of a key.
+    Map tasks keep the last ``n`` of a key before the shuffle where Spark can tell ``n``; a key of any size is ranked range by range.
     """
-    newest = [F.col(c).desc() for c in order]
-    sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
-    first = Window.partitionBy(*keys, "__slice").orderBy(*newest)
-    final = Window.partitionBy(*keys).orderBy(*newest)
-    kept = sliced.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= n)
-    return kept.withColumn("__rank", F.row_number().over(final)).where(F.col("__rank") <= n).drop(
-        "__rank", "__slice")
+    if isinstance(n, int):
+        cold, hot = split_hot(df, keys, order, descending=True)
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]))
+        kept = cold.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+        return kept if hot is None else kept.unionByName(_last_of_ranges(hot, keys, order, n))
+    wanted = df.withColumn("__wanted", n)
+    numbered = number_rows(wanted, keys, order, "__rank", start=1, descending=True)
+    return numbered.where(F.col("__rank") <= F.col("__wanted")).drop("__rank", "__wanted")
+
+
+def _last_of_ranges(hot: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """Last rows of stored ranges in descending order: only ranges with fewer than ``n`` rows in front of them are looked at."""
+    sizes = hot.groupBy(*keys, _RANGE).agg(F.count("*").alias("__n"))
+    starts = sizes.select(*[F.col(k).alias(f"__hot_{i}") for i, k in enumerate(keys)], F.col(_RANGE).alias("__at"),
+                          F.coalesce(F.sum("__n").over(_before(keys)), F.lit(0)).alias("__start")).where(F.col("__start") < n)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__hot_{i}")) for i, k in enumerate(keys)], F.col(_RANGE) == F.col("__at"))
+    rows = hot.join(starts, same)
+    rank = F.row_number().over(Window.partitionBy(*keys, _RANGE).orderBy(*[F.col(c).desc() for c in order])) + F.col("__start")
+    return rows.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank", "__start", "__at", _RANGE, *[f"__hot_{i}" for i in range(len(keys))])

@@ -1,7 +1,7 @@
 """Sampling records and files; every choice is a function of seed and key, so it can be repeated."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.operators import joins, ordered
@@ -12,9 +12,14 @@ def sample_head(df: DataFrame, n: int, idx: str = "idx") -> DataFrame:
     return df.where(F.col(idx) < n)
 
 
-def sample_records(df: DataFrame, n: int, seed: str, file: str = "file", key: str = "key") -> DataFrame:
-    """``n`` random records of every file that has more, all records otherwise."""
+def sample_records(df: DataFrame, n: int | Column, seed: str, file: str = "file", key: str = "key") -> DataFrame:
+    """``n`` random records of every file that has more, all records otherwise.
+
+    ``n`` may be a column, the same in all records of a file; where it is null or not above zero all records stay.
+    """
     ranked = df.withColumn("__draw", F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))))
+    if isinstance(n, Column):
+        n = F.when(n > 0, n).otherwise(F.lit(2**62))
     return ordered.last_rows(ranked, [file], ["__draw", key], n).drop("__draw")
 
 

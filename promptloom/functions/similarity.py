@@ -1,14 +1,15 @@
 """Similarity scores between two texts or vectors, as feature and score columns.
 
 A scorer has two parts: ``feature`` turns the text column into what is compared (once per row, before
-any shuffle), ``score`` compares two features and gives 0 to 1.
+any shuffle), ``score`` compares two features and gives 0 to 1. Words travel as sorted 64-bit hashes, never as strings; two different words are
+taken for one another with a chance of 2**-64.
 """
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.variants import let
@@ -27,22 +28,41 @@ SIGNATURE_B_STEP = 69621
 class Scorer:
     feature: Callable[[Column], Column]
     score: Callable[[Column, Column], Column]
-    # A cheap value no score can exceed, where there is one.
-    bound: Callable[[Column, Column], Column] | None = None
+    # Cheap conditions, the cheapest first, without which two features cannot reach a score, where there are any.
+    needed: Callable[[Column, Column, float], list[Column]] | None = None
+    # Takes the place of ``feature`` where it is made by an aggregate: (rows, their key columns, text column, new column).
+    aggregate: Callable[[DataFrame, Sequence[str], str, str], DataFrame] | None = None
 
 
 def tokens(text: Column) -> Column:
-    """Distinct words of a text."""
-    return F.array_distinct(F.array_remove(F.split(text, TOKEN_BREAK), ""))
+    """Words of a text; an empty one at an end where the text begins or ends with another character."""
+    return F.split(text, TOKEN_BREAK)
+
+
+def word_hashes(text: Column) -> Column:
+    """The distinct words of a text as sorted 64-bit hashes."""
+    hashed = F.transform(tokens(text), lambda t: F.when(t != "", F.xxhash64(t)))
+    return F.sort_array(F.array_distinct(F.array_compact(hashed)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared share of two distinct-word arrays; two empty ones count as equal."""
+    """Shared share of two arrays of distinct values; two empty ones count as equal."""
     both = F.size(a) + F.size(b)
     return F.when(both == 0, F.lit(1.0)).otherwise(
         let(F.size(F.array_intersect(a, b)), lambda shared: shared / (both - shared)))
 
 
+def _prefix(a: Column, at_least: float) -> Column:
+    """Sorted sets that share ``at_least`` of their values share one of these."""
+    kept = F.size(a) - F.ceil(F.size(a) * F.lit(at_least - 1e-9)).cast("int") + 1
+    return F.slice(a, F.lit(1), F.least(kept, F.size(a)))
+
+
+def _jaccard_needs(a: Column, b: Column, at_least: float) -> list[Column]:
+    alike = F.arrays_overlap(_prefix(a, at_least), _prefix(b, at_least)) | (F.size(a) + F.size(b) == 0)
+    return [_size_ratio(F.size(a), F.size(b)) >= at_least, alike]
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """One minus edit distance over the longer length, on whole texts."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -55,14 +75,16 @@ def signature_steps() -> list[tuple[int, int]]:
             for i in range(SIGNATURE_SIZE)]
 
 
-def signature(text: Column) -> Column:
-    """Fixed-size summary of the word set: the smallest permuted hash per permutation."""
-    hashed = F.transform(
-        tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint"))
-    steps = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b"))
-                      for a, b in signature_steps()])
-    return let(hashed, lambda words: F.transform(steps, lambda s: F.array_min(
-        F.transform(words, lambda h: (h * s["a"] + s["b"]) % SIGNATURE_PRIME))))
+def with_signature(rows: DataFrame, keys: Sequence[str], text: str, name: str) -> DataFrame:
+    """Fixed-size summary of the word set: the smallest permuted hash per permutation, null for a text without words.
+
+    Words are exploded and their minima aggregated where they lie; one row of minima for each of ``keys`` is all that is shuffled.
+    """
+    hashed = F.conv(F.substring(F.md5("__word"), 1, 7), 16, 10).cast("bigint")
+    words = rows.select(*keys, F.explode_outer(tokens(F.col(text))).alias("__word")).select(
+        *keys, F.when(F.col("__word") != "", hashed).alias("__hash"))
+    lows = words.groupBy(*keys).agg(*[F.min((F.col("__hash") * a + b) % SIGNATURE_PRIME).alias(f"__low{i}") for i, (a, b) in enumerate(signature_steps())])
+    return lows.select(*keys, F.array(*[f"__low{i}" for i in range(SIGNATURE_SIZE)]).alias(name))
 
 
 def signature_agreement(a: Column, b: Column) -> Column:
@@ -91,8 +113,8 @@ def _size_ratio(a: Column, b: Column) -> Column:
 
 
 SCORERS = {
-    "jaccard": Scorer(tokens, jaccard, lambda a, b: _size_ratio(F.size(a), F.size(b))),
-    "levenshtein": Scorer(lambda text: text, levenshtein_ratio, lambda a, b: _size_ratio(F.length(a), F.length(b))),
-    "minhash": Scorer(signature, signature_agreement),
+    "jaccard": Scorer(word_hashes, jaccard, _jaccard_needs),
+    "levenshtein": Scorer(lambda text: text, levenshtein_ratio, lambda a, b, at_least: [_size_ratio(F.length(a), F.length(b)) >= at_least]),
+    "minhash": Scorer(lambda text: text, signature_agreement, aggregate=with_signature),
     "cosine": Scorer(with_norm, cosine),
 }

@@ -1,8 +1,8 @@
 """Each response against the previous N of its task, and the waiting time between responses.
 
-``seq`` is the dense position of a row in its task. A task is cut into blocks of consecutive rows, and
+``seq`` orders the rows of a task and may have gaps. Rows are numbered inside, a task is cut into blocks of consecutive rows, and
 each block also gets a copy of the N rows before it. The trailing window then runs inside
-``(task, block)``: one shuffle, no pairs on the wire, and a huge task becomes many blocks.
+``(task, block)``: no pairs on the wire, and a huge task becomes many blocks.
 """
 from __future__ import annotations
 
@@ -21,31 +21,41 @@ def _scorer(score: str | Scorer) -> Scorer:
 
 def with_previous(df: DataFrame, task: str, seq: str, value: str, n: int, name: str) -> DataFrame:
     """Add an array of ``(seq, value)`` of up to ``n`` rows just before each row."""
+    numbered = ordered.number_rows(df, [task], [seq], "__place")
     block_size = max(8 * n, 256)
-    block = F.floor(F.col(seq) / block_size)
-    near_end = F.col(seq) % block_size >= block_size - n
-    copies = df.withColumn("__block", F.explode(
+    block = F.floor(F.col("__place") / block_size)
+    near_end = F.col("__place") % block_size >= block_size - n
+    copies = numbered.withColumn("__block", F.explode(
         F.when(near_end, F.array(block, block + 1)).otherwise(F.array(block))))
-    # Spread by block even where the rows already lie together by task.
-    copies = copies.repartition(task, "__block")
-    trailing = Window.partitionBy(task, "__block").orderBy(seq).rowsBetween(-n, -1)
+    # Spread by block even where the rows already lie together by task. A fixed number of tasks: the work per byte is high, so small partitions must not be merged.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = copies.repartition(tasks, task, "__block")
+    trailing = Window.partitionBy(task, "__block").orderBy("__place").rowsBetween(-n, -1)
     item = F.struct(F.col(seq).alias("seq"), F.col(value).alias("value"))
-    own = F.col("__block") == F.floor(F.col(seq) / block_size)
-    return copies.withColumn(name, F.collect_list(item).over(trailing)).where(own).drop("__block")
+    own = F.col("__block") == F.floor(F.col("__place") / block_size)
+    return copies.withColumn(name, F.collect_list(item).over(trailing)).where(own).drop("__block", "__place")
+
+
+def _featured(df: DataFrame, task: str, seq: str, value: str, scorer: Scorer) -> DataFrame:
+    """Rows with ``__feature`` in place of the text."""
+    if scorer.aggregate is None:
+        return df.withColumn("__feature", scorer.feature(F.col(value))).drop(value)
+    rest = [c for c in df.columns if c not in (task, seq, value)]
+    return scorer.aggregate(df, [task, seq, *rest], value, "__feature")
 
 
 def _scored(df: DataFrame, task: str, seq: str, value: str, n: int, score: str | Scorer,
             at_least: float | None = None) -> DataFrame:
-    """Add ``__scores``: previous ``seq`` and score, null where the bound already rules ``at_least`` out."""
+    """Add ``__scores``: previous ``seq`` and score, null where a cheap condition already rules ``at_least`` out."""
     scorer = _scorer(score)
-    ready = df.withColumn("__feature", scorer.feature(F.col(value))).drop(value)
-    near = with_previous(ready, task, seq, "__feature", n, "__previous")
+    near = with_previous(_featured(df, task, seq, value, scorer), task, seq, "__feature", n, "__previous")
 
     def scored(own: Column, other: Column) -> Column:
-        exact = scorer.score(own, other)
-        if at_least is None or scorer.bound is None:
-            return exact
-        return F.when(scorer.bound(own, other) >= at_least, exact)
+        found = scorer.score(own, other)
+        if at_least is not None and scorer.needed is not None:
+            for condition in reversed(scorer.needed(own, other, at_least)):
+                found = F.when(condition, found)
+        return found
 
     scores = F.transform("__previous", lambda p: F.struct(
         p["seq"].alias("prev_seq"), scored(F.col("__feature"), p["value"]).alias("score")))
@@ -92,6 +102,22 @@ def cooldown_remaining(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     }).drop("__prev_us")
 
 
+def similar_cooldown(df: DataFrame, task: str, order: Sequence[str], micros: str, cooldown: int,
+                     score: str = "max_score", is_similar: str = "is_similar") -> DataFrame:
+    """Waiting time before each response that a similar response before it in its task causes; other responses cause none.
+
+    ``df`` comes from ``similarity_flag``. A response is similar when it is flagged and its score is above 0, and the last
+    similar one before a row counts, however many rows lie between them.
+    """
+    caused = F.when(F.col(is_similar) & (F.col(score) > 0), F.col(micros))
+    after = ordered.last_before(df, [task], order, {"__similar_us": caused})
+    waiting = F.coalesce((F.col(micros) - F.col("__similar_us")) < cooldown * 1_000_000, F.lit(False))
+    return after.withColumns({
+        "remaining": wait_seconds(F.col(micros), F.col("__similar_us"), cooldown),
+        "should_wait": waiting,
+    }).drop("__similar_us")
+
+
 def load_history(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

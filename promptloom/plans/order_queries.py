@@ -14,67 +14,85 @@ from promptloom.plans import fixtures as X
 from promptloom.plans.registry import query
 from promptloom.sources import workspace
 
-WORDS = f"words AS (SELECT task, seq, {X.TOKENS.format('text')} AS w FROM history)"
+# Responses are ordered by a number with gaps; the operators count the rows of a task themselves.
+GAPPY = """gappy AS (SELECT lang AS task, doc_id, 7 * doc_id + doc_id % 5 AS seq, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents)"""
+WORDS = f"{GAPPY}, words AS (SELECT task, seq, n, {X.TOKENS.format('text')} AS w FROM gappy)"
 NEAR = """near AS (SELECT a.task, a.seq, b.seq AS prev_seq, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE
     len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END AS score
-  FROM words a JOIN words b ON a.task = b.task AND b.seq BETWEEN a.seq - 10 AND a.seq - 1)"""
+  FROM words a JOIN words b ON a.task = b.task AND b.n BETWEEN a.n - 10 AND a.n - 1)"""
 
 
-@query("similar_recent", f"""WITH {X.HISTORY}, {WORDS}, {NEAR} SELECT task, seq, prev_seq, round(score, 6) AS score FROM near""")
+def gappy(spark, sf):
+    """Documents as past responses of their language, in the order of a number with gaps."""
+    number = 7 * F.col("doc_id") + F.col("doc_id") % 5
+    return X.table(spark, sf, "documents").select(F.col("lang").alias("task"), "doc_id", number.alias("seq"), "text")
+
+
+@query("similar_recent", f"""WITH {WORDS}, {NEAR} SELECT task, seq, prev_seq, round(score, 6) AS score FROM near""")
 def similar_recent(spark, sf):
-    rows = X.history(spark, sf).select("task", "seq", "text")
+    rows = gappy(spark, sf).select("task", "seq", "text")
     return M.similar_recent(rows, "task", "seq", "text", 10).withColumn("score", F.round("score", 6))
 
 
-@query("similarity_flag", f"""WITH {X.HISTORY}, {WORDS}, {NEAR} SELECT h.task, h.seq, h.doc_id, round(coalesce(m, 0), 6) AS max_score,
-    coalesce(m, 0) >= 0.8 AS is_similar FROM history h LEFT JOIN (SELECT task, seq, max(score) AS m FROM near GROUP BY task, seq) USING (task, seq)""")
+FLAGGED = f"""{WORDS}, {NEAR}, flagged AS (SELECT h.task, h.seq, h.doc_id, round(coalesce(m, 0), 6) AS max_score,
+    coalesce(m, 0) >= 0.8 AS is_similar FROM gappy h LEFT JOIN (SELECT task, seq, max(score) AS m FROM near GROUP BY task, seq) USING (task, seq))"""
+
+
+@query("similarity_flag", f"WITH {FLAGGED} SELECT * FROM flagged")
 def similarity_flag(spark, sf):
-    rows = M.similarity_flag(X.history(spark, sf), "task", "seq", "text", 10, 0.8)
+    rows = M.similarity_flag(gappy(spark, sf), "task", "seq", "text", 10, 0.8)
     return rows.withColumn("max_score", F.round("max_score", 6))
 
 
-@query("sim_jaccard", f"""WITH {X.HISTORY}, {WORDS}, {NEAR} SELECT task, seq, prev_seq, round(score, 6) AS score FROM near WHERE score >= 0.5""")
-def sim_jaccard(spark, sf):
-    rows = X.history(spark, sf).select("task", "seq", "text")
-    return M.similar_recent(rows, "task", "seq", "text", 10, at_least=0.5).withColumn("score", F.round("score", 6))
+# Times with ties (eight rows a tick) and gaps between ticks.
+@query("similar_cooldown", f"""WITH {FLAGGED}, timed AS (SELECT task, seq, is_similar AND max_score > 0 AS caused, (doc_id // 8 * 45 + doc_id // 100 * 600) * 1000000 AS us FROM flagged),
+  last AS (SELECT *, last_value(CASE WHEN caused THEN us END IGNORE NULLS) OVER (PARTITION BY task ORDER BY us, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS since FROM timed)
+  SELECT task, seq, us, CASE WHEN since IS NULL THEN 0 ELSE floor(greatest(0, 300 - (us - since) / 1e6))::BIGINT END AS remaining,
+    coalesce(us - since < 300000000, false) AS should_wait FROM last""")
+def similar_cooldown(spark, sf):
+    flagged = M.similarity_flag(gappy(spark, sf), "task", "seq", "text", 10, 0.8)
+    ticks = F.floor(F.col("doc_id") / 8) * 45 + F.floor(F.col("doc_id") / 100) * 600
+    timed = flagged.select("task", "seq", "max_score", "is_similar", (ticks * 1_000_000).alias("us"))
+    return M.similar_cooldown(timed, "task", ["us", "seq"], "us", 300).select("task", "seq", "us", "remaining", "should_wait")
 
 
-def _urls(spark, sf):
-    from promptloom.operators import ordered
-    rows = X.table(spark, sf, "pages").select("page_id", "url", F.element_at(F.split("url", "/"), 4).alias("task"))
-    return ordered.number_rows(rows, ["task"], ["page_id"], "seq").select("task", "seq", "url")
+@query("sim_jaccard", f"""WITH {WORDS}, {NEAR} SELECT task, seq, prev_seq, round(score, 6) AS score FROM near WHERE score >= 0.5""")
+def sim_jaccard(spark, sf):
+    rows = gappy(spark, sf).select("task", "seq", "text")
+    return M.similar_recent(rows, "task", "seq", "text", 10, at_least=0.5).withColumn("score", F.round("score", 6))
 
 
-@query("sim_levenshtein", """WITH u AS (SELECT string_split(url, '/')[4] AS task, url,
-    row_number() OVER (PARTITION BY string_split(url, '/')[4] ORDER BY page_id) - 1 AS seq FROM pages)
-  SELECT a.task, a.seq, b.seq AS prev_seq, round(1 - levenshtein(a.url, b.url)::DOUBLE / greatest(length(a.url), length(b.url)), 6) AS score
-  FROM u a JOIN u b ON a.task = b.task AND b.seq BETWEEN a.seq - 5 AND a.seq - 1""")
+# The check's function counts bytes: each letter of more than one gets a sign of its own.
+@query("sim_levenshtein", """WITH r AS (SELECT conv_id // 8 AS task, conv_id * 1000 + turn AS seq, translate(text, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', '#$%&*+/<=>@[]^_`{|}~;') AS t,
+    row_number() OVER (PARTITION BY conv_id // 8 ORDER BY conv_id, turn) AS n FROM conversations WHERE role = 'assistant')
+  SELECT a.task, a.seq, b.seq AS prev_seq, round(1 - levenshtein(a.t, b.t)::DOUBLE / greatest(length(a.t), length(b.t)), 6) AS score
+  FROM r a JOIN r b ON a.task = b.task AND b.n BETWEEN a.n - 3 AND a.n - 1""")
 def sim_levenshtein(spark, sf):
-    return M.similar_recent(_urls(spark, sf), "task", "seq", "url", 5, "levenshtein").withColumn("score", F.round("score", 6))
+    answers = X.table(spark, sf, "conversations").where("role = 'assistant'").select(
+        F.floor(F.col("conv_id") / 8).alias("task"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), "text")
+    return M.similar_recent(answers, "task", "seq", "text", 3, "levenshtein").withColumn("score", F.round("score", 6))
 
 
 _STEPS = "[" + ", ".join(f"{{'a': {a}::BIGINT, 'b': {b}::BIGINT}}" for a, b in signature_steps()) + "]"
 
 
-@query("sim_minhash", f"""WITH {X.HISTORY}, {WORDS},
-  hashed AS (SELECT task, seq, list_transform(w, lambda t: ('0x' || substr(md5(t), 1, 7))::BIGINT) AS h FROM words),
-  signed AS (SELECT task, seq, list_transform({_STEPS}, lambda s: list_min(list_transform(h, lambda x: (x * s.a + s.b) % {SIGNATURE_PRIME}))) AS g FROM hashed)
+@query("sim_minhash", f"""WITH {WORDS},
+  hashed AS (SELECT task, seq, n, list_transform(w, lambda t: ('0x' || substr(md5(t), 1, 7))::BIGINT) AS h FROM words),
+  signed AS (SELECT task, seq, n, list_transform({_STEPS}, lambda s: list_min(list_transform(h, lambda x: (x * s.a + s.b) % {SIGNATURE_PRIME}))) AS g FROM hashed)
   SELECT a.task, a.seq, b.seq AS prev_seq, len(list_filter(range(1, len(a.g) + 1), lambda i: a.g[i] IS NOT DISTINCT FROM b.g[i])) / len(a.g)::DOUBLE AS score
-  FROM signed a JOIN signed b ON a.task = b.task AND b.seq BETWEEN a.seq - 10 AND a.seq - 1""")
+  FROM signed a JOIN signed b ON a.task = b.task AND b.n BETWEEN a.n - 10 AND a.n - 1""")
 def sim_minhash(spark, sf):
-    rows = X.history(spark, sf).select("task", "seq", "text")
+    rows = gappy(spark, sf).select("task", "seq", "text")
     return M.similar_recent(rows, "task", "seq", "text", 10, "minhash")
 
 
-@query("sim_cosine", """WITH e AS (SELECT label AS task, embedding::DOUBLE[] AS v,
-    row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS seq FROM embeddings)
+@query("sim_cosine", """WITH e AS (SELECT label AS task, embedding::DOUBLE[] AS v, vec_id AS seq,
+    row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings)
   SELECT a.task, a.seq, b.seq AS prev_seq, round(list_cosine_similarity(a.v, b.v), 4) + 0::DOUBLE AS score
-  FROM e a JOIN e b ON a.task = b.task AND b.seq BETWEEN a.seq - 5 AND a.seq - 1""")
+  FROM e a JOIN e b ON a.task = b.task AND b.n BETWEEN a.n - 5 AND a.n - 1""")
 def sim_cosine(spark, sf):
-    from promptloom.operators import ordered
-    rows = X.table(spark, sf, "embeddings").select(F.col("label").alias("task"), "vec_id", "embedding")
-    numbered = ordered.number_rows(rows, ["task"], ["vec_id"], "seq").drop("vec_id")
-    return M.similar_recent(numbered, "task", "seq", "embedding", 5, "cosine").withColumn("score", F.round("score", 4) + 0.0)
+    rows = X.table(spark, sf, "embeddings").select(F.col("label").alias("task"), F.col("vec_id").alias("seq"), "embedding")
+    return M.similar_recent(rows, "task", "seq", "embedding", 5, "cosine").withColumn("score", F.round("score", 4) + 0.0)
 
 
 @query("trim_history", f"WITH {X.HISTORY} SELECT task, seq, doc_id FROM history h WHERE seq >= (SELECT max(seq) FROM history g WHERE g.task = h.task) - 24")

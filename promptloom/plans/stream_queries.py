@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import variants as V
 from promptloom.plans import fixtures as X
-from promptloom.plans import order_queries  # noqa: F401 - the batch twins' check SQL is used here
+from promptloom.plans import order_queries
 from promptloom.plans.registry import CHECKS, query
 from promptloom.sources import workspace
 from promptloom.streaming import runner
@@ -52,10 +52,10 @@ def stream_terminal_jobs(spark, sf):
     return in_slices(_events(spark, sf), _late(), lambda s: S.stream_terminal_jobs(s, ("purchase", "error")))
 
 
-@query("stream_similarity", CHECKS["similarity_flag"].replace("h.task, h.seq, h.doc_id", "h.task, h.seq"))
+@query("stream_similarity", CHECKS["similarity_flag"].replace("SELECT * FROM", "SELECT task, seq, max_score, is_similar FROM"))
 def stream_similarity(spark, sf):
-    rows = X.history(spark, sf).select("task", "seq", "text")
-    flagged = in_slices(rows, F.col("seq") >= 100, lambda s: S.stream_similarity(s, 10, 0.8))
+    rows = order_queries.gappy(spark, sf).select("task", "seq", "text")
+    flagged = in_slices(rows, F.col("seq") >= 3_000, lambda s: S.stream_similarity(s, 10, 0.8))
     return flagged.withColumn("max_score", F.round("max_score", 6))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from promptloom.functions import variants as V
-from promptloom.functions.similarity import tokens
+from promptloom.functions.similarity import word_hashes
 from promptloom.operators.circuit import MAX_FAILURES, RESET_SECONDS, step
 from promptloom.operators.status import TERMINAL, is_terminal
 
@@ -96,10 +96,10 @@ def stream_similarity(df: DataFrame, n: int, threshold: float) -> DataFrame:
             best = max(scores, default=0.0)
             scored.append((key[0], seq, best, best >= threshold))
             recent = [*recent, own][-n:]
-        state.update((json.dumps([sorted(words) for words in recent], ensure_ascii=False),))
+        state.update((json.dumps([[int(w) for w in words] for words in recent]),))
         yield pd.DataFrame(scored, columns=["task", "seq", "max_score", "is_similar"])
 
-    words = df.select("task", "seq", tokens(F.col("text")).alias("words"))
+    words = df.select("task", "seq", word_hashes(F.col("text")).alias("words"))
     return _stateful(words, ["task"], run, "task string, seq bigint, max_score double, is_similar boolean",
                      "recent string")
 

@@ -169,14 +169,74 @@ def test_similarity_flag(spark, n):
         assert score == pytest.approx(max((len(own & b) / len(own | b) for b in before), default=0.0))
 
 
+@pytest.mark.parametrize("range_rows", ["1000000", "100"])
+def test_gaps_and_repeats_lose_nothing(spark, setting, range_rows):
+    """Any ascending order numbers: every row meets all of its previous n, with and without a threshold."""
+    setting(ordered.ROWS_SETTING, range_rows)
+    rng = random.Random(5)
+    rows = [("x", 7 * i + rng.randrange(7), " ".join(rng.sample(rng.choice(GROUPS).split(), 3))) for i in range(700)]
+    rows += [("y", -40 + 9 * i, rng.choice(["", "...", "a b", None])) for i in range(20)] + [(None, 3, "a"), (None, 5, "a")]
+    df = spark.createDataFrame(rows, "task string, seq bigint, text string").repartition(4)
+    want = {}
+    for task in ("x", "y", None):
+        mine = sorted(r[1:] for r in rows if r[0] == task)
+        for i, (seq, text) in enumerate(mine):
+            for other, before in mine[max(0, i - 3):i]:
+                if text is not None and before is not None:
+                    a, b = ({w for w in t.replace("...", "").split() if w} for t in (text, before))
+                    want[task, seq, other] = len(a & b) / len(a | b) if a | b else 1.0
+                else:
+                    want[task, seq, other] = None
+    got = {(r["task"], r["seq"], r["prev_seq"]): r["score"] for r in M.similar_recent(df, "task", "seq", "text", 3).collect()}
+    assert got.keys() == want.keys() and all(got[k] == (None if v is None else pytest.approx(v)) for k, v in want.items())
+    for at_least in (0.2, 0.5, 0.8, 1.0):
+        high = {(r["task"], r["seq"], r["prev_seq"]) for r in M.similar_recent(df, "task", "seq", "text", 3, at_least=at_least).collect()}
+        assert high == {k for k, v in want.items() if v is not None and v >= at_least - 1e-12}
+
+
+def test_prefixes_keep_every_similar_pair(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(600):
+        words = rng.sample(range(60), rng.randrange(1, 40))
+        other = words[:rng.randrange(len(words) + 1)] + rng.sample(range(60, 90), rng.randrange(8))
+        rows.append((i, " ".join(f"w{w}" for w in words), " ".join(f"w{w}" for w in other)))
+    df = spark.createDataFrame(rows, "id int, a string, b string").select(FS.word_hashes(F.col("a")).alias("a"), FS.word_hashes(F.col("b")).alias("b"))
+    for at_least in (0.1, 0.5, 0.75, 0.8, 1.0):
+        needs = FS.SCORERS["jaccard"].needed(F.col("a"), F.col("b"), at_least)
+        lost = df.where((FS.jaccard(F.col("a"), F.col("b")) >= at_least) & ~(needs[0] & needs[1]))
+        assert lost.count() == 0
+        assert at_least < 0.5 or df.where(~(needs[0] & needs[1])).count() > 50
+
+
+@pytest.mark.parametrize("range_rows", ["1000000", "40"])
+def test_similar_cooldown(spark, setting, range_rows):
+    """Only similar responses make the next ones wait; ties, gaps and rows without a time."""
+    setting(ordered.ROWS_SETTING, range_rows)
+    rng = random.Random(4)
+    rows = [(t, i, rng.choice([None, *range(0, 400)]) if i % 11 == 0 else i // 2 * 3, rng.random() < 0.2, rng.choice([0.0, 0.9])) for t in "ab" for i in range(0, 300, 2)]
+    df = spark.createDataFrame([(t, i, None if s is None else s * SECOND, f, m) for t, i, s, f, m in rows],
+                               "task string, seq int, us bigint, is_similar boolean, max_score double").repartition(3)
+    got = {(r["task"], r["seq"]): (r["remaining"], r["should_wait"]) for r in M.similar_cooldown(df, "task", ["seq"], "us", 30).collect()}
+    for task in "ab":
+        last = None
+        for t, i, s, f, m in sorted(r for r in rows if r[0] == task):
+            left = 0 if last is None or s is None else max(0, 30 - (s - last))
+            assert got[task, i] == (left, left > 0)
+            last = s if f and m > 0 and s is not None else last
+
+
 def test_signature_estimates_jaccard(spark):
     a = " ".join(f"w{i}" for i in range(200))
     b = " ".join(f"w{i}" for i in range(60, 260))
+    texts = spark.createDataFrame([(1, a), (2, b), (3, "... "), (4, None)], "id int, text string")
+    signed = {r["id"]: r["s"] for r in FS.with_signature(texts, ["id"], "text", "s").collect()}
+    assert signed[3] == signed[4] == [None] * FS.SIGNATURE_SIZE
     row = spark.range(1).select(
-        FS.signature_agreement(FS.signature(F.lit(a)), FS.signature(F.lit(b))).alias("estimate"),
-        FS.jaccard(FS.tokens(F.lit(a)), FS.tokens(F.lit(b))).alias("exact"),
+        FS.signature_agreement(F.lit(signed[1]), F.lit(signed[2])).alias("estimate"),
+        FS.jaccard(FS.word_hashes(F.lit(a)), FS.word_hashes(F.lit(b))).alias("exact"),
         FS.levenshtein_ratio(F.lit("kitten"), F.lit("sitting")).alias("edit"),
-        FS.jaccard(FS.tokens(F.lit("...")), FS.tokens(F.lit(""))).alias("empty"),
+        FS.jaccard(FS.word_hashes(F.lit("...")), FS.word_hashes(F.lit(""))).alias("empty"),
         FS.cosine(FS.with_norm(F.array(F.lit(3.0), F.lit(4.0))), FS.with_norm(F.array(F.lit(4.0), F.lit(3.0)))).alias("cosine")).first()
     assert row["exact"] == pytest.approx(140 / 260) and abs(row["estimate"] - row["exact"]) < 0.3
     assert row["edit"] == pytest.approx(1 - 3 / 7) and row["empty"] == 1.0 and row["cosine"] == pytest.approx(0.96)

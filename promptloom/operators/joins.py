@@ -23,12 +23,12 @@ def _setting(df: DataFrame, name: str, default: int) -> int:
     return int(df.sparkSession.conf.get(name, str(default)))
 
 
-def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
-    """True when ``df`` is shown to hold at most ``max_rows`` rows and ``SMALL_BYTES`` bytes of JSON; reads no further than that."""
+def is_small(df: DataFrame, max_rows: int | None = None, max_bytes: int = SMALL_BYTES) -> bool:
+    """True when ``df`` is shown to hold at most ``max_rows`` rows and ``max_bytes`` bytes of JSON; reads no further than that."""
     limit = max_rows if max_rows is not None else _setting(df, SMALL_ROWS_SETTING, SMALL_ROWS)
     size = F.octet_length(F.to_json(F.struct("*")))
     seen = df.limit(limit + 1).select(size.alias("size")).agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
-    return seen.n <= limit and (seen.size or 0) <= SMALL_BYTES
+    return seen.n <= limit and (seen.size or 0) <= max_bytes
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,

@@ -1,11 +1,8 @@
 """Reading prompt, response, config and task files as tables."""
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from promptloom.functions import names as N
 from promptloom.functions import variants as V
 from promptloom.operators import joins
 from promptloom.operators.config import CONFIG_SCHEMA
-from promptloom.sources import workspace
+from promptloom.sources import documents, workspace
 
 RAW_RESPONSES = "*_raw_response.json"
 
@@ -40,68 +37,25 @@ def scan_jsonl(spark: SparkSession, path: str, glob: str | None = None) -> DataF
                         F.col("value").alias("line"), V.parse(F.col("value")).alias("item"))
 
 
+def _may_split(spark: SparkSession, path: str, glob: str | None) -> bool:
+    """Whether Spark may cut a file into several splits, from the files' sizes alone; it never cuts one of at most its cost to open a file."""
+    largest = _reader(spark, glob).format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    settings = spark._jsparkSession.sessionState().conf()
+    return largest > min(settings.filesOpenCostInBytes(), settings.filesMaxPartitionBytes())
+
+
 def scan_json(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """One row per element of a JSON array file, one row for an object file, none for a blank file.
 
-    Elements are cut from the text one by one, so only a single element has to fit into a VARIANT, not the array. A
-    document that is not JSON stops the job. An array in one document has no place to be split, so each file is
-    one task; arrays of any size should be written with ``sinks.write_json_array``, whose parts are documents of bounded size.
+    A file is read by as many tasks as it has splits (see ``documents``); only a single element has to fit into a row and a VARIANT. A document that is not JSON stops the job.
     """
-    docs = _with_source(_reader(spark, glob).text(path, wholetext=True))
-    cut = docs.select("file_path", "file_name", "block_start", "value").mapInArrow(
-        _cut_documents, "file_path string, file_name string, block_start long, row_id long, line string")
-    return cut.select("file_path", "file_name", "block_start", "row_id", V.parse(F.col("line")).alias("item"), "line")
-
-
-def _elements(text: str, name: str) -> Iterator[str]:
-    """The text of each element of an array, or the one value that a document holds."""
-    decode, space = json.JSONDecoder().raw_decode, re.compile(r"\s*").match
-    at = space(text).end()
-    if at == len(text):
-        return
-    try:
-        if text[at] != "[":
-            end = decode(text, at)[1]
-            yield text[at:end]
-        else:
-            at = space(text, at + 1).end()
-            while text[at:at + 1] != "]":
-                end = decode(text, at)[1]
-                yield text[at:end]
-                at = space(text, end).end()
-                if text[at:at + 1] == ",":
-                    at = space(text, at + 1).end()
-                    if text[at:at + 1] == "]":
-                        raise ValueError("comma before the end of an array")
-                elif text[at:at + 1] != "]":
-                    raise ValueError(f"no comma at character {at}")
-            end = at + 1
-        if space(text, end).end() != len(text):
-            raise ValueError(f"text after the document at character {end}")
-    except ValueError as failure:
-        raise ValueError(f"{name} is not one JSON document: {failure}") from failure
-
-
-def _cut_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a few thousand elements at a time, whatever the size of their document."""
-    def rows(path: str, name: str, start: int, first: int, lines: list[str]) -> pa.RecordBatch:
-        n = len(lines)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([path] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array([start] * n, pa.int64()),
-             pa.array(range(first, first + n), pa.int64()), pa.array(lines, pa.string())],
-            names=["file_path", "file_name", "block_start", "row_id", "line"])
-
-    for batch in batches:
-        for path, name, start, text in zip(*(column.to_pylist() for column in batch.columns)):
-            first, held, size = 0, [], 0
-            for line in _elements(text, path):
-                held.append(line)
-                size += len(line)
-                if len(held) >= 4096 or size >= 16 << 20:
-                    yield rows(path, name, start, first, held)
-                    first, held, size = first + len(held), [], 0
-            if held:
-                yield rows(path, name, start, first, held)
+    about = {"file_path": "file_path", "file_name": "file_name", "block_start": "file_block_start", "file_size": "file_size"}
+    text = _reader(spark, glob).option("lineSep", ",").text(path).select(
+        "value", *[F.col(f"_metadata.{old}").alias(new) for new, old in about.items()],
+        (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("several"))
+    broken = F.raise_error(F.concat("file_path", F.lit(" is not one JSON document: an element cannot be read")))
+    item = V.let(V.parse(F.col("line")), lambda value: F.when(value.isNull() & (F.col("line") != "null"), broken).otherwise(value))
+    return documents.elements(text, _may_split(spark, path, glob)).select("file_path", "file_name", "block_start", "row_id", item.alias("item"), "line")
 
 
 def scan_inputs(spark: SparkSession, path: str, documents: str = "*.json", lines: str = "*.jsonl") -> DataFrame:
@@ -109,9 +63,6 @@ def scan_inputs(spark: SparkSession, path: str, documents: str = "*.json", lines
     return scan_json(spark, path, documents).unionByName(scan_jsonl(spark, path, lines))
 
 
-SPLITS_CHANGED = "file splits differ from those counted; fix spark.sql.files.maxPartitionBytes and minPartitionNum"
-
-
 def with_position(df: DataFrame, file: str = "file_path", parts: Sequence[str] = ()) -> DataFrame:
     """Add ``idx``, the 0-based place of each row in its file.
 
@@ -128,9 +79,9 @@ def with_position(df: DataFrame, file: str = "file_path", parts: Sequence[str] =
     earlier = Window.partitionBy(file).orderBy(*of[1:]).rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("file_path", "block_start", "__first",
                            F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    placed = df.join(F.broadcast(starts) if joins.is_small(splits) else starts, ["file_path", "block_start"], "left")
+    placed = df.join(F.broadcast(starts) if joins.is_small(splits, documents.STATE_ROWS, documents.STATE_BYTES) else starts, ["file_path", "block_start"], "left")
     idx = F.col("row_id") - F.col("__first") + F.col("__start")
-    return placed.withColumn("idx", F.when(idx.isNull(), F.raise_error(F.lit(SPLITS_CHANGED)).cast("bigint"))
+    return placed.withColumn("idx", F.when(idx.isNull(), F.raise_error(F.lit(documents.CHANGED)).cast("bigint"))
                              .otherwise(idx)).drop("__first", "__start")
 
 

@@ -1,6 +1,7 @@
 """Files: positions in split files, array documents, mixed folders, stored outputs."""
 import glob
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -75,23 +76,21 @@ def test_outputs_are_written_once(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/o/parsed").columns == ["content", "id"]
 
 
-class Session:
-    """Only what the folder lookup asks a session for."""
+def test_intermediate_tables_lie_in_the_shared_folder(spark):
+    rows = workspace.materialize(spark.range(5), "five")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    assert rows.count() == 5 and all(f"{folder}/promptloom-{spark.sparkContext.applicationId}/five-" in f for f in rows.inputFiles())
 
-    def __init__(self, folder, master):
-        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
-        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app"})
 
+def test_the_warehouse_stands_in_for_a_missing_setting():
+    session = type("Session", (), {"conf": {"spark.sql.warehouse.dir": "s3://house/"}})
+    assert workspace.shared_folder(session) == "s3://house"
+    session.conf["spark.checkpoint.dir"] = "s3://shared/"
+    assert workspace.shared_folder(session) == "s3://shared"
 
-def test_shared_folder_is_taken_from_the_session():
-    assert workspace.new_path(Session("s3://shared/", "yarn"), "x").startswith("s3://shared/x-")
-    assert workspace.shared_folder(Session(None, "local[2]"))
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        workspace.shared_folder(Session(None, "yarn"))
 
-
-def test_arrays_larger_than_a_variant(spark, tmp_path):
-    """An array of more than 128 MiB: every element comes back, in order."""
+def test_one_large_array_is_read_by_many_tasks(spark, tmp_path):
+    """An array of more than 128 MiB in one document: every element comes back, in order, from one task a split."""
     text = "x" * 1400
     with open(tmp_path / "big.json", "w") as out:
         out.write("[")
@@ -99,9 +98,59 @@ def test_arrays_larger_than_a_variant(spark, tmp_path):
             out.write(("," if k else "") + '{"k":%d,"t":"%s"}' % (k, text))
         out.write("]\n")
     rows = scan.scan_json(spark, str(tmp_path), "*.json")
-    got = rows.select("row_id", V.get(F.col("item"), "$.k", "bigint").alias("k"), F.length(V.get(F.col("item"), "$.t")).alias("n")).agg(
-        F.count("*").alias("rows"), F.sum((F.col("row_id") == F.col("k")).cast("int")).alias("placed"), F.min("n").alias("n")).first()
-    assert tuple(got) == (100_000, 100_000, 1400)
+    got = scan.with_position(rows).select("idx", "block_start", V.get(F.col("item"), "$.k", "bigint").alias("k"), F.length(V.get(F.col("item"), "$.t")).alias("n")).agg(
+        F.count("*").alias("rows"), F.sum((F.col("idx") == F.col("k")).cast("int")).alias("placed"), F.min("n").alias("n"), F.count_distinct("block_start").alias("splits")).first()
+    assert tuple(got)[:3] == (100_000, 100_000, 1400) and got.splits >= 5
+
+
+def nested(rng, depth):
+    kind = rng.random()
+    if depth == 0 or kind < 0.3:
+        return rng.choice([1, -2.5, None, True, "a", 'q"u,o[t{e\\', "\\\\\"", ",,,", "]}", "", "äö\n", [], {}])
+    if kind < 0.6:
+        return {f"k{i},\"": nested(rng, depth - 1) for i in range(rng.randrange(5))}
+    return [nested(rng, depth - 1) for _ in range(rng.randrange(5))]
+
+
+@pytest.mark.parametrize("size", ["61", "1000"])
+def test_splits_of_any_size_give_the_elements(spark, setting, tmp_path, size):
+    """Files cut at every kind of place: strings with signs of all sorts, deep values, long elements, white space, objects, scalars, blank files."""
+    setting("spark.sql.files.maxPartitionBytes", size)
+    setting("spark.sql.files.openCostInBytes", "0")
+    setting("spark.sql.files.minPartitionNum", "1")
+    rng, want = random.Random(9), {}
+    for k in range(6):
+        items = [nested(rng, 4) for _ in range(rng.randrange(30))] + [["long", ",".join("ab" for _ in range(rng.randrange(200)))]]
+        text = json.dumps(items, ensure_ascii=k % 2 == 0, indent=[None, 1][k % 3 == 0], separators=[(",", ":"), (" , ", " : ")][k % 2])
+        want[f"a{k}.json"] = items
+        (tmp_path / f"a{k}.json").write_text([text, f"\n \t{text}  \n\n"][k % 2])
+    others = {"object.json": {"a": [1, 2, {"b": ",]["}], "c": "x" * 300}, "string.json": "a,b]", "number.json": 17, "empty.json": [], "spaced.json": [], "one.json": [[1, 2]], "null.json": [None]}
+    for name, value in others.items():
+        (tmp_path / name).write_text("[ \n ]" if name == "spaced.json" else json.dumps(value))
+        want[name] = value if isinstance(value, list) else [value]
+    (tmp_path / "blank.json").write_text(" \n ")
+    (tmp_path / "nothing.json").write_text("")
+    rows = scan.with_position(scan.scan_json(spark, str(tmp_path), "*.json")).select("file_name", "idx", "line").collect()
+    got = {}
+    for row in sorted(rows, key=lambda r: (r.file_name, r.idx)):
+        assert row.idx == len(got.setdefault(row.file_name, []))
+        got[row.file_name].append(json.loads(row.line))
+    assert got == {name: items for name, items in want.items() if items}
+
+
+BROKEN = ['[1,2', '[1,,2]', '[1,2,]', '[1,2],', '[1,2] 3', '[1,2],[3]', '[{"a":1]', '[1}', '{"a":1', '["open]', ',1', '[,1]', '[1,2]]', '[01,2]']
+
+
+@pytest.mark.parametrize("size, texts", [("100000", BROKEN), ("16", ["[" + "1," * 40 + end for end in ("]", "2", '"b",c]', "2],", "2],[3]", '"open]')])])
+def test_broken_documents_stop_the_job(spark, setting, tmp_path, size, texts):
+    setting("spark.sql.files.maxPartitionBytes", size)
+    setting("spark.sql.files.openCostInBytes", "0")
+    setting("spark.sql.files.minPartitionNum", "1")
+    for k, text in enumerate(texts):
+        (tmp_path / str(k)).mkdir()
+        (tmp_path / str(k) / "broken.json").write_text(text)
+        with pytest.raises(Exception, match="is not one JSON document"):
+            scan.scan_json(spark, str(tmp_path / str(k)), "*.json").collect()
 
 
 def test_documents_that_are_not_json(spark, tmp_path):

@@ -142,24 +142,41 @@ def task_status(spark, sf):
 
 # --- config --------------------------------------------------------------------------------------
 
-@query("leaf_paths", f"""WITH {X.CONFIGS}, t AS (SELECT c_custkey, j.fullkey, j.atom, j.type FROM configs, json_tree(config_text) j)
-  SELECT c_custkey, replace(replace(replace(substr(fullkey, 3), '"', ''), '.', '_'), '[', '_') AS path,
-    json_extract_string(atom, '$') AS leaf FROM t WHERE type NOT IN ('OBJECT', 'ARRAY')""")
+LEAVES = """SELECT c_custkey, replace(replace(replace(replace(substr(fullkey, 3), '"', ''), '.', '_'), '[', '_'), ']', '') AS path,
+    json_extract_string(atom, '$') AS leaf FROM t WHERE type NOT IN ('OBJECT', 'ARRAY')"""
+
+
+@query("leaf_paths", f"WITH {X.CONFIGS}, t AS (SELECT c_custkey, j.fullkey, j.atom, j.type FROM configs, json_tree(config_text) j) {LEAVES}")
 def leaf_paths(spark, sf):
-    return G.leaf_paths(X.configs(spark, sf), "config", ["c_custkey"], max_depth=6)
+    return G.leaf_paths(X.configs(spark, sf), "config", ["c_custkey"])
+
+
+# Every ninth record nests forty levels deeper.
+@query("leaf_paths_deep", f"""WITH {X.CONFIGS}, deep AS (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN repeat('{{"d":[', 20) || config_text || repeat(']}}', 20) ELSE config_text END AS config_text FROM configs),
+  t AS (SELECT c_custkey, j.fullkey, j.atom, j.type FROM deep, json_tree(config_text) j) {LEAVES}""")
+def leaf_paths_deep(spark, sf):
+    deep = F.concat(F.repeat(F.lit('{"d":['), F.lit(20)), F.col("config_text"), F.repeat(F.lit("]}"), F.lit(20)))
+    text = F.when(F.col("c_custkey") % 9 == 0, deep).otherwise(F.col("config_text"))
+    rows = X.configs(spark, sf).select("c_custkey", V.parse(text).alias("config"))
+    return G.leaf_paths(rows, "config", ["c_custkey"])
 
 
-@query("deep_merge", f"""WITH {X.CONFIGS}, m AS (SELECT c_custkey, json_merge_patch(config_text::JSON,
-    ('{{"user_id":"u2","general":{{"verbose":false}},"extra":{{"n":' || c_custkey || '}}}}')::JSON) AS j FROM configs)
-  SELECT c_custkey, j->>'$.user_id' AS user_id, j->>'$.task_name' AS task_name, j->>'$.general.verbose' AS verbose,
-    (j->>'$.general.num_processes')::BIGINT AS num_processes, (j->>'$.extra.n')::BIGINT AS n FROM m""")
+# Every seventh record is broken, every fifth update asks for no task name; the check's own merge takes a null as an order to remove.
+@query("deep_merge", f"""WITH {X.CONFIGS}, m AS (SELECT c_custkey, c_custkey % 7 = 0 AS broken, c_custkey % 5 = 0 AS unnamed, config_text::JSON->>'$.task_name' AS old_name,
+    json_merge_patch(config_text::JSON, ('{{"user_id":"u2","general":{{"verbose":false}},"extra":{{"n":' || c_custkey || '}}}}')::JSON) AS j FROM configs)
+  SELECT c_custkey, CASE WHEN NOT broken THEN j->>'$.user_id' END AS user_id, CASE WHEN NOT broken THEN old_name END AS task_name,
+    CASE WHEN NOT broken THEN j->>'$.general.verbose' END AS verbose, CASE WHEN NOT broken THEN (j->>'$.general.num_processes')::BIGINT END AS num_processes,
+    CASE WHEN NOT broken THEN (j->>'$.extra.n')::BIGINT END AS n, CASE WHEN broken THEN 'config_text is not a JSON object' END AS merged_error FROM m""")
 def deep_merge(spark, sf):
-    update = F.concat(F.lit('{"user_id":"u2","general":{"verbose":false},"extra":{"n":'), F.col("c_custkey").cast("string"), F.lit("}}"))
-    text = X.configs(spark, sf).select("c_custkey", G.deep_merge("config_text", update).alias("text"))
-    merged = text.select("c_custkey", V.parse(F.col("text")).alias("m"))
+    key = F.col("c_custkey")
+    update = F.concat(F.lit('{"user_id":"u2","general":{"verbose":false},'), F.when(key % 5 == 0, F.lit('"task_name":null,')).otherwise(F.lit("")),
+                      F.lit('"extra":{"n":'), key.cast("string"), F.lit("}}"))
+    text = F.when(key % 7 == 0, F.concat("config_text", F.lit("}"))).otherwise(F.col("config_text"))
+    rows = X.configs(spark, sf).select("c_custkey", text.alias("config_text"), update.alias("update"))
+    merged = G.deep_merge(rows, "config_text", "update", "merged", kept=["task_name"]).withColumn("m", V.parse(F.col("merged")))
     return merged.select("c_custkey", V.get(F.col("m"), "$.user_id").alias("user_id"), V.get(F.col("m"), "$.task_name").alias("task_name"),
-                         V.get(F.col("m"), "$.general.verbose").alias("verbose"),
-                         V.get(F.col("m"), "$.general.num_processes", "bigint").alias("num_processes"), V.get(F.col("m"), "$.extra.n", "bigint").alias("n"))
+                         V.get(F.col("m"), "$.general.verbose").alias("verbose"), V.get(F.col("m"), "$.general.num_processes", "bigint").alias("num_processes"),
+                         V.get(F.col("m"), "$.extra.n", "bigint").alias("n"), "merged_error")
 
 
 @query("deep_merge_structs", """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_name END AS name,

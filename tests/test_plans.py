@@ -9,7 +9,7 @@ def plan(spark, name):
     return catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
 
 
-PYTHON = {"dispatch", "get_or_set", "circuit_state", "deep_merge"}
+PYTHON = {"dispatch", "get_or_set", "circuit_state"}
 
 
 @pytest.mark.parametrize("name", sorted(n for n in catalog.QUERIES if not n.startswith("stream_")))

@@ -1,5 +1,6 @@
 """Record shapes: prompts and answers, one literal table per operator."""
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,16 +100,73 @@ def test_leaf_paths(spark):
     assert only.count() == 2
 
 
-def test_leaf_paths_never_loses_deep_leaves(spark):
-    df = spark.createDataFrame([(1, '{"a":{"b":{"c":1}}}')], "i int, t string").select("i", V.parse(F.col("t")).alias("v"))
-    with pytest.raises(Exception, match=G.TOO_DEEP):
-        G.leaf_paths(df, "v", ["i"], max_depth=2).collect()
+def plain_leaves(value, path=""):
+    if isinstance(value, dict):
+        return [leaf for k, v in value.items() for leaf in plain_leaves(v, f"{path}_{k}" if path else k)]
+    if isinstance(value, list):
+        return [leaf for i, v in enumerate(value) for leaf in plain_leaves(v, f"{path}_{i}")]
+    return [(path, value if isinstance(value, str) or value is None else json.dumps(value))]
+
+
+def tree(rng, depth):
+    kind = rng.random()
+    if depth == 0 or kind < 0.25:
+        return rng.choice([1, "x", None, True, 'a "quoted" [text]', "", {}, []])
+    if kind < 0.6:
+        return {rng.choice("abcdefgh") + str(i): tree(rng, depth - 1) for i in range(rng.randrange(4))}
+    return [tree(rng, depth - 1) for _ in range(rng.randrange(4))]
+
+
+def test_leaf_paths_of_any_depth(spark):
+    """Random trees, one of 200 levels, and values that are no trees."""
+    rng = random.Random(2)
+    values = [tree(rng, rng.randrange(7)) for _ in range(120)]
+    deep = "end"
+    for i in range(200):
+        deep = {"k": deep, "s": i} if i % 2 else [deep, i]
+    values += [deep, 5, "text", [], {}]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)] + [(-1, None)], "i int, t string").select("i", V.parse(F.col("t")).alias("v"))
+    got = sorted(((r["i"], r["path"] or "", r["leaf"]) for r in G.leaf_paths(df, "v", ["i"]).collect()), key=repr)
+    want = sorted(((i, p, leaf) for i, v in enumerate(values) for p, leaf in plain_leaves(v)), key=repr)
+    assert got == want
+    assert G.leaf_paths(df.limit(0), "v", ["i"]).count() == 0
+
+
+def test_leaf_paths_costs_its_own_depth(spark):
+    df = spark.createDataFrame([('{"a":{"b":1}}',)], "t string").select(V.parse(F.col("t")).alias("v"))
+    plan = G.leaf_paths(df, "v", [])._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Generate ") == 1 and plan.count("flatten(") == 2
+
+
+def plain_merge(old, new):
+    if isinstance(old, dict) and isinstance(new, dict):
+        return {k: plain_merge(old[k], new[k]) if k in old and k in new else new.get(k, old.get(k)) for k in {**old, **new}}
+    return new
 
 
 def test_deep_merge(spark):
-    df = spark.createDataFrame([('{"a":{"x":1,"y":[1]},"b":2}', '{"a":{"y":[2],"z":null},"c":3}'), (None, '{"a":1}'), ('{"a":1}', None)], "o string, n string")
-    out = [json.loads(r[0]) for r in df.select(G.deep_merge("o", "n")).collect()]
-    assert out == [{"a": {"x": 1, "y": [2], "z": None}, "b": 2, "c": 3}, {"a": 1}, {"a": 1}]
+    rng = random.Random(6)
+    pairs = [({"a": {"x": 1, "y": [1]}, "b": 2}, {"a": {"y": [2], "z": None}, "c": 3})]
+    while len(pairs) < 150:
+        old, new = tree(rng, 5), tree(rng, 5)
+        if isinstance(old, dict) and isinstance(new, dict):
+            pairs.append((old, new))
+    deep_old, deep_new = {"end": 1, "kept": 1}, {"end": 2}
+    for i in range(60):
+        deep_old, deep_new = {"k": deep_old, f"o{i}": i}, {"k": deep_new, f"n{i}": [i]}
+    pairs.append((deep_old, deep_new))
+    df = spark.createDataFrame([(i, json.dumps(o), json.dumps(n)) for i, (o, n) in enumerate(pairs)], "i int, o string, n string")
+    out = {r["i"]: r for r in G.deep_merge(df, "o", "n", "m").collect()}
+    assert all(json.loads(out[i]["m"]) == plain_merge(o, n) and out[i]["m_error"] is None for i, (o, n) in enumerate(pairs))
+
+
+def test_deep_merge_of_odd_texts(spark):
+    rows = [(None, '{"a":1}'), ('{"a":1}', None), (None, None), ('{"a":', "{}"), ("{}", "[1]"), ('{"a":1,"a":2}', "{}"), ('{"task_name":"t","b":"c"}', '{"task_name":null,"b":null}'),
+            ('{"b":1}', '{"task_name":null}')]
+    df = spark.createDataFrame(rows, "o string, n string").coalesce(1)
+    out = [(None if r["m"] is None else json.loads(r["m"]), r["m_error"]) for r in G.deep_merge(df, "o", "n", "m", kept=["task_name"]).collect()]
+    assert out == [({"a": 1}, None), ({"a": 1}, None), (None, None), (None, "o is not a JSON object"), (None, "n is not a JSON object"), (None, "o is not a JSON object"),
+                   ({"task_name": "t", "b": None}, None), ({"b": 1, "task_name": None}, None)]
 
 
 def test_names_and_times(spark):

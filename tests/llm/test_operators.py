@@ -7,6 +7,7 @@ import re
 import string
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -374,15 +375,19 @@ def edit_distance_within(item, text):
     return min(row)
 
 
-def test_leaks_of_every_length_at_most_edits():
-    """Items with a fifth of their words replaced, dropped or added to, the most that counts as leaked."""
-    rng, lengths, each = random.Random(12), range(6, 31), 200
+EDITS = {"replace": lambda w: ["zzz"], "drop": lambda w: [], "insert": lambda w: [w, "qqq"]}
+
+
+@pytest.mark.parametrize("kind", ["replace", "drop", "insert", "any"])
+def test_leaks_of_every_length_at_most_edits(kind):
+    """Items with a fifth of their words replaced, dropped or added to, the most that counts as leaked; short ones are all found."""
+    rng, lengths, each = random.Random(12), [*range(1, 33), 40, 60], 100
     items = [words(rng, n, 10**6) for n in lengths for _ in range(each)]
     bodies = []
     for item in items:
         w = item.split()
         for at in sorted(rng.sample(range(len(w)), len(w) // 5), reverse=True):
-            w[at:at + 1] = rng.choice([["zzz"], [], [w[at], "qqq"]])
+            w[at:at + 1] = EDITS[kind if kind != "any" else rng.choice(list(EDITS))](w[at])
         bodies.append(" ".join([words(rng, 20, 10**6), *w, words(rng, 20, 10**6)]))
     held = leaks.texts_of(pa.array(items))
     held.find_words()
@@ -390,7 +395,21 @@ def test_leaks_of_every_length_at_most_edits():
     held = [hashes[a:b] for a, b in zip(held.words[:-1], held.words[1:])]
     found = {f[:2] for f in leaks.find_leaks(leaks.texts_of(pa.array(bodies)), held, leaks.build_index(held), 20)}
     recall = {n: sum((k, k) in found for k in range(j * each, (j + 1) * each)) / each for j, n in enumerate(lengths)}
-    assert min(recall.values()) >= 0.9, recall
+    assert min(recall.values()) >= 0.9 and all(recall[n] == 1 for n in range(1, 6)), recall
+
+
+def test_windows_that_are_passed_over_hold_no_leak():
+    """The marks are exact: every text window that shares a run of words with an item is looked at."""
+    rng = random.Random(3)
+    items = [words(rng, n, 40) for n in (6, 9, 20, 33)]
+    held = [np.array([hash(w) & (2**64 - 1) for w in t.split()], np.uint64) for t in items]
+    text = np.array([hash(w) & (2**64 - 1) for w in words(rng, 3_000, 40).split()], np.uint64)
+    marks = leaks.build_index(held)["marks"]
+    runs = {tuple(i[k:k + 3].tolist()) for i in held for k in range(len(i) - 2)}
+    for size in (6, 12):
+        want = [s for s in range(len(text)) if any(tuple(text[p:p + 3].tolist()) in runs for p in range(s, min(s + size, len(text)) - 2))]
+        assert leaks._marked(text, marks, size).tolist() == want
+    assert [leaks.kept_run(n, 20) for n in (1, 4, 5, 6, 9, 10, 15, 20, 100)] == [1, 4, 2, 3, 4, 3, 3, 4, 4]
 
 
 def test_leaks(spark, docs, empty):
@@ -408,7 +427,7 @@ def test_leaks(spark, docs, empty):
             at = rng.choice([0, len(body), rng.randrange(60)])
             body[at:at] = w
         rows.append((k, " ".join(body)))
-    rows += [(200, None), (201, ""), (202, items[3]), (None, items[4])]
+    rows += [(200, None), (201, ""), (202, items[3]), (None, items[4]), (203, words(rng, 30_000, 300) + " " + items[1] + " " + words(rng, 500, 300)), (204, "it is TOO short, too SHORT")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
     found = {(r.doc_id, r.item_id): r.edits for r in leaks.leaks(df, benchmark).collect()}

@@ -7,7 +7,9 @@ spaces are read as one word, so disguised insults stay close to plain ones. Word
 Training takes a bounded sample of labelled rows (``SAMPLE_TOXIC`` and ``SAMPLE_CLEAN``, by hash of the id). Labels hold for whole texts, so which words carry them is learned too:
 starting from words that are far more frequent in toxic texts, the machine is fitted, the highest word of each toxic text and the highest words of clean texts
 become the next examples, and so on. Landmarks are spread over the examples. As the kernel is a product of explicit features, the fitted machine is one weight for each
-subsequence; a text's score is that of its highest word, turned into a probability on training rows that were not used as examples.
+subsequence; a text's raw score is that of its highest word. The operating point, the raw score that stands for ``THRESHOLD``, is chosen on sampled rows that were not used as examples:
+the middle of all that come within ``TOLERANCE`` of the best balance of recall and precision. A steep sigmoid through it gives the score. Some labels are explained by no word; a
+sigmoid fitted to all labels would be flattened by them.
 
 Defined cases: null or empty texts and texts without words get the score of a word without features; rows without an id are never learned from and not held out;
 repeated rows and ids are scored one by one; with no usable labels (none, or one class only) every score is 0; an empty table gives no rows; further columns are ignored unless named in ``keep``.
@@ -20,15 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from promptloom.llm.linear import fit_platt
 from promptloom.llm.spans import LOWER, Texts, emit, slices, texts_of
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000
 LANDMARKS = 160
 ROUNDS = 3
+#: Bounds inside the sample: words that landmarks are spread over, most frequent words and others of clean texts that serve as examples, and their hardest words.
+SPREAD_WORDS, USUAL_WORDS, OTHER_WORDS, HARD_WORDS = 2_000, 4_000, 8_000, 3_000
 DECAY = 0.7
 STEPS = tuple((a, b) for a in (1, 2, 3) for b in (1, 2, 3))
 THRESHOLD = 0.7
+TOLERANCE, STEEPNESS = 0.01, 4.0
 _EDGE = 31
 #: 1-26 letters, 27-30 bytes of other scripts, 31 white space, 0 anything else.
 _CLASS = np.zeros(256, np.uint16)
@@ -141,7 +145,7 @@ def _spread(words: list[str], count: int) -> list[str]:
     """Up to ``count`` of the words, each as far as can be from those before, starting with the first."""
     if len(words) <= count:
         return words
-    words = words[:2000]
+    words = words[:SPREAD_WORDS]
     features, nearest = _features(words), np.full(len(words), -1.0)
     chosen = [0]
     while len(chosen) < count:
@@ -214,7 +218,7 @@ def fit_bags(bags: list[list[str]], y: np.ndarray) -> dict | None:
         return np.log((in_toxic.get(word, 0) + 0.2) / len(toxic)) - np.log((in_clean.get(word, 0) + 0.2) / len(clean))
 
     vocabulary = sorted(in_clean, key=lambda w: (-in_clean[w], w))
-    usual = vocabulary[:4000] + [w for w in vocabulary[4000:] if zlib.crc32(w.encode()) % max(1, len(vocabulary) // 8000) == 0][:8000]
+    usual = vocabulary[:USUAL_WORDS] + [w for w in vocabulary[USUAL_WORDS:] if zlib.crc32(w.encode()) % max(1, len(vocabulary) // OTHER_WORDS) == 0][:OTHER_WORDS]
     strength = {w: odds(w) * np.log1p(n) for w, n in in_toxic.items()}
     least = 0.3 * max(strength.values(), default=0.0)
     first = set()
@@ -236,13 +240,30 @@ def fit_bags(bags: list[list[str]], y: np.ndarray) -> dict | None:
         tops = [_top(bag, model, lambda w: odds(w) > 0) for bag in toxic]
         positive = sorted({w for w, s in tops if w and s > -0.5}, key=lambda w: (-in_toxic.get(w, 0), w)) or positive
         hard = [_top(bag, model) for bag in clean]
-        negative = [w for w, _ in sorted(hard, key=lambda p: -p[1]) if w][:3000] + usual
+        negative = [w for w, _ in sorted(hard, key=lambda p: -p[1]) if w][:HARD_WORDS] + usual
     raw = np.array([_top(bag, model)[1] for bag in bags])
     check = ~learn if (~learn & (y == 1)).any() and (~learn & (y == 0)).any() else learn
-    model["platt"] = fit_platt(raw[check], y[check].astype(float))
+    model["point"] = operating_point(raw[check], y[check])
     return model
 
 
+def operating_point(raw: np.ndarray, y: np.ndarray) -> float:
+    """The middle of the raw scores that separate the labels about as well as the best one does."""
+    order = np.argsort(-raw, kind="stable")
+    found = np.cumsum(y[order] == 1)
+    last = np.flatnonzero(np.append(np.diff(raw[order]) != 0, True))  # thresholds fall between different scores
+    balance = 2 * found[last] / (last + 1 + (y == 1).sum())
+    below = np.append(raw[order][last[1:]] if len(last) > 1 else [], raw.min() - 1)
+    between = (raw[order][last] + below) / 2
+    good = between[balance >= balance.max() - TOLERANCE]
+    return float((good.min() + good.max()) / 2)
+
+
+def probability(raw: np.ndarray, model: dict) -> np.ndarray:
+    """Rising with the raw score, ``THRESHOLD`` at the operating point."""
+    return 1 / (1 + np.exp(-np.clip(np.log(THRESHOLD / (1 - THRESHOLD)) + STEEPNESS * (raw - model["point"]), -30, 30)))
+
+
 def _frequencies(bags: list[list[str]]) -> dict[str, int]:
     counts: dict[str, int] = {}
     for bag in bags:
@@ -279,8 +300,7 @@ def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None, th
                 full = np.diff(body.rows) > 0
                 if full.any():
                     raw[full] += np.maximum.reduceat(body.scores(fitted["weights"]), body.rows[:-1][full])
-                a, b = fitted["platt"]
-                raw = 1 / (1 + np.exp(-np.clip(a * raw + b, -30, 30)))
+                raw = probability(raw, fitted)
             yield emit(batch, [*keep, "held_out"], score=raw, predicted=pa.array((raw >= threshold).astype(np.int32)))
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}

@@ -375,6 +375,72 @@ def edit_distance_within(item, text):
     return min(row)
 
 
+def plain_scores(word, weights):
+    """Sum over all gapped subsequences of a word and its edges, and its norm, by the definition."""
+    classes = [31, *(ord(c) - 96 if c in string.ascii_lowercase else 0 for c in word.lower()), 31]
+    total, count = 0.0, sum(c > 0 for c in classes)
+    for i, x in enumerate(classes):
+        for a, b in toxicity.STEPS:
+            if i + a + b < len(classes):
+                y, z = classes[i + a], classes[i + a + b]
+                # The edges stand only at the ends.
+                if x and y and z and 31 not in classes[i + 1:i + a + b]:
+                    total += toxicity.DECAY ** (a + b) * weights[x << 10 | y << 5 | z]
+    norm = math.sqrt(max(sum(toxicity.DECAY ** (2 * (a + b)) * max(count - a - b, 0) for a, b in toxicity.STEPS), 1e-9))
+    return total / norm
+
+
+def test_kernel_by_its_definition():
+    """Feature sums of every word, with inserted signs and letters set apart, and kernels as products of features."""
+    rng = random.Random(4)
+    weights = np.random.default_rng(3).normal(size=1 << 15).astype(np.float32)
+    texts = ["", "one two", "st*upid  s t u p i d x", " ".join("".join(rng.choice("abcdez*#") for _ in range(rng.randrange(1, 12))) for _ in range(60)), "a", "x" * 300]
+    body = toxicity.Words(toxicity.texts_of(pa.array(texts)))
+    got = collections.defaultdict(list)
+    for row, value in zip(body.row, body.scores(weights)):
+        got[row].append(value)
+    for k, text in enumerate(texts):
+        joined = re.sub(r"(?<![^ ])([^ ](?: [^ ])+)(?![^ ])", lambda m: m[0].replace(" ", ""), text)
+        want = [plain_scores(w, weights) for w in joined.split()]
+        assert np.allclose(got[k], want, atol=1e-3)
+    words_ = ["stupid", "stuppid", "stoopid", "garden", "xstupidx"]
+    dense = toxicity._dense(words_)
+    kernel = toxicity._kernel(toxicity._features(words_), len(words_), dense)
+    assert np.allclose(kernel, dense @ dense.T, atol=1e-4) and kernel[0, 1] > kernel[0, 3] and kernel[0, 4] > 2 * kernel[0, 3]
+
+
+def test_operating_point():
+    raw = np.array([-2.0, -2.0, -1.0, -0.5, 0.1, 0.9, 1.0, 1.0, 1.0, -1.5])
+    y = np.array([0, 0, 0, 0, 0, 1, 1, 1, 1, 1])
+    assert toxicity.operating_point(raw, y) == pytest.approx(0.5)
+    assert toxicity.operating_point(np.zeros(4), np.array([1, 0, 0, 1])) == pytest.approx(-0.5)
+    p = toxicity.probability(np.array([-30.0, 0.49, 0.51, 30.0]), {"point": 0.5})
+    assert (np.diff(p) > 0).all() and p[1] < toxicity.THRESHOLD < p[2] and 0 < p[0] and p[3] <= 1
+
+
+def test_toxic_texts_of_the_given_labels_are_found():
+    """Held-out rows of the table of 10,000 documents: most toxic texts, few others."""
+    import pyarrow.parquet as pq
+    import zlib
+    folder = "/root/testdata/sf0.1"
+    texts = dict(zip(*pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pydict().values()))
+    labels = pq.read_table(f"{folder}/labels.parquet").to_pylist()
+    toxic = {}
+    for row in labels:
+        if row["toxic"] in (0, 1) and row["doc_id"] in texts:
+            toxic[row["doc_id"]] = max(row["toxic"], toxic.get(row["doc_id"], 0))
+    learn = [i for i in sorted(toxic) if zlib.crc32(str(i).encode()) % 3 != 1]
+    bags = [sorted({w.decode("utf-8", "replace") for w in (texts[i] or "").translate(LOWER).encode().split()}) for i in learn]
+    model = toxicity.fit_bags(bags, np.array([toxic[i] for i in learn]))
+    held = [i for i in sorted(toxic) if zlib.crc32(str(i).encode()) % 3 == 1]
+    body = toxicity.Words(toxicity.texts_of(pa.array([texts[i] or "" for i in held])))
+    raw = np.full(len(held), model["bias"])
+    full = np.diff(body.rows) > 0
+    raw[full] += np.maximum.reduceat(body.scores(model["weights"]), body.rows[:-1][full])
+    named, y = toxicity.probability(raw, model) >= toxicity.THRESHOLD, np.array([toxic[i] for i in held])
+    assert (named & (y == 1)).sum() >= 0.75 * y.sum() and (named & (y == 1)).sum() >= 0.8 * named.sum()
+
+
 EDITS = {"replace": lambda w: ["zzz"], "drop": lambda w: [], "insert": lambda w: [w, "qqq"]}
 
 

@@ -41,9 +41,13 @@ def _lines(spark, sf):
     return path
 
 
+def _fields_of():
+    return [V.get(F.col("item"), "$.doc_id", "bigint").alias("doc_id"), V.get(F.col("item"), "$.input_text").alias("input_text"),
+            V.get(F.col("item"), "$.target_lang").alias("target_lang")]
+
+
 def _fields(df):
-    return df.select(V.get(F.col("item"), "$.doc_id", "bigint").alias("doc_id"), V.get(F.col("item"), "$.input_text").alias("input_text"),
-                     V.get(F.col("item"), "$.target_lang").alias("target_lang"))
+    return df.select(*_fields_of())
 
 
 DOCS = "SELECT doc_id, text AS input_text, lang AS target_lang FROM documents"
@@ -107,12 +111,13 @@ def write_jsonl(spark, sf):
     return spark.read.schema("doc_id bigint, input_text string, target_lang string").json(path).select(*RECORD)
 
 
-@query("write_json_array", f"""WITH {X.PROMPTS} SELECT file, idx, idx // 50 AS document,
-    CASE WHEN idx % 50 = 0 THEN '[' ELSE '' END || '{{"doc_id":' || doc_id || '}}' ||
-    CASE WHEN idx % 50 = 49 OR idx = max(idx) OVER (PARTITION BY file) THEN ']' ELSE ',' END AS value FROM prompts""")
+@query("write_json_array", f"WITH {X.PROMPTS} SELECT file, idx, doc_id, input_text, target_lang FROM prompts")
 def write_json_array(spark, sf):
-    rows = X.prompts(spark, sf).select("file", "idx", _record("doc_id").alias("line"))
-    return sinks.json_array_lines(rows, "file", "idx", "line", 50)
+    """Whole records in documents of 64 kB, read back with their places in the logical file."""
+    path = workspace.new_path(spark, "arrays")
+    sinks.write_json_array(X.prompts(spark, sf).select("file", "idx", _record().alias("line")), path, "file", "idx", "line", bytes_per_document=64 << 10)
+    rows = scan.scan_json(spark, path).select("*", _file_of("file_path").alias("file"), F.regexp_extract("file_path", "document=([0-9]+)/", 1).cast("bigint").alias("document"))
+    return scan.with_position(rows, "file", ["document"]).select("file", "idx", "item").select("file", "idx", *_fields_of())
 
 
 def _answer_table(spark, sf):
@@ -129,10 +134,21 @@ def _outputs(spark, sf):
     return path
 
 
-@query("sink_raw", """SELECT conv_id, turn - 1 AS turn, text AS content FROM conversations WHERE role = 'assistant'""")
+def _raw_files(spark, sf):
+    """Raw answers as named files of about 16 kB, five batches of them."""
+    path = workspace.new_path(spark, "raw-files")
+    rows = _answer_table(spark, sf).select(F.concat(F.lit("batch_"), (F.col("conv_id") % 5).cast("string")).alias("batch"), (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), "raw")
+    sinks.write_raw_responses(rows, path, "batch", "idx", "raw", 16 << 10)
+    return path
+
+
+@query("sink_raw", """WITH r AS (SELECT 'batch_' || conv_id % 5 AS batch, text AS content, row_number() OVER (PARTITION BY conv_id % 5 ORDER BY conv_id, turn) - 1 AS place
+    FROM conversations WHERE role = 'assistant') SELECT batch, place, content FROM r""")
 def sink_raw(spark, sf):
-    raw = spark.read.parquet(f"{_outputs(spark, sf)}/raw")
-    return raw.select("conv_id", "turn", V.get(V.parse(F.col("raw")), "$.choices[0].message.content").alias("content"))
+    name = F.regexp_extract("file_name", "^(batch_[0-9]+)(?:_part([0-9]+))?_raw_response", 1)
+    part = F.coalesce(F.nullif(F.regexp_extract("file_name", "^(batch_[0-9]+)(?:_part([0-9]+))?_raw_response", 2), F.lit("")), F.lit("0")).cast("bigint")
+    rows = scan.scan_raw_responses(spark, _raw_files(spark, sf)).select("*", name.alias("batch"), part.alias("part"))
+    return scan.with_position(rows, "batch", ["part"]).select("batch", F.col("idx").alias("place"), R.extract_content(F.col("item")).alias("content"))
 
 
 @query("sink_formatted", f"""WITH {X.PAIRS} SELECT r.conv_id, r.turn, 'You are a helpful assistant' AS system,
@@ -147,11 +163,13 @@ def sink_parsed(spark, sf):
     return spark.read.schema("conv_id bigint, turn bigint, content string").json(f"{_outputs(spark, sf)}/parsed")
 
 
-@query("sink_combined", "SELECT source AS file, text AS content FROM documents")
+@query("sink_combined", f"WITH {X.PROMPTS} SELECT file, idx, input_text AS content FROM prompts")
 def sink_combined(spark, sf):
+    """Contents in the order of their lines: part files by name, then their lines."""
     path = workspace.new_path(spark, "combined")
     sinks.write_combined(X.prompts(spark, sf), path, "file", "idx", "input_text")
-    return spark.read.schema("content string, file string").json(path).select("file", "content")
+    rows = scan.scan_jsonl(spark, path, "*.json").withColumn("file", _file_of("file_path"))
+    return scan.with_position(rows, "file").select("file", "idx", V.get(F.col("item"), "$.content").alias("content"))
 
 
 @query("scan_raw_responses", """SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 4 THEN text || chr(10) || 'end' WHEN 5 THEN NULL ELSE text END AS content

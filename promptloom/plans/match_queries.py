@@ -107,6 +107,39 @@ def dispatch(spark, sf):
     return D.dispatch(unique, Echo, body="sent")
 
 
+class Named:
+    """Stand-in providers by name; one of them refuses every body, one cannot be made."""
+
+    def __init__(self, name: str):
+        if name == "es":
+            raise ValueError("no key for es")
+        self.name = name
+
+    def __call__(self, body: str) -> str:
+        if self.name == "fr":
+            raise ValueError("refused")
+        return f"{self.name} says {body}"
+
+
+@query("dispatch_by_provider", """SELECT doc_id AS request_key, CASE WHEN lang NOT IN ('es', 'fr') THEN lang || ' says ' || text END AS answer,
+    CASE lang WHEN 'es' THEN 'no key for es' WHEN 'fr' THEN 'refused' END AS error, CASE WHEN lang = 'es' THEN 0 ELSE 1 END AS attempts FROM documents""")
+def dispatch_by_provider(spark, sf):
+    rows = X.table(spark, sf, "documents").select(F.col("doc_id").alias("request_key"), F.col("text").alias("body"), "lang")
+    return D.dispatch(rows, Named, provider="lang")
+
+
+@query("dispatch_once", """SELECT request_key, answer, CASE WHEN request_key % 3 = 0 THEN 1 ELSE 2 END AS run FROM (
+    SELECT doc_id AS request_key, 're ' || text AS answer FROM documents)""")
+def dispatch_once(spark, sf):
+    """A run over a third of the requests, then one over all: answers of the first are not asked for again."""
+    path = workspace.new_path(spark, "answers")
+    rows = X.table(spark, sf, "documents").select(F.col("doc_id").alias("request_key"), F.col("text").alias("body"))
+    first = workspace.materialize(D.dispatch_once(rows.where("request_key % 3 = 0"), Echo, path).select("request_key", F.col("attempts").alias("first")), "first")
+    again = rows.withColumn("body", F.when(F.col("request_key") % 3 == 0, F.lit("fail: sent twice")).otherwise(F.col("body")))
+    both = D.dispatch_once(again, Echo, path)
+    return both.join(first, "request_key", "left").select("request_key", "answer", F.when(F.col("first").isNotNull(), 1).otherwise(2).alias("run"))
+
+
 @query("get_or_set", f"""WITH {BODIES}, c AS (SELECT body, 'cached' AS value FROM bodies b JOIN
       (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY body)
   SELECT b.doc_id, sha256(b.body) AS request_key, CASE WHEN c.value IS NOT NULL THEN c.value WHEN b.body NOT LIKE 'de:%' THEN 're ' || b.body END AS value,

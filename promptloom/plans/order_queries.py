@@ -4,8 +4,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from promptloom.functions import times as T
+from promptloom.functions import variants as V
 from promptloom.functions.similarity import SIGNATURE_PRIME, signature_steps
 from promptloom.operators import circuit as R
+from promptloom.operators import config as G
 from promptloom.operators import sampling as A
 from promptloom.operators import similarity as M
 from promptloom.operators import status as S
@@ -212,6 +214,20 @@ def sample_records(spark, sf):
     return A.sample_records(X.table(spark, sf, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("key")), 30, "seed")
 
 
+# Every source is a task of its own, whose config says whether and how much to sample.
+@query("sample_by_config", """WITH t AS (SELECT DISTINCT source AS file, length(source) + ascii(substr(source, length(source), 1)) AS k FROM documents),
+  c AS (SELECT file, CASE WHEN k % 4 = 0 THEN NULL ELSE k % 7 * 5 END AS n FROM t)
+  SELECT d.source AS file, d.doc_id AS key FROM documents d JOIN c ON c.file = d.source
+  QUALIFY n IS NULL OR n = 0 OR row_number() OVER (PARTITION BY d.source ORDER BY md5('seed' || d.doc_id) DESC, d.doc_id DESC) <= n""")
+def sample_by_config(spark, sf):
+    rows = X.table(spark, sf, "documents").select(F.col("source").alias("file"), F.col("doc_id").alias("key"))
+    k = F.length("file") + F.ascii(F.substring("file", -1, 1))
+    text = F.concat(F.lit('{"general":{"sampling":{"enable_sampling":'), F.when(k % 4 == 0, F.lit("false")).otherwise(F.lit("true")),
+                    F.lit(',"sample_size":'), (k % 7 * 5).cast("string"), F.lit("}}}"))
+    sizes = rows.select("file").distinct().withColumn("config", V.parse(text)).select("file", G.sample_size(F.col("config")).alias("n"))
+    return A.sample_records(G.join_config(rows, sizes, "file", ["key"]), F.col("n"), "seed").drop("n")
+
+
 @query("sample_files", """SELECT source AS file, doc_id FROM documents WHERE source IN
   (SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY md5('seed' || source) DESC, source DESC LIMIT 6)""")
 def sample_files(spark, sf):

@@ -6,16 +6,21 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptloom.functions import times as T
 from promptloom.functions import variants as V
 from promptloom.plans import fixtures as X
 from promptloom.plans import order_queries
 from promptloom.plans.registry import CHECKS, query
-from promptloom.sources import workspace
+from promptloom.sources import sinks, workspace
 from promptloom.streaming import runner
 from promptloom.streaming import streams as S
 
 
-def in_slices(rows: DataFrame, late: Column, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: No event of the given month is older: state is kept as long as results need it.
+MONTH_SECONDS = 31 * 86_400
+
+
+def in_slices(rows: DataFrame, late: Column, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """Run ``make`` on a stream of ``rows``: those not ``late`` arrive first, then the others."""
     spark = rows.sparkSession
     base = workspace.new_path(spark, "stream")
@@ -24,8 +29,11 @@ def in_slices(rows: DataFrame, late: Column, make: Callable[[DataFrame], DataFra
     for part in (~late, late):
         rows.where(part).write.mode("append").parquet(f"{base}/in")
         stream = stream if stream is not None else make(S.stream_table(spark, f"{base}/in", rows.schema))
-        runner.drain(stream, f"{base}/out", f"{base}/checkpoint")
-    return runner.read_output(spark, stream, f"{base}/out")
+        if mode == "append":
+            runner.drain(stream, f"{base}/out", f"{base}/checkpoint")
+        else:
+            runner.drain_batches(stream, f"{base}/out", f"{base}/checkpoint", mode=mode)
+    return runner.read_output(spark, stream, f"{base}/out") if mode == "append" else runner.read_batches(spark, f"{base}/out", stream.schema)
 
 
 def _events(spark, sf):
@@ -39,17 +47,17 @@ def _late():
 
 @query("stream_status_changes", CHECKS["status_changes"])
 def stream_status_changes(spark, sf):
-    return in_slices(_events(spark, sf), _late(), S.stream_status_changes)
+    return in_slices(_events(spark, sf), _late(), lambda s: S.stream_status_changes(s, MONTH_SECONDS))
 
 
 @query("stream_latest_status", f"WITH {X.EVENTS} SELECT job_id, arg_max(status, (us, event_id)) AS status FROM ev GROUP BY job_id")
 def stream_latest_status(spark, sf):
-    return S.current_status(in_slices(_events(spark, sf), _late(), S.stream_latest_status))
+    return S.current_status(in_slices(_events(spark, sf), _late(), lambda s: S.stream_latest_status(s, "7 days"), "update"))
 
 
 @query("stream_terminal_jobs", "SELECT DISTINCT user_id AS job_id FROM events WHERE event_type IN ('purchase', 'error')")
 def stream_terminal_jobs(spark, sf):
-    return in_slices(_events(spark, sf), _late(), lambda s: S.stream_terminal_jobs(s, ("purchase", "error")))
+    return in_slices(_events(spark, sf), _late(), lambda s: S.stream_terminal_jobs(s, ("purchase", "error"), "31 days"))
 
 
 @query("stream_similarity", CHECKS["similarity_flag"].replace("SELECT * FROM", "SELECT task, seq, max_score, is_similar FROM"))
@@ -61,7 +69,7 @@ def stream_similarity(spark, sf):
 
 @query("stream_cooldown", CHECKS["cooldown_remaining"])
 def stream_cooldown(spark, sf):
-    return in_slices(_events(spark, sf), _late(), lambda s: S.stream_cooldown(s, 20_000)).select(
+    return in_slices(_events(spark, sf), _late(), lambda s: S.stream_cooldown(s, 20_000, MONTH_SECONDS)).select(
         "event_id", "job_id", "us", "remaining", "should_wait")
 
 
@@ -80,19 +88,27 @@ def stream_cache_dedup(spark, sf):
     return in_slices(rows, _late(), lambda s: S.stream_cache_dedup(s, 86_400))
 
 
-@query("stream_run_log", """SELECT event_type AS message, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, count(*) AS records
-  FROM events GROUP BY ALL""")
+@query("stream_run_log", """SELECT epoch_us(ts) AS us, 'run' AS logger_name, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'INFO' END AS level, 'job ' || event_type AS message,
+    event_type AS module, 'poll' AS function, (event_id % 500)::INT AS line_number, props AS extra_data FROM events""")
 def stream_run_log(spark, sf):
-    rows = X.events(spark, sf).select("ts", "us", "status", F.when(F.col("status") == "error", "ERROR").otherwise("INFO").alias("severity"))
-    log = in_slices(rows, _late(), lambda s: S.stream_run_log(s, "severity", "status"))
-    return log.groupBy("message", "level").agg(F.count("*").alias("records"))
+    level = F.when(F.col("status") == "error", "ERROR").otherwise("INFO")
+    log = in_slices(X.events(spark, sf), _late(), lambda s: S.stream_run_log(
+        s, ts=F.col("ts"), logger=F.lit("run"), level=level, message=F.concat(F.lit("job "), F.col("status")), module=F.col("status"), function=F.lit("poll"),
+        line=F.col("event_id") % 500, extra=F.col("props")))
+    return log.select(T.epoch_micros(F.col("timestamp")).alias("us"), *[c for c in log.columns if c != "timestamp"])
 
 
-@query("stream_inputs", "SELECT doc_id, text AS input_text FROM documents")
+@query("stream_inputs", f"""WITH {X.PROMPTS} SELECT doc_id, input_text, CASE WHEN doc_id % 2 = 0 THEN 'array' ELSE 'line' END AS kind FROM prompts""")
 def stream_inputs(spark, sf):
+    """JSON arrays and JSON Lines that arrive in two steps, worked off by two runs with one checkpoint."""
     base = workspace.new_path(spark, "inputs")
-    X.table(spark, sf, "documents").select("doc_id", F.col("text").alias("input_text")).write.json(f"{base}/in")
-    stream = S.stream_inputs(spark, f"{base}/in", max_files=4).select(
-        V.get(F.col("item"), "$.doc_id", "bigint").alias("doc_id"), V.get(F.col("item"), "$.input_text").alias("input_text"))
-    runner.drain(stream, f"{base}/out", f"{base}/checkpoint")
-    return runner.read_output(spark, stream, f"{base}/out")
+    rows = X.prompts(spark, sf).select("file", "idx", "doc_id", "input_text", F.to_json(F.struct("doc_id", "input_text")).alias("line"))
+    found = None
+    for step in (0, 1):
+        some = rows.where(F.floor(F.col("doc_id") / 2) % 2 == step)
+        sinks.write_raw_responses(some.where("doc_id % 2 = 0").withColumn("file", F.concat("file", F.lit(f"-{step}"))), f"{base}/in/arrays", "file", "idx", "line", 32 << 10)
+        some.where("doc_id % 2 = 1").select("doc_id", "input_text").write.mode("append").json(f"{base}/in/lines")
+        found = S.stream_inputs(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "*_raw_response.json", "part-*.json", max_files=20)
+    item = V.parse(F.col("line"))
+    return found.select(V.get(item, "$.doc_id", "bigint").alias("doc_id"), V.get(item, "$.input_text").alias("input_text"),
+                        F.when(F.col("file_name").endswith(sinks.RAW_SUFFIX), "array").otherwise("line").alias("kind"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions import names as N
@@ -37,6 +37,12 @@ def scan_jsonl(spark: SparkSession, path: str, glob: str | None = None) -> DataF
                         F.col("value").alias("line"), V.parse(F.col("value")).alias("item"))
 
 
+def source_columns() -> list[Column]:
+    """Where a row of text comes from, as ``documents.elements`` wants it."""
+    about = {"file_path": "file_path", "file_name": "file_name", "block_start": "file_block_start", "file_size": "file_size"}
+    return [*[F.col(f"_metadata.{old}").alias(new) for new, old in about.items()], (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("several")]
+
+
 def _may_split(spark: SparkSession, path: str, glob: str | None) -> bool:
     """Whether Spark may cut a file into several splits, from the files' sizes alone; it never cuts one of at most its cost to open a file."""
     largest = _reader(spark, glob).format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
@@ -49,10 +55,7 @@ def scan_json(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
 
     A file is read by as many tasks as it has splits (see ``documents``); only a single element has to fit into a row and a VARIANT. A document that is not JSON stops the job.
     """
-    about = {"file_path": "file_path", "file_name": "file_name", "block_start": "file_block_start", "file_size": "file_size"}
-    text = _reader(spark, glob).option("lineSep", ",").text(path).select(
-        "value", *[F.col(f"_metadata.{old}").alias(new) for new, old in about.items()],
-        (F.col("_metadata.file_block_length") < F.col("_metadata.file_size")).alias("several"))
+    text = _reader(spark, glob).option("lineSep", ",").text(path).select("value", *source_columns())
     broken = F.raise_error(F.concat("file_path", F.lit(" is not one JSON document: an element cannot be read")))
     item = V.let(V.parse(F.col("line")), lambda value: F.when(value.isNull() & (F.col("line") != "null"), broken).otherwise(value))
     return documents.elements(text, _may_split(spark, path, glob)).select("file_path", "file_name", "block_start", "row_id", item.alias("item"), "line")

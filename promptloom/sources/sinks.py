@@ -1,15 +1,21 @@
 """Writing rows as JSON Lines, JSON arrays, raw, formatted and parsed outputs, snapshots and logs."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions import names as N
+from promptloom.operators import ordered
 from promptloom.operators.responses import NO_CONTENT
+from promptloom.sources import workspace
 
-ROWS_PER_DOCUMENT = 100_000
+BYTES_PER_DOCUMENT = 128 << 20
+RAW_SUFFIX = "_raw_response.json"
 
 
 def write_jsonl(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
@@ -18,14 +24,21 @@ def write_jsonl(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     writer.partitionBy(*by).json(path) if by else writer.json(path)
 
 
-def json_array_lines(df: DataFrame, file: str, idx: str, line: str,
-                     rows_per_document: int = ROWS_PER_DOCUMENT) -> DataFrame:
+def json_array_lines(df: DataFrame, file: str, idx: str, line: str, rows_per_document: int | None = None,
+                     bytes_per_document: int = BYTES_PER_DOCUMENT) -> DataFrame:
     """Rows of each file as consecutive JSON array documents of bounded size, one element per line.
 
     ``document`` numbers the arrays of a file; a row carries the opening or closing bracket
-    when it is the first or last of its array.
+    when it is the first or last of its array. A document holds the elements that begin in the same stretch of ``bytes_per_document`` bytes of its file, or
+    ``rows_per_document`` rows each.
     """
-    numbered = df.select(file, F.floor(F.col(idx) / rows_per_document).cast("bigint").alias("document"), idx, line)
+    slim = df.select(file, idx, line)
+    if rows_per_document:
+        numbered = slim.withColumn("document", F.floor(F.col(idx) / rows_per_document).cast("bigint"))
+    else:
+        size = F.octet_length(line) + 2
+        placed = ordered.running_sums(slim.withColumn("__size", size.cast("bigint")), [file], [idx], {"__upto": "__size"})
+        numbered = placed.withColumn("document", F.floor((F.col("__upto") - F.col("__size")) / bytes_per_document).cast("bigint")).drop("__upto", "__size")
     inside = Window.partitionBy(file, "document").orderBy(idx)
     first, last = F.lag(idx).over(inside).isNull(), F.lead(idx).over(inside).isNull()
     text = F.concat(F.when(first, F.lit("[")).otherwise(F.lit("")), F.col(line),
@@ -33,15 +46,40 @@ def json_array_lines(df: DataFrame, file: str, idx: str, line: str,
     return numbered.withColumn("value", text).drop(line)
 
 
-def write_json_array(df: DataFrame, path: str, file: str, idx: str, line: str,
-                     rows_per_document: int = ROWS_PER_DOCUMENT) -> None:
-    """Folder per file and document; every document is a valid JSON array of at most the given rows."""
-    lines = json_array_lines(df, file, idx, line, rows_per_document)
+def write_json_array(df: DataFrame, path: str, file: str, idx: str, line: str, rows_per_document: int | None = None,
+                     bytes_per_document: int = BYTES_PER_DOCUMENT) -> None:
+    """Folder per file and document; every document is a valid JSON array of bounded size, in a file of its own."""
+    lines = json_array_lines(df, file, idx, line, rows_per_document, bytes_per_document)
     # The window has already put each document into one task.
     (lines.sortWithinPartitions(file, "document", idx)
      .select(file, "document", "value").write.partitionBy(file, "document").text(path))
 
 
+def write_raw_responses(df: DataFrame, path: str, name: str, idx: str, line: str, bytes_per_document: int = BYTES_PER_DOCUMENT) -> int:
+    """JSON array files ``<name>_raw_response.json`` that ``scan.scan_raw_responses`` reads; returns their number.
+
+    A name with more than ``bytes_per_document`` bytes gets further files, ``<name>_part1_raw_response.json`` and so on. Files are written below a hidden folder by Spark and
+    named when all of them are complete; naming moves no data.
+    """
+    spark = df.sparkSession
+    staging = f"{path.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    write_json_array(df.select(F.col(name).alias("name"), idx, line), staging, "name", idx, line, bytes_per_document=bytes_per_document)
+    written = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(staging).select("path")
+
+    def give_name(found: str) -> None:
+        where = found.split("/")
+        folder, number = unquote(where[-3].removeprefix("name=")), where[-2].removeprefix("document=")
+        workspace.rename(spark, found, f"{path.rstrip('/')}/{folder}{'' if number == '0' else '_part' + number}{RAW_SUFFIX}")
+
+    total = 0
+    with ThreadPoolExecutor(16) as pool:
+        # One name a file of up to 128 MB, taken from the driver's listing a partition at a time.
+        for _ in pool.map(give_name, (row.path for row in written.toLocalIterator())):
+            total += 1
+    workspace.remove(spark, staging)
+    return total
+
+
 def content_rows(df: DataFrame, content: Column, keep: Sequence[str] = ()) -> DataFrame:
     """Parsed output: the answer text alone."""
     return df.select(*keep, content.alias("content"))

@@ -16,8 +16,7 @@ def _own_folder(spark: SparkSession) -> str:
     """The folder of this application below the shared one, removed when the application ends."""
     folder = f"{shared_folder(spark)}/promptloom-{spark.sparkContext.applicationId}"
     if folder not in _made:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        store, path = _store(spark, folder)
         store.mkdirs(path)
         store.deleteOnExit(path)
         _made.add(folder)
@@ -29,6 +28,30 @@ def shared_folder(spark: SparkSession) -> str:
     return (spark.conf.get(_SETTING, None) or spark.conf.get(_WAREHOUSE)).rstrip("/")
 
 
+def _store(spark: SparkSession, folder: str):
+    """Hadoop's view of a path: its file system and the path itself."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    store, path = _store(spark, folder)
+    return store.exists(path)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Give a file its name; one that is there already is never replaced."""
+    store, path = _store(spark, old)
+    target = _store(spark, new)[1]
+    if store.exists(target) or not store.rename(path, target):
+        raise FileExistsError(f"cannot name {old} {new}")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    store, path = _store(spark, folder)
+    store.delete(path, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path below the shared folder, in a folder that goes when the application ends."""
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"

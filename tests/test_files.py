@@ -47,6 +47,32 @@ def test_array_documents_are_valid_json(spark, tmp_path):
         list(range(10)), list(range(10, 20)), list(range(20, 25))]
 
 
+def test_documents_are_bounded_by_bytes(spark, setting, tmp_path):
+    """Long and short elements, a file that is cut into ranges; documents in order hold the elements in order."""
+    from promptloom.operators import ordered
+    setting(ordered.ROWS_SETTING, "50")
+    df = spark.range(300).select(F.when(F.col("id") < 250, "big").otherwise("small").alias("file"), F.col("id").alias("idx"),
+                                 F.to_json(F.struct("id", F.repeat(F.lit("x"), (F.col("id") % 40).cast("int")).alias("t"))).alias("line"))
+    sinks.write_json_array(df, f"{tmp_path}/out", "file", "idx", "line", bytes_per_document=400)
+    for name, ids in (("big", range(250)), ("small", range(250, 300))):
+        documents = sorted(glob.glob(f"{tmp_path}/out/file={name}/document=*/part-*"), key=lambda d: int(d.split("document=")[1].split("/")[0]))
+        assert [e["id"] for d in documents for e in json.loads(open(d).read())] == list(ids)
+        assert max(len(open(d).read()) for d in documents) < 500 and len(documents) > 3
+
+
+def test_raw_response_files_round_trip(spark, tmp_path):
+    names = ["batch_0", "a b%=c", "ünï"]
+    df = spark.createDataFrame([(names[i % 3], i, json.dumps({"n": i, "pad": "p" * 40})) for i in range(60)], "name string, idx int, line string")
+    count = sinks.write_raw_responses(df, f"{tmp_path}/raw", "name", "idx", "line", 300)
+    files = sorted(f.name for f in (tmp_path / "raw").iterdir() if not f.name.startswith("."))
+    assert len(files) == count > 9 and all(f.endswith("_raw_response.json") for f in files)
+    assert {"batch_0_raw_response.json", "batch_0_part1_raw_response.json", "a b%=c_raw_response.json", "ünï_raw_response.json"} <= set(files)
+    rows = scan.scan_raw_responses(spark, f"{tmp_path}/raw").select(V.get(F.col("item"), "$.n", "int").alias("n")).collect()
+    assert sorted(r.n for r in rows) == list(range(60))
+    with pytest.raises(FileExistsError):
+        sinks.write_raw_responses(df, f"{tmp_path}/raw", "name", "idx", "line", 300)
+
+
 def test_raw_responses_by_name(spark, tmp_path):
     answer = {"response": {"body": {"choices": [{"message": {"content": "hello"}}]}}, "custom_id": "request_0"}
     (tmp_path / "batch_0_raw_response.json").write_text(json.dumps([answer, answer]))

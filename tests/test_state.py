@@ -1,6 +1,9 @@
 """Circuit states, provider calls and trailing similarity against plain Python."""
+import os
 import random
 import sys
+import time
+import uuid
 
 import pytest
 from pyspark import cloudpickle
@@ -146,6 +149,75 @@ def test_open_breaker_waits_and_probes():
     assert breaker.remaining() == 0
 
 
+def test_bucket_spreads_calls():
+    now = [0.0]
+    bucket = D.Bucket(2.0, 1.0, lambda: now[0])
+    assert [bucket.take() for _ in range(3)] == [0.0, 0.5, 1.0]
+    now[0] = 10.0
+    assert bucket.take() == 0.0 and bucket.take() == 0.5
+
+
+def named(name):
+    """Providers by name: one is down, one cannot be made."""
+    if name == "unmade":
+        raise ValueError("no such provider")
+
+    def call(body):
+        if name == "down":
+            raise D.Retryable("down")
+        return f"{name}:{body}"
+    return call
+
+
+def test_provider_per_row(spark, make):
+    rows = [(f"k{i}", f"body{i}", ["a", "b", "down", "unmade", None][i % 5]) for i in range(50)]
+    df = spark.createDataFrame(rows, "request_key string, body string, provider string")
+    out = {r.request_key: r for r in D.dispatch(df, named, provider="provider", tasks=2, rates={"a": 1000.0}, tries=1, base_delay=0.0, max_failures=2,
+                                                reset_seconds=3600, deadline_seconds=2).collect()}
+    for key, body, name in rows:
+        r = out[key]
+        if name == "unmade":
+            assert (r.answer, r.error, r.attempts) == (None, "no such provider", 0)
+        elif name == "down":
+            assert r.answer is None and (r.error, r.attempts) in {("down", 1), (D.LATE, 0)}
+        else:
+            assert (r.answer, r.error, r.attempts) == (f"{name}:{body}", None, 1)
+    assert any(r.error == D.LATE for r in out.values())
+    with pytest.raises(ValueError, match="number"):
+        D.dispatch(df, named, provider="provider", rates={"a": 1.0})
+
+
+def killer():
+    """A provider whose process ends at one body, after the other tasks have had time to finish; every call leaves a file."""
+    def call(body):
+        folder, name, kill = body.split("|")
+        if kill == "kill" and not os.path.exists(f"{folder}/again"):
+            time.sleep(6)
+            os._exit(1)
+        with open(f"{folder}/{name}-{uuid.uuid4().hex}", "w"):
+            return name
+    return call
+
+
+def test_a_killed_run_sends_nothing_twice(spark, make, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    rows = [(f"k{i}", f"{calls}|k{i}|{'kill' if i == 39 else ''}") for i in range(40)]
+    df = spark.createDataFrame(rows, "request_key string, body string").repartitionByRange(4, "request_key")
+    with pytest.raises(Exception):
+        D.dispatch_once(df, killer, f"{tmp_path}/answers", threads=1)
+    committed = {r.request_key for r in D.answered(spark, f"{tmp_path}/answers").collect()}
+    assert len(committed) >= 20
+    (calls / "again").write_text("")
+    out = D.dispatch_once(df, killer, f"{tmp_path}/answers", threads=1).collect()
+    assert {r.request_key: r.answer for r in out} == {f"k{i}": f"k{i}" for i in range(40)}
+    sent = [f.name.split("-")[0] for f in calls.iterdir() if "-" in f.name]
+    assert all(sent.count(k) == 1 for k in committed)
+    before = len(sent)
+    assert len(D.dispatch_once(df, killer, f"{tmp_path}/answers", threads=1).collect()) == 40
+    assert len([f for f in calls.iterdir() if "-" in f.name]) == before
+
+
 def test_dispatch_of_nothing(spark, make):
     df = spark.createDataFrame([], "request_key string, body string")
     assert D.dispatch(df, make).count() == 0

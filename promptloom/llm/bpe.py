@@ -29,8 +29,8 @@ from promptloom.llm.spans import emit, slices
 from promptloom.llm.tokens import _SETTLED as SETTLED, PATTERN
 
 #: A worker forgets its merged words when they are more than this many or hold more than this many bytes.
-CACHE_WORDS = 500_000
-CACHE_BYTES = 32 << 20
+CACHE_WORDS = 300_000
+CACHE_BYTES = 16 << 20
 _NONE = np.int64(1) << 40
 
 
@@ -41,40 +41,45 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+def read_table(path: str) -> dict:
+    """Vocabulary and merges of a tokenizer file as plain values: what a worker needs, without the file."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if model.get("type") != "BPE" or not plain or spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        raise ValueError(f"{path} has added tokens that depend on their surroundings")
+    vocabulary, letters = model["vocab"], byte_letters()
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    size = 1 + max([*vocabulary.values(), *added.values()])
+    strings = {i: s for s, i in [*vocabulary.items(), *added.items()]}
+    tokens = [_token_bytes(strings.get(i, ""), letters) for i in range(size)]
+    first = np.full(256, -1, np.int64)
+    for letter, byte in letters.items():
+        first[byte] = vocabulary.get(letter, -1)
+    if (first < 0).any():
+        raise ValueError(f"{path} lacks single bytes")
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    sides = np.array([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs], np.int64).reshape(-1, 3)
+    made = np.full(size, -1, np.int64)
+    ranks = np.arange(len(sides))
+    made[sides[:, 2]] = ranks  # the last merge that makes a token
+    if (np.maximum(made[sides[:, 0]], made[sides[:, 1]]) >= ranks).any():
+        raise ValueError(f"{path} has merges before those that make their parts")
+    keys = sides[:, 0] * size + sides[:, 1]
+    order = np.argsort(keys)
+    return {"size": size, "added": added, "special": [t["id"] for t in spec["added_tokens"] if t["special"]], "body": b"".join(tokens),
+            "starts": np.cumsum([0, *map(len, tokens)]), "first": first, "keys": keys[order], "ranks": order.astype(np.int64), "result": sides[:, 2].copy(),
+            "block": max(len(tokens[i]) for i in vocabulary.values())}
+
+
 class Table:
-    """Vocabulary and merges of a tokenizer file as arrays."""
-
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        model, cut = spec["model"], spec["pre_tokenizer"] or {}
-        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
-        if model.get("type") != "BPE" or not plain or spec["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
-            raise ValueError(f"{path} is not a plain byte-level BPE tokenizer")
-        vocabulary, letters = model["vocab"], byte_letters()
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
-            raise ValueError(f"{path} has added tokens that depend on their surroundings")
-        self.special = {t["id"] for t in spec["added_tokens"] if t["special"]}
-        self.size = 1 + max([*vocabulary.values(), *self.added.values()])
-        strings = {i: s for s, i in [*vocabulary.items(), *self.added.items()]}
-        self.bytes_of = [_token_bytes(strings.get(i, ""), letters) for i in range(self.size)]
-        self.first = np.full(256, -1, np.int64)
-        for letter, byte in letters.items():
-            self.first[byte] = vocabulary.get(letter, -1)
-        if (self.first < 0).any():
-            raise ValueError(f"{path} lacks single bytes")
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        sides = np.array([(vocabulary[a], vocabulary[b], vocabulary[a + b]) for a, b in pairs], np.int64).reshape(-1, 3)
-        made = np.full(self.size, -1, np.int64)
-        ranks = np.arange(len(sides))
-        made[sides[:, 2]] = ranks  # the last merge that makes a token
-        if (np.maximum(made[sides[:, 0]], made[sides[:, 1]]) >= ranks).any():
-            raise ValueError(f"{path} has merges before those that make their parts")
-        keys = sides[:, 0] * self.size + sides[:, 1]
-        order = np.argsort(keys)
-        self.keys, self.ranks, self.result = keys[order], order.astype(np.int64), sides[:, 2]
-        self.block = max(len(self.bytes_of[i]) for i in vocabulary.values())
+    """A merge table made of the values of ``read_table``."""
+
+    def __init__(self, values: dict):
+        self.__dict__.update(values)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``_NONE`` where there is no merge."""
@@ -184,12 +189,12 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-def _cutter(tokenizer_path: str, table: Table):
+def _cutter(table: Table):
     """A function from a text to its pre-tokens, in which an added token is its id."""
     import regex
-    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
-    own = Tokenizer.from_file(tokenizer_path).pre_tokenizer
+    own = ByteLevel(add_prefix_space=False)
     find, settled = regex.compile(PATTERN).findall, regex.compile(SETTLED).fullmatch
     added = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(table.added, key=len, reverse=True)) + ")") if table.added else None
 
@@ -211,54 +216,78 @@ def _fields(df: DataFrame, keep: list[str]) -> str:
     return "".join(f"`{c}` {kinds[c]}, " for c in keep)
 
 
-def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None) -> DataFrame:
-    """The named columns and ``ids``, the token ids of every whole text."""
+def _decoder(table: Table, skip_special_tokens: bool = False):
+    """A function from ids and the bounds of their lists to texts."""
+    starts, body = table.starts, np.frombuffer(table.body, np.uint8)
+    sizes = np.append(np.diff(starts), 0)  # an unknown id has no bytes
+    if skip_special_tokens:
+        sizes[table.special] = 0
+
+    def texts(ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        ids = np.where((ids < 0) | (ids >= table.size), table.size, ids)
+        lengths = sizes[ids]
+        data = gather(body, starts[ids], lengths)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[bounds]
+        return [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+
+    return texts
+
+
+def _encoder(table: Table):
+    """A function from the texts of a slice to their ids behind each other and the bounds of each text."""
+    cut, words = _cutter(table), Words(table)
+
+    def ids_of(texts) -> tuple[np.ndarray, np.ndarray]:
+        # Added tokens are numbered below zero.
+        numbers, rows = [], np.zeros(texts.rows + 1, np.int64)
+        for row in range(texts.rows):
+            numbers += [words.number(p) if p.__class__ is str else -1 - p for p in cut(texts.bytes_of(row).decode())]
+            rows[row + 1] = len(numbers)
+        words.settle()
+        number = np.array(numbers, np.int64)
+        lone, at = number < 0, np.maximum(number, 0)
+        bounds = words.bounds if len(words.bounds) > 1 else np.zeros(2, np.int64)
+        lengths = np.where(lone, 1, bounds[at + 1] - bounds[at])
+        # Added ids stand behind the words' ids.
+        ids = gather(np.concatenate([words.ids, np.arange(table.size, dtype=np.int32)]), np.where(lone, len(words.ids) - 1 - number, bounds[at]), lengths)
+        if words.full():
+            words.clear()
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[rows]
+
+    return ids_of
+
+
+def encode(docs: DataFrame, tokenizer_path: str, keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """The named columns and ``ids``, the token ids of every whole text; with ``decoded`` also the text that these ids decode to."""
     keep = keep or ["doc_id"]
+    # As large as the vocabulary.
+    shared = docs.sparkSession.sparkContext.broadcast(read_table(tokenizer_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(tokenizer_path)
-        cut, words = _cutter(tokenizer_path, table), Words(table)
+        table = Table(shared.value)
+        ids_of, texts_of_ids = _encoder(table), _decoder(table)
         for batch, texts in slices(batches):
-            # Added tokens are numbered below zero.
-            numbers, rows = [], np.zeros(texts.rows + 1, np.int64)
-            for row in range(texts.rows):
-                numbers += [words.number(p) if p.__class__ is str else -1 - p for p in cut(texts.bytes_of(row).decode())]
-                rows[row + 1] = len(numbers)
-            words.settle()
-            number = np.array(numbers, np.int64)
-            lone, at = number < 0, np.maximum(number, 0)
-            bounds = words.bounds if len(words.bounds) > 1 else np.zeros(2, np.int64)
-            lengths = np.where(lone, 1, bounds[at + 1] - bounds[at])
-            # Added ids stand behind the words' ids.
-            ids = gather(np.concatenate([words.ids, np.arange(table.size, dtype=np.int32)]), np.where(lone, len(words.ids) - 1 - number, bounds[at]), lengths)
-            ends = np.concatenate([[0], np.cumsum(lengths)])[rows]
-            yield emit(batch, keep, ids=pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())))
-            if words.full():
-                words.clear()
-
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, _fields(docs, keep) + "ids array<int>")
+            ids, bounds = ids_of(texts)
+            more = {"decoded": pa.array(texts_of_ids(ids, bounds), pa.string())} if decoded else {}
+            yield emit(batch, keep, ids=pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())), **more)
+
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, _fields(docs, keep) + "ids array<int>" + (", decoded string" if decoded else ""))
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, keep: list[str] | None = None, skip_special_tokens: bool = False) -> DataFrame:
     """The named columns and ``text``, the decoded ``ids``."""
     keep = keep or ["doc_id"]
+    values = read_table(tokenizer_path)
+    shared = encoded.sparkSession.sparkContext.broadcast({k: values[k] for k in ("size", "special", "starts", "body")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Table(tokenizer_path)
-        sizes = np.array([0 if skip_special_tokens and i in table.special else len(b) for i, b in enumerate(table.bytes_of)] + [0], np.int64)
-        starts = np.concatenate([[0], np.cumsum([len(b) for b in table.bytes_of])])
-        body = np.frombuffer(b"".join(table.bytes_of), np.uint8)
+        texts_of_ids = _decoder(Table(shared.value), skip_special_tokens)
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 batch = whole.slice(low, 256)
-                lists = batch.column(batch.schema.get_field_index("ids")).cast(pa.large_list(pa.int64()))
+                lists = batch.column(batch.schema.get_field_index("ids"))
                 counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-                ids = np.where((ids < 0) | (ids >= table.size), table.size, ids)
-                lengths = sizes[ids]
-                data = gather(body, starts[ids], lengths)
-                bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-                texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])]
-                yield emit(batch, keep, text=pa.array(texts, pa.string()))
+                ids = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+                yield emit(batch, keep, text=pa.array(texts_of_ids(ids, np.concatenate([[0], np.cumsum(counts)])), pa.string()))
 
     return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, _fields(encoded, keep) + "text string")

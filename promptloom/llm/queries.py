@@ -63,11 +63,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_bpe_round_trip")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(table(spark, folder, "documents", "doc_id", "text"), path)
-    return bpe.decode(encoded, path, keep=["doc_id", "ids"]).select(
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"))
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op12_lexical_search", lexical.SQL)

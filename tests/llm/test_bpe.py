@@ -30,7 +30,7 @@ def odd_texts():
 
 def test_merge_rounds(library):
     """Words of any length give the ids of merging one lowest pair after the other."""
-    table, letters = bpe.Table(PATH), bpe.byte_letters()
+    table, letters = bpe.Table(bpe.read_table(PATH)), bpe.byte_letters()
     pieces = [p for t in odd_texts() if t for p, _ in library.pre_tokenizer.pre_tokenize_str(t)]
     ids, bounds = bpe.merge_words(table, [bytes(letters[c] for c in p) for p in pieces])
     for k, piece in enumerate(pieces):
@@ -42,7 +42,7 @@ def test_merge_rounds(library):
 
 def test_small_blocks():
     """Places far apart in one word merge in one round, with the same ids."""
-    table = bpe.Table(PATH)
+    table = bpe.Table(bpe.read_table(PATH))
     word = b"".join(random.Random(4).choice([b"the", b"ing", b"x", b"aa", b" "]) for _ in range(3_000))
     want, _ = bpe.merge_words(table, [word])
     table.block = len(word)
@@ -54,7 +54,8 @@ def test_round_trip(spark, library):
     texts = odd_texts()
     rows = [(i, t, [1], "x") for i, t in enumerate(texts)] + [(None, "no id", None, None), (3, texts[3], [1], "x")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    encoded = bpe.encode(docs, PATH, keep=["doc_id", "n_tokens"])
+    encoded = bpe.encode(docs, PATH, keep=["doc_id", "n_tokens"], decoded=True)
+    assert all(r.decoded == ("no id" if r.doc_id is None else texts[r.doc_id] or "") for r in encoded.collect())
     out = bpe.decode(encoded, PATH, keep=["doc_id", "ids"]).collect()
     assert len(out) == len(rows)
     for row in out:
@@ -78,7 +79,7 @@ def test_decode_of_any_ids(spark, library):
 
 def test_cache_limits(spark, monkeypatch):
     """A worker that keeps forgetting its words gives the same ids."""
-    table = bpe.Table(PATH)
+    table = bpe.Table(bpe.read_table(PATH))
     words = bpe.Words(table)
     first = [words.number(w) for w in ("a", " the", "a")]
     words.settle()
@@ -93,7 +94,7 @@ def test_other_tables_are_refused(tmp_path):
     spec = '{"normalizer": null, "pre_tokenizer": null, "added_tokens": [], "model": {"type": "WordPiece", "vocab": {}}}'
     (tmp_path / "t.json").write_text(spec)
     with pytest.raises(ValueError, match="not a plain byte-level"):
-        bpe.Table(str(tmp_path / "t.json"))
+        bpe.read_table(str(tmp_path / "t.json"))
 
 
 def test_query(spark, library):

@@ -7,7 +7,7 @@ is a list of runs of starts with one key. Runs whose key occurs once hold no rep
 What is left are runs that share a key but not their whole stretch. Only their bytes, a small part of the corpus, go to the suffix arrays, in shards that hold whole keys.
 
 Shards. Each shard's suffix array comes from Larsson-Sadakane refinement, its common prefixes from Kasai's method; neighbours with ``LENGTH`` bytes in common that are not the same
-place repeat. Keys with more than ``SHARD_RUNS`` differing runs do not fit a shard. They are merged across shards by narrowing the anchor: ``LENGTH - ANCHOR`` is halved again and again until it is
+place repeat. Keys with more than ``SHARD_RUNS`` differing runs, or more than ``KEY_BYTES`` bytes of them, do not fit a shard. They are merged across shards by narrowing the anchor: ``LENGTH - ANCHOR`` is halved again and again until it is
 nothing, a binary search for how far strings agree; runs that have no partner or have equal ones drop out at each step. At the last step a key is a whole string: all runs that share one,
 or hold it twice, repeat as a whole, and nothing is left to compare.
 
@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from promptloom.llm.spans import Prefix, emit, mix, slices
 from promptloom.llm.suffixes import common_prefixes, eight_bytes, suffix_array
@@ -32,6 +32,7 @@ LENGTH = 400
 ANCHOR = 200
 SHARD_RUNS = 1_000
 SHARD_BYTES = 1 << 20
+KEY_BYTES = 4 << 20
 LANE = 256
 
 
@@ -92,15 +93,21 @@ def judge(runs: DataFrame, across: bool = False) -> DataFrame:
     """
     place = F.xxhash64("row", "first")
     count = F.when(F.min("row") == F.max("row"), 1).otherwise(F.count("*")) if across else F.count("*")
-    classes = runs.groupBy("key", "whole").agg(count.alias("copies"), F.min(place).alias("chosen"))
-    groups = (classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum((F.col("copies") == 1).cast("int")).alias("singles")))
-    mixed = classes.join(groups, "key")
+    classes = runs.groupBy("key", "whole").agg(count.alias("copies"), F.min(place).alias("chosen"), F.max(F.col("last") - F.col("first")).cast("long").alias("reach"))
+    groups = (classes.groupBy("key").agg(F.count("*").alias("kinds"), F.sum((F.col("copies") == 1).cast("int")).alias("singles"), F.sum("reach").alias("reach")))
+    # Stored: a join of two shuffled tables lets Spark split the rows of a run that very many texts hold.
+    mixed = materialize(classes.drop("reach").join(groups, "key"), "repeats-classes")
     asked = F.when(F.col("copies") == 1, (F.col("kinds") > 1) | (F.col("own") > 1)).otherwise(
         (F.col("kinds") > 1) & (F.col("singles") > 0) & (place == F.col("chosen")))
     return (runs.join(mixed, ["key", "whole"]).where("copies > 1 OR kinds > 1 OR own > 1")
             .withColumn("asked", asked).drop("chosen", "singles", "own"))
 
 
+def _crowded(length: int, shard_runs: int) -> Column:
+    """Whether the differing runs of a key are too many, or too long together, for one shard."""
+    return (F.col("kinds") > shard_runs) | (F.col("reach") + F.col("kinds") * length > KEY_BYTES)
+
+
 def _shard_repeats(stretches: list[bytes], row: np.ndarray, first: np.ndarray, starts: np.ndarray, length: int,
                    across: bool = False) -> list[tuple[int, int, int]]:
     """(stretch, from, to) of the starts whose string occurs at another place of the shard."""
@@ -193,8 +200,9 @@ def _intervals_of(runs: DataFrame, length: int) -> DataFrame:
 
 def intervals(stretches: DataFrame, length: int, anchor: int, shard_runs: int = SHARD_RUNS, across: bool = False) -> DataFrame:
     """Repeated byte intervals of the stretches that must be compared."""
-    found = _compare(stretches.where(F.col("kinds") <= shard_runs), length, across)
-    crowded = stretches.where(F.col("kinds") > shard_runs)
+    too_many = _crowded(length, shard_runs)
+    found = _compare(stretches.where(~too_many), length, across)
+    crowded = stretches.where(too_many)
     while not crowded.isEmpty():
         anchor = length - (length - anchor) // 2 if length - anchor > 20 else length
         judged = materialize(judge(materialize(_narrow(crowded, length, anchor), "repeats-narrow"), across), "repeats-judged")
@@ -205,8 +213,8 @@ def intervals(stretches: DataFrame, length: int, anchor: int, shard_runs: int =
             return found.union(_intervals_of(judged, length))
         found = found.union(_intervals_of(judged.where("copies > 1"), length))
         asked = judged.where("asked")
-        found = found.union(_compare(asked.where(F.col("kinds") <= shard_runs), length, across))
-        crowded = asked.where(F.col("kinds") > shard_runs)
+        found = found.union(_compare(asked.where(~too_many), length, across))
+        crowded = asked.where(too_many)
     return found
 
 
@@ -231,7 +239,7 @@ def _cut(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH, anchor: int = ANCHOR, shard_runs: int = SHARD_RUNS) -> DataFrame:
-    """Bytes, removed bytes, removed runs and the digest of what stays, for every row."""
+    """Bytes, removed bytes, removed runs and the digest of what stays, for every row, whether any byte goes and how many stay."""
     keep = keep or ["doc_id"]
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.xxhash64("doc_id", "text"))
     texts = docs.select("doc_id", "row", "text")
@@ -239,12 +247,12 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, length: int =
     again = runs.groupBy("key").agg(F.sum("own").alias("n")).where("n > 1").select("key")
     judged = materialize(judge(materialize(runs.join(again, "key"), "repeats-runs")), "repeats-judged")
     lists = (judged.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("of"))
-             .agg(F.collect_list(F.struct("key", "first", "last", "copies", "kinds", "asked")).alias("runs")))
+             .agg(F.collect_list(F.struct("key", "first", "last", "copies", "kinds", "reach", "asked")).alias("runs")))
     same = (F.col("row") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id"))
     held = materialize(texts.join(lists, same).drop("id", "of"), "repeats-texts")
     body = F.encode("text", "UTF-8")
     asked = held.select("doc_id", "row", F.explode(F.transform(F.filter("runs", lambda r: r["asked"]), lambda r: F.struct(
-        r["key"].alias("key"), r["first"].alias("first"), r["last"].alias("last"), r["kinds"].alias("kinds"),
+        r["key"].alias("key"), r["first"].alias("first"), r["last"].alias("last"), r["kinds"].alias("kinds"), r["reach"].alias("reach"),
         F.substring(body, r["first"] + 1, r["last"] - r["first"] + length).alias("stretch")))).alias("r")).select("doc_id", "row", "r.*")
     found = intervals(asked, length, anchor, shard_runs)
     more = (found.groupBy(F.col("doc_id").alias("id"), F.col("row").alias("of"))
@@ -260,4 +268,5 @@ def remove_repeats(docs: DataFrame, keep: list[str] | None = None, length: int =
                         F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("digest"))
     return whole.join(cut, same, "left").select(
         *keep, "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        F.coalesce("kept_sha256", "digest").alias("kept_sha256"))
+        F.coalesce("kept_sha256", "digest").alias("kept_sha256"), (F.coalesce("n_removed", F.lit(0)) > 0).alias("has_repeats"),
+        (F.col("n_bytes") - F.coalesce("n_removed", F.lit(0))).alias("n_kept"))

@@ -329,7 +329,8 @@ def build(conversations: DataFrame, shard_rows: int = SHARD_ROWS, growth: int =
     paths = materialize(_paths(turns), "trie-paths")
     nodes = materialize(paths.groupBy("key", "depth").agg(
         F.min("up").alias("up"), F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("chars").alias("chars"), F.sum("below").alias("below")), "trie-keys")
-    root = convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").withColumn("key", _root_key())
+    # Stored, so that its key is a value to join by and no constant of the plan.
+    root = materialize(convs.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0").withColumn("key", _root_key()), "trie-root")
     summed = materialize(totals(nodes, paths, root, shard_rows, growth, queue_rows), "trie-summed")
     ends = paths.where("ends").select("key", "conv_id").unionByName(convs.where("length = 0").select(_root_key().alias("key"), "conv_id"))
     parents = summed.select(F.col("key").alias("up"), F.col("conv_id").alias("parent_conv_id"))

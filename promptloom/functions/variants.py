@@ -33,6 +33,11 @@ def as_object(value: Column) -> Column:
     return get(value, "$", "map<string,variant>")
 
 
+def is_object(value: Column) -> Column:
+    """Whether a value is a JSON object; looks at none of its fields."""
+    return F.try_variant_get(value, "$", "struct<__any: variant>").isNotNull()
+
+
 def field(value: Column, name: str | Column) -> Column:
     """The field of an object with exactly this name, dots and all."""
     return as_object(value)[name if isinstance(name, Column) else F.lit(name)]

@@ -38,7 +38,8 @@ def get_or_set(requests: DataFrame, cache: DataFrame, key: str, value: str, payl
     of a failed call; these reach the requests and are null where the cache had the value. Its result is used once
     here. A key that the cache holds more than once counts once.
     """
-    known = cache.groupBy(key).agg(F.max(value).alias(value))
+    # Of the cache only what is asked for is grouped.
+    known = cache.join(requests.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.max(value).alias(value))
     unknown = dedup_requests(requests.select(key, *payload, *[o for o in order if o not in payload]), key, order)
     fresh = answer(unknown.join(known.select(key), [key], "left_anti").select(key, *payload))
     answers = known.unionByName(fresh, allowMissingColumns=True)

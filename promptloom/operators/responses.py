@@ -1,8 +1,10 @@
 """Answers of any shape, and matching them with their inputs."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from promptloom.functions import names as N
 from promptloom.functions import variants as V
 from promptloom.functions.times import epoch_micros
 from promptloom.operators import joins
+from promptloom.sources.documents import Cutter
 
 # Fixed values of the response format.
 INPUT_NOT_FOUND = "Error: Input data not found"
@@ -108,18 +111,51 @@ def resolve_input_file(responses: DataFrame, inputs: DataFrame) -> DataFrame:
                         F.coalesce("same_stem", "first_file").alias("input_name"))
 
 
-def decode_batch_output(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+#: Bytes of a text above which its answers are cut out before they are parsed; a VARIANT holds 128 MB.
+LARGE_TEXT = 64 << 20
+
+
+def decode_batch_output(df: DataFrame, text: str, keep: Sequence[str], large_text: int = LARGE_TEXT) -> DataFrame:
     """Downloaded output to one VARIANT per answer.
 
     A text that is one JSON value, on one line or on several, gives its elements; otherwise every
-    line is parsed by itself, and a line that does not parse becomes the content of an answer.
+    line is parsed by itself, and a line that does not parse becomes the content of an answer. Of a text above ``large_text`` bytes only single answers have to fit into a VARIANT.
     """
+    def one(line: Column) -> Column:
+        return F.coalesce(V.parse(line), F.to_variant_object(_wrapped(line)))
+
+    small = F.coalesce(F.octet_length(text) <= large_text, F.lit(True))
     whole = V.parse(F.col(text))
     lines = F.filter(F.split(text, "\r?\n"), lambda line: line.rlike(r"\S"))
-    per_line = F.transform(lines, lambda line: F.coalesce(
-        V.parse(line), F.to_variant_object(_wrapped(line))))
-    items = F.when(whole.isNotNull(), F.coalesce(V.as_array(whole), F.array(whole))).otherwise(per_line)
-    return df.select(*keep, F.posexplode(items).alias("line_no", "answer"))
+    items = F.when(whole.isNotNull(), F.coalesce(V.as_array(whole), F.array(whole))).otherwise(F.transform(lines, one))
+    answers = df.where(small).select(*keep, F.posexplode(items).alias("line_no", "answer"))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    cut = df.where(~small).select(*keep, F.col(text).alias("__text")).mapInArrow(_cut_texts, f"{kinds}, line_no int, __line string")
+    return answers.unionByName(cut.select(*keep, "line_no", one(F.col("__line")).alias("answer")))
+
+
+def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements of texts that are JSON documents, lines of all others, a few thousand at a time."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            lines = _answers_of(batch.column(batch.num_columns - 1)[row].as_buffer().to_pybytes())
+            for low in range(0, len(lines), 4096):
+                some = lines[low:low + 4096]
+                kept = [pa.concat_arrays([c.slice(row, 1)] * len(some)) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(range(low, low + len(some)), pa.int32()), pa.array(some, pa.binary()).cast(pa.string())],
+                                                 names=[*batch.schema.names[:-1], "line_no", "__line"])
+
+
+def _answers_of(text: bytes) -> list[bytes]:
+    cutter = Cutter("text")
+    try:
+        found = cutter.feed(text + b",")
+        found += cutter.finish()
+        if cutter.kind in ("[", "{") and (cutter.kind == "[" or json.loads(found[0]) is not None):
+            return found
+    except ValueError:
+        pass
+    return [line for line in text.replace(b"\r\n", b"\n").split(b"\n") if line.strip()]
 
 
 def triples(df: DataFrame, system: Column, user: Column, assistant: Column, keep: Sequence[str] = ()) -> DataFrame:

@@ -68,7 +68,7 @@ class _Report:
 
 
 @dataclass
-class _Cutter:
+class Cutter:
     """Cuts the text of one split, given the state that it begins in.
 
     ``kind`` is the first character of the document, None before it. ``pieces`` holds what belongs to elements that other splits hold too: (opens, text, opener, closer, complete elements so far).
@@ -263,7 +263,7 @@ def _cut(pieces: bool):
                 at, source, size, lines, first_row, held = split, first, 0, [], 0, 0
                 if first["several"] and first["depth"] is None:
                     raise ValueError(CHANGED)
-                cutter = _Cutter(at[0], first["string"] or 0, first["depth"] or 0, first["kind"], not first["several"])
+                cutter = Cutter(at[0], first["string"] or 0, first["depth"] or 0, first["kind"], not first["several"])
             size += len(data)
             found = cutter.feed(data)
             if not pieces:

@@ -100,6 +100,22 @@ def test_leaf_paths(spark):
     assert only.count() == 2
 
 
+@pytest.mark.parametrize("large", [1 << 20, 0])
+def test_batch_outputs_of_any_size_decode_alike(spark, large):
+    """Texts above the limit are cut by their bytes; the answers are those of the small ones."""
+    texts = ['[{"a":1},{"b":"x,]"}]', '{"a":1}\n{"b":2}\n\nnot json\r\n{"c":3}', '{"one":\n [1,2]}', "plain", "", '[1', '{"a":1}{"b":2}', "[]"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, t string").repartition(2)
+    out = R.decode_batch_output(df, "t", ["i"], large).select("i", "line_no", F.to_json("answer").alias("j")).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.i, r.line_no)):
+        got.setdefault(r.i, []).append(json.loads(r.j))
+
+    def wrapped(text):
+        return json.loads(spark.range(1).select(F.to_json(F.to_variant_object(R._wrapped(F.lit(text))))).first()[0])
+    assert got == {0: [{"a": 1}, {"b": "x,]"}], 1: [{"a": 1}, {"b": 2}, wrapped("not json"), {"c": 3}], 2: [{"one": [1, 2]}], 3: [wrapped("plain")], 5: [wrapped("[1")],
+                   6: [wrapped('{"a":1}{"b":2}')]}
+
+
 def plain_leaves(value, path=""):
     if isinstance(value, dict):
         return [leaf for k, v in value.items() for leaf in plain_leaves(v, f"{path}_{k}" if path else k)]

@@ -244,6 +244,62 @@ def test_pages_with_articles(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_whose_marks_are_not_the_article(spark):
+    """Teaser cards beside a story, class words on headings and paragraphs of an article, advertisements inside it."""
+    story = [" ".join(f"s{k}x{i}" for i in range(40)) for k in range(3)]
+    page = "<html><body><div>" + "".join(f"<p>{t}</p>" for t in story) + '</div><article class="card"><p>Teaser one</p></article></body></html>'
+    marked = ('<article><h1>One</h1><h2 class="header">Title two</h2><p class="search-results">Real text</p><p class="advert">buy now</p><div class="search">find</div>'
+              '<div class="comments"><p>first!</p></div></article><div>beside</div>')
+    df = spark.createDataFrame([(1, "http://a.b/1", page), (2, "http://a.b/2", marked), (3, "http://a.b/3", page.replace("s0x", "z0x"))], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in pages.extract(df).collect()}
+    # The second and third paragraph and the teaser stand on both pages of the host.
+    assert found == {1: story[0], 2: "One\nTitle two\nReal text", 3: story[0].replace("s0x", "z0x")}
+
+
+def plain_host(bodies):
+    """Open blocks of the pages of a host, those left out that strings on other pages too cover by half."""
+    streams = [[t for block in body for t in block.split()] for body in bodies]
+    holders = collections.defaultdict(set)
+    for page, tokens in enumerate(streams):
+        for k in range(len(tokens) - pages.WINDOW + 1):
+            holders[tuple(tokens[k:k + pages.WINDOW])].add(page)
+    out = []
+    for tokens, body in zip(streams, bodies):
+        covered = [False] * len(tokens)
+        for k in range(len(tokens) - pages.WINDOW + 1):
+            if len(holders[tuple(tokens[k:k + pages.WINDOW])]) > 1:
+                covered[k:k + pages.WINDOW] = [True] * pages.WINDOW
+        at, unique = 0, []
+        for block in body:
+            n = len(block.split())
+            if 2 * sum(covered[at:at + n]) < n:
+                unique.append(block)
+            at += n
+        out.append("\n".join(unique or body))
+    return out
+
+
+def test_hosts_against_a_plain_version(spark):
+    """Blocks of all lengths, some on many pages of the host, some in parts only, very long and repeated pages, columns of clashing names."""
+    rng = random.Random(14)
+    rows, want = [], {}
+    for host in range(4):
+        common = [words(rng, n, 10**6) for n in (3, 8, 9, 20, 60)]
+        bodies = []
+        for _ in range(14):
+            body = [rng.choice([words(rng, rng.randrange(1, 30), 10**6), rng.choice(common), rng.choice(common) + " " + words(rng, rng.randrange(1, 80), 10**6)])
+                    for _ in range(rng.randrange(1, 7))]
+            bodies.append(body)
+        bodies.append([words(rng, 20_000, 10**6), common[3]])
+        for k, (body, text) in enumerate(zip(bodies, plain_host(bodies))):
+            rows.append((100 * host + k, f"http://h{host}.example/{k}", "<body>" + "".join(f"<p>{b}</p>" for b in body) + "</body>", 1, "x"))
+            want[100 * host + k] = text
+    rows.append(rows[0])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, row int, host string").repartition(3)
+    got = pages.extract(df).collect()
+    assert len(got) == len(rows) and all(r.text == want[r.page_id] and r.n_chars == len(r.text) for r in got)
+
+
 def test_pages_without_articles(spark):
     """What many pages of a host share goes, what one page has stays; the same words on another host stay."""
     rng = random.Random(4)

@@ -132,9 +132,10 @@ def test_narrowing_of_a_crowded_passage(spark):
     assert all(r.n_removed > 0 for r in found.values())
 
 
-@pytest.mark.parametrize("shard_runs", [1_000, 3])
-def test_runs_of_one_byte_in_many_lengths(spark, shard_runs):
-    """Each length occurs once, so no run has an equal one, and no shard holds all runs of the key."""
+@pytest.mark.parametrize("shard_runs, key_bytes", [(1_000, 1 << 22), (3, 1 << 22), (1_000, 100)])
+def test_runs_of_one_byte_in_many_lengths(spark, monkeypatch, shard_runs, key_bytes):
+    """Each length occurs once, so no run has an equal one, and no shard holds all runs of the key, by their number or their bytes."""
+    monkeypatch.setattr(repeats, "KEY_BYTES", key_bytes)
     rng = random.Random(10)
     texts = {k: words(rng, 5) + (" ", "=")[k % 2] * (41 + k) + words(rng, 5) for k in range(24)}
     texts |= {30: "-" * 40 + "!", 31: "~" * 41 + "!", 32: "+" * 55 + "!" + "+" * 47}
@@ -143,14 +144,15 @@ def test_runs_of_one_byte_in_many_lengths(spark, shard_runs):
     found = by_id(repeats.remove_repeats(df, length=40, anchor=20, shard_runs=shard_runs))
     for k in texts:
         assert want[k] == (found[k].n_bytes, found[k].n_removed, found[k].n_spans, found[k].kept_sha256), k
+        assert found[k].has_repeats == (found[k].n_removed > 0) and found[k].n_kept == found[k].n_bytes - found[k].n_removed
     assert all(found[k].n_removed >= 41 for k in texts if k != 30) and found[30].n_removed == 0
 
 
 def test_runs_of_one_byte_across_rows(spark):
     """Where only other rows count, a key that one row has in many lengths is no repeat."""
-    rows = [(r, r, key, 0, n - 40, 9, byte * n) for r, key, byte, n in
+    rows = [(r, r, key, 0, n - 40, 9, 9 * n, byte * n) for r, key, byte, n in
             [*[(k, 1, b"=", 41 + k) for k in range(6)], *[(10, 2, b"-", 41 + k) for k in range(6)]]]
-    stretches = spark.createDataFrame(rows, "doc_id long, row long, key long, first int, last int, kinds long, stretch binary")
+    stretches = spark.createDataFrame(rows, "doc_id long, row long, key long, first int, last int, kinds long, reach long, stretch binary")
     found = sorted(tuple(r) for r in repeats.intervals(stretches, 40, 20, shard_runs=3, across=True).collect())
     assert found == [(k, k, 0, 41 + k) for k in range(6)]
 

@@ -216,3 +216,14 @@ def test_failed_rows_are_written(spark, tmp_path):
 def test_null_fields_are_written(spark, tmp_path):
     sinks.write_jsonl(spark.sql("SELECT 1 AS a, cast(NULL AS string) AS b"), f"{tmp_path}/n")
     assert [r.value for r in spark.read.text(f"{tmp_path}/n").collect()] == ['{"a":1,"b":null}']
+
+
+def test_configs_share_files_and_trees_have_several_writers(spark, setting, tmp_path, monkeypatch):
+    from promptloom.plans import file_queries
+    setting("spark.sql.shuffle.partitions", "4")
+    spark.range(1500).selectExpr("id AS c_custkey", "'Customer' || id AS c_name", "CAST(id % 25 AS INT) AS c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(workspace, "new_path", lambda spark, name: f"{tmp_path}/{name}")
+    assert file_queries.scan_config(spark, str(tmp_path)).select("user_id").distinct().count() == 1500
+    assert len(list(tmp_path.glob("configs/**/part-*.txt"))) == 2
+    assert file_queries.scan_tasks(spark, str(tmp_path)).select("task_name").distinct().count() == 1500
+    assert len({p.name.split("-")[1] for p in tmp_path.glob("tree/**/part-*.txt")}) == 4

@@ -1,6 +1,6 @@
 """Row numbers, previous values, running totals and last rows that hold when one key owns a third of all rows.
 
-Keys that fit into one task take a plain window: one shuffle by key. Keys with more rows than that are few by arithmetic (rows / limit). Their rows alone are
+Keys that fit into one task take a plain window: one shuffle by key. Keys with more rows or bytes than that are few by arithmetic (rows / limit). Their rows alone are
 range-partitioned by ``(keys, order)`` and stored, so a range holds a bounded stretch of a key and a lost executor's work finds the same ranges. Windows run per
 ``(key, range)``, and what a range must know of earlier ones (a count, a last row, a sum) comes from one summary row per hot key and range, which is put in front of the
 range as one more row. Summaries are scanned per key; there are about as many as ranges, whatever the number of keys.
@@ -13,11 +13,14 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptloom.sources import workspace
 
 ROWS_SETTING = "promptloom.range.rows"
 ROWS_PER_RANGE = 1_000_000
+BYTES_SETTING = "promptloom.range.bytes"
+BYTES_PER_RANGE = 64 << 20
 
 _RANGE = "__range"
 _CARRY = "__carry"
@@ -28,6 +31,17 @@ def range_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(ROWS_SETTING, str(ROWS_PER_RANGE)))
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has: its texts and binaries, 8 for an array's element and for any other column."""
+    sizes = []
+    for field in df.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.coalesce(F.octet_length(F.col(field.name)), F.lit(0)))
+        elif isinstance(field.dataType, T.ArrayType):
+            sizes.append(F.coalesce(8 * F.size(F.col(field.name)), F.lit(0)))
+    return sum((s.cast("bigint") for s in sizes), F.lit(8 * len(df.columns)).cast("bigint"))
+
+
 def _order_value(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
@@ -38,22 +52,23 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     Ranges follow ``order``, which must be total inside a key, so a later range of a key has only later rows.
     """
-    limit = range_rows(df)
-    crowded = df.groupBy(*keys).agg(F.count("*").alias("__rows")).where(F.col("__rows") > limit)
-    total = crowded.agg(F.sum("__rows")).first()[0]
-    if not total:
+    limit, most = range_rows(df), int(df.sparkSession.conf.get(BYTES_SETTING, str(BYTES_PER_RANGE)))
+    crowded = df.groupBy(*keys).agg(F.count("*").alias("__rows"), F.sum(_row_bytes(df)).alias("__bytes")).where(
+        (F.col("__rows") > limit) | (F.col("__bytes") > most))
+    total = crowded.agg(F.sum("__rows").alias("rows"), F.sum("__bytes").alias("bytes")).first()
+    if not total.rows:
         return df, None
     names = {k: f"__hot_{i}" for i, k in enumerate(keys)}
     hot = workspace.materialize(crowded.select(*[F.col(k).alias(n) for k, n in names.items()]), "hot-keys")
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()], F.lit(True))
     rows = df.join(hot, same, "left_semi")
     ends = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    ranged = rows.repartitionByRange(-(-total // limit), *keys, *ends).withColumn(_RANGE, F.spark_partition_id())
+    ranged = rows.repartitionByRange(max(-(-total.rows // limit), -(-total.bytes // most)), *keys, *ends).withColumn(_RANGE, F.spark_partition_id())
     return df.join(hot, same, "left_anti"), workspace.materialize(ranged, "ranges")
 
 
 def _before(keys: Sequence[str]) -> WindowSpec:
-    """Summaries of earlier ranges of the same key; about one for each ``range_rows`` rows of the key."""
+    """Summaries of earlier ranges of the same key; about one for each ``range_rows`` rows or ``BYTES_PER_RANGE`` bytes of the key."""
     return Window.partitionBy(*keys).orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)
 
 

@@ -110,3 +110,21 @@ def test_last_rows_needs_no_whole_key(spark, setting, n):
     table = spark.range(10_000).selectExpr("id % 3 AS k", "id")
     got = ordered.last_rows(table, ["k"], ["id"], n)
     assert sorted(r["id"] for r in got.collect()) == list(range(10_000 - 3 * n, 10_000))
+
+
+def test_keys_of_many_bytes_are_cut_into_ranges(spark, setting):
+    """Few rows, long texts: no range holds much more than its bytes, and the numbers are those of the plain window."""
+    table = spark.range(600).selectExpr("CASE WHEN id < 500 THEN 1 WHEN id < 510 THEN NULL ELSE id END AS k", "id * 7 AS o", "repeat('é', 100) AS text")
+    expected = rows(ordered.number_rows(table, ["k"], ["o"]))
+    setting(ordered.BYTES_SETTING, "10000")
+    cold, hot = ordered.split_hot(table, ["k"], ["o"])
+    sizes = [r["count"] for r in hot.groupBy("k", "__range").count().collect()]
+    assert cold.count() == 100 and sum(sizes) == 500 and max(sizes) < 150
+    assert rows(ordered.number_rows(table, ["k"], ["o"])) == expected
+
+
+@pytest.mark.parametrize("name", ["similarity_flag", "sim_jaccard", "similar_cooldown", "sim_levenshtein", "save_history", "load_history"])
+def test_ranges_by_bytes(spark, setting, plain, name):
+    expected = plain(name)
+    setting(ordered.BYTES_SETTING, "20000")
+    assert rows(catalog.QUERIES[name](spark, SMALL)) == expected

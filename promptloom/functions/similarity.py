@@ -6,11 +6,13 @@ taken for one another with a chance of 2**-64.
 """
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptloom.functions.variants import let
 
@@ -22,6 +24,7 @@ SIGNATURE_SIZE = 32
 SIGNATURE_PRIME = 2147483647
 SIGNATURE_A_STEP = 48271
 SIGNATURE_B_STEP = 69621
+_ROWS_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -32,6 +35,9 @@ class Scorer:
     needed: Callable[[Column, Column, float], list[Column]] | None = None
     # Takes the place of ``feature`` where it is made by an aggregate: (rows, their key columns, text column, new column).
     aggregate: Callable[[DataFrame, Sequence[str], str, str], DataFrame] | None = None
+    # Where a pair is much work: adds the numbers for a feature and each of an array of features (null stays null), and the score of a pair made of its number.
+    measure: Callable[[DataFrame, str, str, str], DataFrame] | None = None
+    measured: Callable[[Column, Column, Column], Column] | None = None
 
 
 def tokens(text: Column) -> Column:
@@ -63,10 +69,54 @@ def _jaccard_needs(a: Column, b: Column, at_least: float) -> list[Column]:
     return [_size_ratio(F.size(a), F.size(b)) >= at_least, alike]
 
 
+def edit_distance(a: str, b: str) -> int:
+    """Exact edit distance in code points by Myers' bit vectors: one column of the table is two integers as long as ``a``."""
+    start, end = 0, 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start:len(a) - end], b[start:len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for k, letter in enumerate(a):
+        places[letter] = places.get(letter, 0) | 1 << k
+    every, top = (1 << len(a)) - 1, len(a) - 1
+    up, down, distance = every, 0, len(a)
+    for letter in b:
+        here = places.get(letter, 0)
+        diagonal = (((here & up) + up) ^ up) | here | down
+        right, left = down | (every & ~(diagonal | up)), up & diagonal
+        distance += (right >> top) - (left >> top)
+        right = (right << 1 | 1) & every
+        up, down = (left << 1 & every) | (every & ~(diagonal | right)), right & diagonal
+    return distance
+
+
 def levenshtein_ratio(a: Column, b: Column) -> Column:
     """One minus edit distance over the longer length, on whole texts."""
+    return _edit_share(a, b, F.levenshtein(a, b))
+
+
+def _edit_share(a: Column, b: Column, distance: Column) -> Column:
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - distance / longest)
+
+
+def with_edit_distances(rows: DataFrame, text: str, others: str, name: str) -> DataFrame:
+    """Add the edit distances between a text and each of an array of texts."""
+    own, array = rows.columns.index(text), rows.columns.index(others)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, _ROWS_AT_ONCE):
+                batch = whole.slice(start, _ROWS_AT_ONCE)
+                found = [[None if a is None or b is None else edit_distance(a, b) for b in texts]
+                         for a, texts in zip(batch.column(own).to_pylist(), batch.column(array).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names, name])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
 
 def signature_steps() -> list[tuple[int, int]]:
@@ -114,7 +164,8 @@ def _size_ratio(a: Column, b: Column) -> Column:
 
 SCORERS = {
     "jaccard": Scorer(word_hashes, jaccard, _jaccard_needs),
-    "levenshtein": Scorer(lambda text: text, levenshtein_ratio, lambda a, b, at_least: [_size_ratio(F.length(a), F.length(b)) >= at_least]),
+    "levenshtein": Scorer(lambda text: text.cast("string"), levenshtein_ratio, lambda a, b, at_least: [_size_ratio(F.length(a), F.length(b)) >= at_least],
+                          measure=with_edit_distances, measured=_edit_share),
     "minhash": Scorer(lambda text: text, signature_agreement, aggregate=with_signature),
     "cosine": Scorer(with_norm, cosine),
 }

@@ -6,7 +6,7 @@ each block also gets a copy of the N rows before it. The trailing window then ru
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,9 +19,10 @@ def _scorer(score: str | Scorer) -> Scorer:
     return SCORERS[score] if isinstance(score, str) else score
 
 
-def with_previous(df: DataFrame, task: str, seq: str, value: str, n: int, name: str) -> DataFrame:
-    """Add an array of ``(seq, value)`` of up to ``n`` rows just before each row."""
-    numbered = ordered.number_rows(df, [task], [seq], "__place")
+def with_previous(df: DataFrame, task: str, seq: str, value: str, n: int, name: str,
+                  prepare: Callable[[DataFrame], DataFrame] = lambda numbered: numbered) -> DataFrame:
+    """Add an array of ``(seq, value)`` of up to ``n`` rows just before each row; ``prepare`` may make ``value`` of the numbered rows."""
+    numbered = prepare(ordered.number_rows(df, [task], [seq], "__place"))
     block_size = max(8 * n, 256)
     block = F.floor(F.col("__place") / block_size)
     near_end = F.col("__place") % block_size >= block_size - n
@@ -37,9 +38,7 @@ def with_previous(df: DataFrame, task: str, seq: str, value: str, n: int, name:
 
 
 def _featured(df: DataFrame, task: str, seq: str, value: str, scorer: Scorer) -> DataFrame:
-    """Rows with ``__feature`` in place of the text."""
-    if scorer.aggregate is None:
-        return df.withColumn("__feature", scorer.feature(F.col(value))).drop(value)
+    """Rows with ``__feature``, an aggregate, in place of the text."""
     rest = [c for c in df.columns if c not in (task, seq, value)]
     return scorer.aggregate(df, [task, seq, *rest], value, "__feature")
 
@@ -48,18 +47,31 @@ def _scored(df: DataFrame, task: str, seq: str, value: str, n: int, score: str |
             at_least: float | None = None) -> DataFrame:
     """Add ``__scores``: previous ``seq`` and score, null where a cheap condition already rules ``at_least`` out."""
     scorer = _scorer(score)
-    near = with_previous(_featured(df, task, seq, value, scorer), task, seq, "__feature", n, "__previous")
+    if scorer.aggregate is not None:
+        near = with_previous(_featured(df, task, seq, value, scorer), task, seq, "__feature", n, "__previous")
+    else:
+        # Rows are counted and numbered with their texts, so that the count need not make the features as well.
+        near = with_previous(df, task, seq, "__feature", n, "__previous",
+                             lambda rows: rows.withColumn("__feature", scorer.feature(F.col(value))).drop(value))
 
-    def scored(own: Column, other: Column) -> Column:
-        found = scorer.score(own, other)
+    own = F.col("__feature")
+
+    def if_needed(other: Column, found: Column) -> Column:
         if at_least is not None and scorer.needed is not None:
             for condition in reversed(scorer.needed(own, other, at_least)):
                 found = F.when(condition, found)
         return found
 
-    scores = F.transform("__previous", lambda p: F.struct(
-        p["seq"].alias("prev_seq"), scored(F.col("__feature"), p["value"]).alias("score")))
-    return near.withColumn("__scores", scores).drop("__previous", "__feature")
+    def pair(previous: Column, score: Column) -> Column:
+        return F.struct(previous["seq"].alias("prev_seq"), if_needed(previous["value"], score).alias("score"))
+
+    if scorer.measure is None:
+        scores = F.transform("__previous", lambda p: pair(p, scorer.score(own, p["value"])))
+    else:
+        near = near.withColumn("__others", F.transform("__previous", lambda p: if_needed(p["value"], p["value"])))
+        near = scorer.measure(near, "__feature", "__others", "__measured").drop("__others")
+        scores = F.zip_with("__previous", "__measured", lambda p, m: pair(p, scorer.measured(own, p["value"], m)))
+    return near.withColumn("__scores", scores).drop("__previous", "__feature", "__measured")
 
 
 def similar_recent(df: DataFrame, task: str, seq: str, value: str, n: int,

@@ -312,3 +312,32 @@ def test_signature_estimates_jaccard(spark):
         FS.cosine(FS.with_norm(F.array(F.lit(3.0), F.lit(4.0))), FS.with_norm(F.array(F.lit(4.0), F.lit(3.0)))).alias("cosine")).first()
     assert row["exact"] == pytest.approx(140 / 260) and abs(row["estimate"] - row["exact"]) < 0.3
     assert row["edit"] == pytest.approx(1 - 3 / 7) and row["empty"] == 1.0 and row["cosine"] == pytest.approx(0.96)
+
+
+def test_edit_distance_of_long_and_odd_texts(spark):
+    rng = random.Random(8)
+    texts = ["", "a", None, "kitten", "sitting", *["".join(rng.choices("abcdeé😀", k=rng.randrange(300))) for _ in range(40)]]
+    pairs = spark.createDataFrame([(a, texts) for a in texts], "a string, others array<string>")
+    found = FS.with_edit_distances(pairs, "a", "others", "d")
+    wrong = found.select("a", F.explode(F.arrays_zip("others", "d")).alias("p")).where(~F.col("p.d").eqNullSafe(F.levenshtein("a", F.col("p.others"))))
+    assert found.count() == len(texts) and wrong.count() == 0
+
+
+def test_levenshtein_against_the_function(spark):
+    """With and without a wanted score, null and empty texts among them."""
+    rng = random.Random(9)
+    rows = [("x", i, rng.choice([None, "", "abcd", "abxd", "zzzzzzzzzzzz"])) for i in range(80)]
+    df = spark.createDataFrame(rows, "task string, seq bigint, text string")
+    for wanted in (None, 0.7):
+        slow = FS.Scorer(lambda text: text, FS.levenshtein_ratio, FS.SCORERS["levenshtein"].needed)
+        want, got = (sorted(map(repr, M.similar_recent(df, "task", "seq", "text", 3, how, wanted).collect())) for how in (slow, "levenshtein"))
+        assert got == want and len(got) > 20
+
+
+def test_requests_are_taken_in_slices(spark, monkeypatch):
+    """Long bodies of one Arrow batch are not all Python objects at once."""
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["x" * 1_000] * 50)], names=["request_key", "body"])
+    monkeypatch.setattr(D, "SLICE_BYTES", 10_000)
+    sizes = [part.num_rows for part in D._slices([batch])]
+    assert sum(sizes) == 50 and max(sizes) <= 12

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +105,16 @@ class Route:
 
 
 LATE = "not sent before the deadline"
+#: Bytes of requests that a task turns into Python objects at once.
+SLICE_BYTES = 2 << 20
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to about ``SLICE_BYTES``: a batch is bounded by rows, and bodies may be long."""
+    for batch in batches:
+        step = max(1, batch.num_rows // (batch.nbytes // SLICE_BYTES + 1))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
 
 
 def dispatch(requests: DataFrame, make_provider: Callable[..., Callable[[str], str]], *,
@@ -124,7 +134,7 @@ def dispatch(requests: DataFrame, make_provider: Callable[..., Callable[[str], s
     if rates and not tasks:
         raise ValueError("rates are shared by the tasks: give their number")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         until = None if deadline_seconds is None else time.monotonic() + deadline_seconds
         routes: dict[str | None, Route | str] = {}
 
@@ -154,18 +164,18 @@ def dispatch(requests: DataFrame, make_provider: Callable[..., Callable[[str], s
             return send(way, text, way.breaker, tries, base_delay)
 
         with ThreadPoolExecutor(max_workers=threads) as pool:
-            for frame in frames:
-                names = frame[provider].tolist() if provider else [None] * len(frame)
+            for batch in _slices(batches):
+                names = batch.column(2).to_pylist() if provider else [None] * batch.num_rows
                 for name in dict.fromkeys(names):
                     route(name)
-                results = list(pool.map(one, names, frame[body]))
+                results = list(pool.map(one, names, batch.column(1).to_pylist()))
                 answers, errors, attempts = zip(*results) if results else ((), (), ())
-                yield pd.DataFrame({key: frame[key].to_numpy(), "answer": answers, "error": errors,
-                                    "attempts": attempts})
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(answers, pa.string()), pa.array(errors, pa.string()), pa.array(attempts, pa.int32())],
+                                                 names=[key, "answer", "error", "attempts"])
 
     slim = requests.select(key, body, *([provider] if provider else []))
     slim = slim if tasks is None else slim.repartition(tasks)
-    return slim.mapInPandas(run, f"`{key}` {kind}, answer string, error string, attempts int")
+    return slim.mapInArrow(run, f"`{key}` {kind}, answer string, error string, attempts int")
 
 
 def answered(spark: SparkSession, path: str, key: str = "request_key") -> DataFrame | None:

@@ -18,6 +18,8 @@ from promptloom.streaming import streams as S
 
 #: No event of the given month is older: state is kept as long as results need it.
 MONTH_SECONDS = 31 * 86_400
+#: JSON arrays of the input folder, and what a micro-batch takes of the folder.
+ARRAY_BYTES, BATCH_BYTES = 4 << 20, 256 << 20
 
 
 def in_slices(rows: DataFrame, late: Column, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
@@ -102,13 +104,14 @@ def stream_run_log(spark, sf):
 def stream_inputs(spark, sf):
     """JSON arrays and JSON Lines that arrive in two steps, worked off by two runs with one checkpoint."""
     base = workspace.new_path(spark, "inputs")
-    rows = X.prompts(spark, sf).select("file", "idx", "doc_id", "input_text", F.to_json(F.struct("doc_id", "input_text")).alias("line"))
+    rows = workspace.materialize(X.prompts(spark, sf).select("file", "idx", "doc_id", "input_text"), "prompts")
+    rows = rows.withColumn("line", F.to_json(F.struct("doc_id", "input_text")))
     found = None
     for step in (0, 1):
         some = rows.where(F.floor(F.col("doc_id") / 2) % 2 == step)
-        sinks.write_raw_responses(some.where("doc_id % 2 = 0").withColumn("file", F.concat("file", F.lit(f"-{step}"))), f"{base}/in/arrays", "file", "idx", "line", 32 << 10)
+        sinks.write_raw_responses(some.where("doc_id % 2 = 0").withColumn("file", F.concat("file", F.lit(f"-{step}"))), f"{base}/in/arrays", "file", "idx", "line", ARRAY_BYTES)
         some.where("doc_id % 2 = 1").select("doc_id", "input_text").write.mode("append").json(f"{base}/in/lines")
-        found = S.stream_inputs(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "*_raw_response.json", "part-*.json", max_files=20)
+        found = S.stream_inputs(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "*_raw_response.json", "part-*.json", max_bytes=BATCH_BYTES)
     item = V.parse(F.col("line"))
     return found.select(V.get(item, "$.doc_id", "bigint").alias("doc_id"), V.get(item, "$.input_text").alias("input_text"),
                         F.when(F.col("file_name").endswith(sinks.RAW_SUFFIX), "array").otherwise("line").alias("kind"))

@@ -33,17 +33,19 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType | str, max
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-def _text_stream(spark: SparkSession, path: str, glob: str, line_end: str, max_files: int | None) -> DataFrame:
+def _text_stream(spark: SparkSession, path: str, glob: str, line_end: str, max_files: int | None, max_bytes: int | None) -> DataFrame:
     reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("lineSep", line_end)
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).text(path)
+    bound = {"maxFilesPerTrigger": max_files, "maxBytesPerTrigger": max_bytes}
+    return reader.options(**{name: value for name, value in bound.items() if value}).text(path)
 
 
 def stream_inputs(spark: SparkSession, path: str, out: str, checkpoint: str, documents: str = "*.json", lines: str = "*.jsonl",
-                  max_files: int | None = None) -> DataFrame:
+                  max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """Work off the prompt files that came since the last call and return all records so far: file_path, file_name, idx and line.
 
     JSON arrays and objects (``documents``) and JSON Lines (``lines``) are told apart by name, as ``scan.scan_inputs`` does. A file is part of one micro-batch, in which it is cut
     and numbered as the batch reader does; a micro-batch that is repeated after a failure replaces its own output, so every record is there once.
+    A micro-batch has a cost of its own: bound it by ``max_bytes`` where files are many and small, else their number decides how many micro-batches there are. Spark takes one of the two bounds.
     """
     def of_documents(batch: DataFrame) -> DataFrame:
         return documents_of(batch).select("file_path", "file_name", "block_start", "row_id", "line")
@@ -53,7 +55,7 @@ def stream_inputs(spark: SparkSession, path: str, out: str, checkpoint: str, doc
             "file_path", "file_name", "block_start", F.monotonically_increasing_id().alias("row_id"), F.col("value").alias("line"))
 
     for kind, glob, line_end, cut in (("documents", documents, ",", of_documents), ("lines", lines, "\n", of_lines)):
-        text = _text_stream(spark, path, glob, line_end, max_files).select("value", *scan.source_columns())
+        text = _text_stream(spark, path, glob, line_end, max_files, max_bytes).select("value", *scan.source_columns())
         runner.drain_batches(text, f"{out}/{kind}", f"{checkpoint}/{kind}", lambda batch, cut=cut: scan.with_position(cut(batch)).select(
             "file_path", "file_name", "idx", "line"))
     kinds = "file_path string, file_name string, idx bigint, line string"

@@ -85,3 +85,13 @@ def test_a_repeated_batch_replaces_its_rows(spark, tmp_path):
         stream = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
         runner.drain_batches(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint{_}")
     assert runner.read_batches(spark, f"{tmp_path}/out", "id long").count() == 10
+
+
+def test_micro_batches_by_bytes(spark, tmp_path):
+    """Many small files are one micro-batch where bytes bound it."""
+    (tmp_path / "in").mkdir()
+    for k in range(30):
+        (tmp_path / "in" / f"a{k}.json").write_text(json.dumps([{"n": k}, {"n": -k}]))
+    got = streams.stream_inputs(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint", max_bytes=1 << 20)
+    assert sorted(json.loads(r.line)["n"] for r in got.collect()) == sorted([*range(30), *range(0, -30, -1)])
+    assert [p.name for p in (tmp_path / "out" / "documents").iterdir()] == ["batch-0"]

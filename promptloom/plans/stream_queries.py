@@ -1,7 +1,7 @@
 """Streams over the given tables: two slices arrive one after the other, the result is read as a table."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,18 +18,39 @@ from promptloom.streaming import streams as S
 
 #: No event of the given month is older: state is kept as long as results need it.
 MONTH_SECONDS = 31 * 86_400
+#: Bytes of text that arrive at once, where a key may hold most of them.
+ARRIVAL_BYTES = 256 << 20
 #: JSON arrays of the input folder, and what a micro-batch takes of the folder.
 ARRAY_BYTES, BATCH_BYTES = 4 << 20, 256 << 20
 
 
-def in_slices(rows: DataFrame, late: Column, make: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """Run ``make`` on a stream of ``rows``: those not ``late`` arrive first, then the others."""
+def _arrivals(rows: DataFrame, order: str, text: str) -> Iterator[DataFrame]:
+    """``rows`` in stretches of about ``ARRIVAL_BYTES`` of ``text``, one after the other by ``order``."""
+    size = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    if size <= ARRIVAL_BYTES:
+        yield rows
+        return
+    count = -(-size // ARRIVAL_BYTES)
+    path = workspace.new_path(rows.sparkSession, "arrivals")
+    rows.repartitionByRange(count, order).withColumn("stretch", F.spark_partition_id()).write.partitionBy("stretch").parquet(path)
+    for k in range(count):
+        if workspace.exists(rows.sparkSession, f"{path}/stretch={k}"):
+            yield rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/stretch={k}")
+
+
+def in_slices(rows: DataFrame, late: Column, make: Callable[[DataFrame], DataFrame], mode: str = "append",
+              bounded: tuple[str, str] | None = None) -> DataFrame:
+    """Run ``make`` on a stream of ``rows``: those not ``late`` arrive first, then the others.
+
+    ``bounded`` names a column to arrive by and a text column whose bytes bound what arrives at once: a micro-batch hands all rows of a key to one task.
+    """
     spark = rows.sparkSession
     base = workspace.new_path(spark, "stream")
     stream = None
     late = F.coalesce(late, F.lit(False))  # a row without a time comes with the first
-    for part in (~late, late):
-        rows.where(part).write.mode("append").parquet(f"{base}/in")
+    slices = (rows.where(part) for part in (~late, late))
+    for arriving in (slices if bounded is None else (some for part in slices for some in _arrivals(part, *bounded))):
+        arriving.write.mode("append").parquet(f"{base}/in")
         stream = stream if stream is not None else make(S.stream_table(spark, f"{base}/in", rows.schema))
         if mode == "append":
             runner.drain(stream, f"{base}/out", f"{base}/checkpoint")
@@ -65,7 +86,7 @@ def stream_terminal_jobs(spark, sf):
 @query("stream_similarity", CHECKS["similarity_flag"].replace("SELECT * FROM", "SELECT task, seq, max_score, is_similar FROM"))
 def stream_similarity(spark, sf):
     rows = order_queries.gappy(spark, sf).select("task", "seq", "text")
-    flagged = in_slices(rows, F.col("seq") >= 3_000, lambda s: S.stream_similarity(s, 10, 0.8))
+    flagged = in_slices(rows, F.col("seq") >= 3_000, lambda s: S.stream_similarity(s, 10, 0.8), bounded=("seq", "text"))
     return flagged.withColumn("max_score", F.round("max_score", 6))
 
 

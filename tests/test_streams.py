@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from promptloom.plans import stream_queries
 from promptloom.sources import scan
 from promptloom.streaming import runner, streams
 
@@ -87,6 +88,25 @@ def test_a_repeated_batch_replaces_its_rows(spark, tmp_path):
     assert runner.read_batches(spark, f"{tmp_path}/out", "id long").count() == 10
 
 
+def test_bounded_arrivals_keep_the_order(spark, monkeypatch):
+    """A task's responses in many micro-batches of bounded bytes score as in two."""
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), 3 * i, " ".join(rng.choices("one two three four five".split(), k=6))) for i in range(300)]
+    df = spark.createDataFrame(rng.sample(data, len(data)), "task string, seq bigint, text string").repartition(3)
+    batches = []
+
+    def run():
+        batches.clear()
+        return sorted(map(tuple, stream_queries.in_slices(df, F.col("seq") >= 450, lambda s: streams.stream_similarity(s, 4, 0.8), bounded=("seq", "text")).collect()))
+
+    drain = runner.drain
+    monkeypatch.setattr(runner, "drain", lambda *a: (batches.append(1), drain(*a)))
+    expected = run()
+    assert len(batches) == 2 and len(expected) == 300
+    monkeypatch.setattr(stream_queries, "ARRIVAL_BYTES", 2_000)
+    assert run() == expected and len(batches) > 4
+
+
 def test_micro_batches_by_bytes(spark, tmp_path):
     """Many small files are one micro-batch where bytes bound it."""
     (tmp_path / "in").mkdir()

@@ -317,6 +317,48 @@ def test_pages_without_articles(spark):
     assert found[101] == found[0] == "\n".join(re.findall("<div>(.*?)</div>", rows[0][2]))
 
 
+def test_hosts_judge_blocks_beside_an_article(spark):
+    """Open blocks beside an article stay where the host's other pages do not have them; short ones and those of a host of one page do not."""
+    rng = random.Random(21)
+    banner = words(rng, 14, 10**6)
+    rows, want = [], {}
+    for k in range(4):
+        first, second, third = (words(rng, 40, 10**6) for _ in range(3))
+        rows.append((k, f"http://h.example/{k}", f"<div>{banner}</div><div>{first}</div><article><p>{second}</p><p>{third}</p></article><div>Posted today</div><nav>{words(rng, 20, 10**6)}</nav>"))
+        want[k] = "\n".join([first, second, third])
+    rows.append((9, "http://alone.example/", f"<div>{words(rng, 20, 10**6)}</div><article><p>{banner}</p></article>"))
+    # A paragraph of the article that other pages hold too stays.
+    rows.append((10, "http://h.example/10", f"<article><p>{banner}</p></article>"))
+    rows += [rows[0], (11, None, None)]
+    want |= {9: banner, 10: banner, 11: ""}
+    found = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in found) == sorted((r[0], want[r[0]], len(want[r[0]])) for r in rows)
+
+
+def test_hosts_judge_blocks_of_main(spark):
+    """The template inside ``main`` goes; what two pages share, copies, articles in ``main`` and pages of small hosts stay."""
+    rng = random.Random(22)
+    menu = "".join(f"<li><a>item{k}</a></li>" for k in range(10))
+    notice, shared, inside = (words(rng, n, 10**6) for n in (12, 30, 30))
+    page = "<main><ul>{}</ul><p>{}</p><p>{}</p><article><p>{}</p></article><div>{}</div></main>"
+    rows, want = [], {}
+    for k in range(6):
+        own = [words(rng, 40, 10**6), shared if k < 2 else words(rng, 30, 10**6), inside]
+        rows.append((k, f"http://h.example/{k}", page.format(menu, *own, notice)))
+        want[k] = "\n".join(own)
+    for k in range(2):
+        own = [words(rng, 40, 10**6), shared, inside]
+        rows.append((10 + k, f"http://two.example/{k}", page.format(menu, *own, notice)))
+        want[10 + k] = "\n".join([*(f"item{i}" for i in range(10)), *own, notice])
+    copy = "<main>" + "".join(f"<p>{words(rng, 20, 10**6)}</p>" for _ in range(5))
+    for k in range(4):
+        own = words(rng, 20, 10**6)
+        rows.append((20 + k, f"http://copies.example/{k}", copy + f"<p>{own}</p></main>"))
+        want[20 + k] = "\n".join([*re.findall("<p>(.*?)</p>", copy), own])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == want
+
+
 def test_tokens(docs, texts, empty):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

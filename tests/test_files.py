@@ -227,3 +227,33 @@ def test_configs_share_files_and_trees_have_several_writers(spark, setting, tmp_
     assert len(list(tmp_path.glob("configs/**/part-*.txt"))) == 2
     assert file_queries.scan_tasks(spark, str(tmp_path)).select("task_name").distinct().count() == 1500
     assert len({p.name.split("-")[1] for p in tmp_path.glob("tree/**/part-*.txt")}) == 4
+
+
+def test_trees_are_written_as_spark_would(spark, tmp_path):
+    """Names that Spark escapes, folders without a value, null and repeated lines; no checksum files, which cost as much as the files."""
+    rows = [("u", "a b%=c/ü", "x"), ("u", None, "y"), ("u", "", "z"), (None, "t", None), ("u", "[1]{2}:*?'\"^\\", "é"), ("v", "t", "1"), ("v", "t", "2"), ("v", "t", None)]
+    df = spark.createDataFrame(rows, "user string, task string, line string")
+    sinks.write_tree(df, f"file:{tmp_path}/own", ["user", "task"], "line", 3)
+    df.repartition(3, "user", "task").write.partitionBy("user", "task").text(f"{tmp_path}/spark")
+    trees = [{p.parent.relative_to(tmp_path / name): sorted(p.read_text().split("\n")) for p in (tmp_path / name).glob("**/part-*.txt")} for name in ("own", "spark")]
+    assert trees[0] == trees[1] and len(trees[0]) == 5
+    assert not list(tmp_path.glob("own/**/.*"))
+    assert workspace.mounted(spark, f"file://{tmp_path}") == workspace.mounted(spark, str(tmp_path)) == str(tmp_path)
+
+
+def test_task_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Two users of 300 folders each: Spark would list them by a task a folder."""
+    for k in range(600):
+        folder = tmp_path / f"user{k % 2}" / f"openai_job-{k}_01_02_2024_030405" / "config"
+        folder.mkdir(parents=True)
+        (folder / "config.json").write_text("{}")
+    context, setting = spark.sparkContext, "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    context.setJobGroup("listing", "listing")
+    tasks = scan.scan_tasks(spark, str(tmp_path))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(job).stageIds}
+    assert sum(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * context.defaultParallelism
+    assert spark.conf.get(setting) == before and tasks.rdd.getNumPartitions() <= 2 * context.defaultParallelism
+    assert {r.task_name for r in tasks.collect()} == {f"job-{k}" for k in range(600)}

@@ -1,6 +1,7 @@
 """The operators on small tables against plain versions, and the cases that every operator defines."""
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -335,6 +336,36 @@ def test_hosts_judge_blocks_beside_an_article(spark):
     assert sorted((r.page_id, r.text, r.n_chars) for r in found) == sorted((r[0], want[r[0]], len(want[r[0]])) for r in rows)
 
 
+def test_hosts_judge_every_page(spark):
+    """Pages of an article and chrome alone are judged as well: their chrome counts as the plain version finds it, and their text stays the article."""
+    rng = random.Random(23)
+    rows, want = [], {}
+    for host in range(3):
+        common = [words(rng, n, 10**6) for n in (3, 8, 20, 60)]
+        bodies = [[rng.choice([*common, words(rng, rng.randrange(1, 30), 10**6)]) for _ in range(3)] for _ in range(10)]
+        holders = collections.defaultdict(set)
+        streams = [" ".join(body).split() for body in bodies]
+        for page, tokens in enumerate(streams):
+            for k in range(len(tokens) - pages.WINDOW + 1):
+                holders[tuple(tokens[k:k + pages.WINDOW])].add(page)
+        for page, (tokens, body) in enumerate(zip(streams, bodies)):
+            covered = [False] * len(tokens)
+            for k in range(len(tokens) - pages.WINDOW + 1):
+                if len(holders[tuple(tokens[k:k + pages.WINDOW])]) > 1:
+                    covered[k:k + pages.WINDOW] = [True] * pages.WINDOW
+            ends = list(itertools.accumulate(len(block.split()) for block in body))
+            repeated = sum(2 * sum(covered[end - len(block.split()):end]) >= len(block.split()) for end, block in zip(ends, body))
+            # Articles hold the host's common text too, and lose none of it.
+            text = rng.choice(common)
+            rows.append((100 * host + page, f"http://h{host}.example/{page}", f"<nav>{body[0]}</nav><div class=ad>{body[1]}</div><article><p>{text}</p></article><footer>{body[2]}</footer>"))
+            want[100 * host + page] = (text, len(text), repeated)
+    rows += [rows[0], (999, "http://alone.example/", rows[0][2])]
+    want[999] = (*want[0][:2], 0)
+    found = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert sorted((r.page_id, r.text, r.n_chars, r.n_repeated) for r in found) == sorted((r[0], *want[r[0]]) for r in rows)
+    assert sum(n for _, _, n in want.values()) > 20
+
+
 def test_hosts_judge_blocks_of_main(spark):
     """The template inside ``main`` goes; what two pages share, copies, articles in ``main`` and pages of small hosts stay."""
     rng = random.Random(22)
